@@ -52,13 +52,13 @@ def held_vectors(df: DataFrame):
         held.unpersist()
 
 
-def best_of(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, threads: int = 4) -> KMeansModel:
+def best_of(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, threads: int = 8) -> KMeansModel:
     """The fit with the lowest training cost over consecutive seeds; ties go to the first."""
     return best_per_k(vectors, [k], restarts, seed, threads)[k]
 
 
 def best_per_k(
-    vectors: DataFrame, ks: Iterable[int], restarts: int = RESTARTS, seed: int = SEED, threads: int = 4
+    vectors: DataFrame, ks: Iterable[int], restarts: int = RESTARTS, seed: int = SEED, threads: int = 8
 ) -> dict[int, KMeansModel]:
     """Best fit for every k. Fits are Spark jobs; a few run side by side to fill the cluster."""
     grid = [(k, seed + i) for k in ks for i in range(restarts)]
@@ -77,7 +77,7 @@ def best_per_k(
 
 
 def elbow_curve(
-    vectors: DataFrame, ks: Iterable[int] = ELBOW, restarts: int = RESTARTS, threads: int = 4
+    vectors: DataFrame, ks: Iterable[int] = ELBOW, restarts: int = RESTARTS, threads: int = 8
 ) -> DataFrame:
     """``(k, inertia)`` of the best fit per k; ``vectors`` should be held (:func:`held_vectors`)."""
     models = best_per_k(vectors, ks, restarts, threads=threads)

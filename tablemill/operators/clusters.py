@@ -35,7 +35,7 @@ def cluster_centroids(df: DataFrame, vector: str, cluster: str) -> DataFrame:
         .select(
             "cluster",
             F.col("__s.count").alias("n"),
-            vector_tovector_to_array("__s.mean").alias("centroid"),
+            vector_to_array("__s.mean").alias("centroid"),
         )
     )
 

@@ -175,7 +175,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "feature_summary",
     f"""WITH {RAW_SQL}, f AS (
-  SELECT {FEATURES_SQL} FROM (SELECT *, {DEDUP_SQL} FROM raw) WHERE rn = 1 AND {VALID_SQL})
+  SELECT value_1 / nullif(value_2, 0) AS feature_1, ln(1 + value_3) AS feature_2,
+    CASE WHEN category = 'A' THEN 1 ELSE 0 END AS feature_3
+  FROM (SELECT *, {DEDUP_SQL} FROM raw) WHERE rn = 1 AND {VALID_SQL})
 SELECT feature_3, count(*) AS rows, count(feature_1) AS ratios,
   round(avg(feature_1), 3) AS mean_feature_1, round(avg(feature_2), 6) AS mean_feature_2
 FROM f GROUP BY feature_3""",
@@ -501,7 +503,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_daily_windows",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS rows,
-  round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max
+  round(avg(value), 8) AS mean, min(value) AS min, max(value) AS max
 FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 GROUP BY 1, 2""",
@@ -517,4 +519,4 @@ def stream_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "windows")
     drain(append_to(windows, target, scratch_path(spark, "checkpoint")))
     out = spark.read.schema(windows.schema).parquet(target)
-    return out.withColumns({"day": day_text("day"), "mean": r6("mean")})
+    return out.withColumns({"day": day_text("day"), "mean": r6("mean", 8)})

@@ -1,7 +1,7 @@
 """Keyed tables over parquet folders, named ``catalog.schema.table``.
 
 A table is a folder with three parts: ``meta`` (schema, key, settings; written once), ``data``
-(one sub-folder per write, never changed afterwards) and ``log`` (one row per commit that says
+(one sub-folder per write, never changed afterwards) and ``log`` (one row per commit that says, as JSON,
 which sub-folder holds which key bucket). A reader takes the newest row of the log, so a write
 becomes visible in one step, when its log row does, and old versions stay readable. One writer per
 table at a time.
@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,15 @@ from tablemill.operators.quality import require_unique
 from tablemill.session import materialize
 
 BUCKET = "__bucket"
-LOG_SCHEMA = "version bigint, operation string, writer string, batch_id bigint, parts map<int,string>"
+LOG_SCHEMA = "version bigint, operation string, writer string, batch_id bigint, parts string"
+
+
+@dataclass(frozen=True)
+class Commit:
+    """A version and the data folder of each of its buckets."""
+
+    version: int
+    parts: dict[int, str]
 
 
 @dataclass(frozen=True)
@@ -68,10 +76,12 @@ class Lake:
             "comment": comment,
             "properties": dict(properties or {}),
         }
-        frame = self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1)
-        frame.write.mode("errorifexists").text(self.path(name) + "/meta")
-        listed = self.spark.createDataFrame([(name, comment)], "table string, comment string")
-        listed.coalesce(1).write.mode("append").parquet(self.path("tables.list"))
+        self._one_row(value=json.dumps(meta)).write.mode("errorifexists").text(
+            self.path(name) + "/meta"
+        )
+        self._one_row(table=name, comment=comment).write.mode("append").parquet(
+            self.path("tables.list")
+        )
         return True
 
     def exists(self, name: str) -> bool:
@@ -188,14 +198,17 @@ class Lake:
 
     # -- inside -------------------------------------------------------------------------------
 
-    def _commit(self, name: str, version: int | None) -> Row | None:
+    def _commit(self, name: str, version: int | None) -> Commit | None:
         log = self.history(name)
         if version is not None:
             log = log.filter(F.col("version") == version)
         newest = log.orderBy(F.desc("version")).take(1)
         if version and not newest:
             raise ValueError(f"{name} has no version {version}")
-        return newest[0] if newest else None
+        if not newest:
+            return None
+        parts = {int(b): folder for b, folder in json.loads(newest[0].parts).items()}
+        return Commit(newest[0].version, parts)
 
     def _seen(self, name: str, writer: str, batch_id: int | None) -> bool:
         if batch_id is None:
@@ -261,8 +274,16 @@ class Lake:
 
     def _log(self, name, commit, operation, writer, batch_id, parts) -> int:
         version = (commit.version if commit else 0) + 1
-        row = self.spark.createDataFrame(
-            [(version, operation, writer, batch_id, parts)], LOG_SCHEMA
+        row = self._one_row(
+            version=F.lit(version).cast("bigint"),
+            operation=operation,
+            writer=writer,
+            batch_id=F.lit(batch_id).cast("bigint"),
+            parts=json.dumps(parts),
         )
-        row.coalesce(1).write.mode("append").parquet(self.path(name) + "/log")
+        row.write.mode("append").parquet(self.path(name) + "/log")
         return version
+
+    def _one_row(self, **values) -> DataFrame:
+        columns = [F.lit(v).alias(k) for k, v in values.items()]
+        return self.spark.range(0, 1, 1, 1).select(*columns)
