@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.functions.scalar import ratio
+from tablemill.operators import features as features_ops
 from tablemill.operators import quality
 from tablemill.operators.features import (
     engineer_features,
@@ -28,9 +30,9 @@ from tablemill.plans.catalog import (
     table,
 )
 from tablemill.session import scratch_path
-from tablemill.streaming.ingest import INGEST_RULES, bronze, silver, upsert_stream
-from tablemill.streaming.windows import daily_windows
 from tablemill.sources.files import stream_parquet
+from tablemill.streaming.ingest import INGEST_RULES, append_to, bronze, drain, silver, upsert_stream
+from tablemill.streaming.windows import daily_windows
 
 NOW = "2024-06-01 00:00:00"
 VALID_SQL = "id IS NOT NULL AND event_timestamp IS NOT NULL"
@@ -227,11 +229,8 @@ def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {RAW_SQL} SELECT id, round(value_1 / value_2, 6) AS y FROM raw WHERE value_2 <> 0",
 )
 def drop_null_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tablemill.functions.scalar import ratio
-    from tablemill.operators.features import drop_null_target as drop
-
     made = raw_rows(spark, sf_dir).select("id", ratio("value_1", "value_2").alias("y"))
-    return drop(made, "y").withColumn("y", r6("y"))
+    return features_ops.drop_null_target(made, "y").withColumn("y", r6("y"))
 
 
 @query(
@@ -510,8 +509,6 @@ GROUP BY 1, 2""",
 )
 def stream_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored events as a stream; the days that the watermark has closed."""
-    from tablemill.streaming.ingest import append_to, drain
-
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
     source = scratch_path(spark, "events")
     events.write.parquet(source)
