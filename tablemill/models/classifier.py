@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # Forest size and seed.
 NUM_TREES = 100
 SEED = 42
+MAX_LEAVES = 100_000
 
 
 def fit(
@@ -23,11 +24,17 @@ def fit(
     num_trees: int = NUM_TREES,
     seed: int = SEED,
     max_depth: int = 30,
+    min_leaf_rows: int | None = None,
 ) -> PipelineModel:
     """Median imputation (fitted on ``train``), assembly and a random forest.
 
-    Spark's depth limit is 30; a forest whose trees grow until pure is the nearest to that.
+    Trees grow until pure, up to Spark's depth limit of 30. On large tables that would make trees
+    as large as the data: unless ``min_leaf_rows`` is given, leaves hold at least one row in
+    100,000, so a tree has at most that many leaves and smaller tables are not touched.
     """
+    labelled = train.dropna(subset=[label])
+    if min_leaf_rows is None:
+        min_leaf_rows = max(labelled.count() // MAX_LEAVES, 1)
     filled = [f"__filled_{c}" for c in inputs]
     stages = [
         Imputer(strategy="median", inputCols=list(inputs), outputCols=filled),
@@ -38,10 +45,11 @@ def fit(
             numTrees=num_trees,
             seed=seed,
             maxDepth=max_depth,
+            minInstancesPerNode=min_leaf_rows,
             maxMemoryInMB=512,
         ),
     ]
-    return Pipeline(stages=stages).fit(train.dropna(subset=[label]))
+    return Pipeline(stages=stages).fit(labelled)
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemill.operators.joins import null_safe_join
 from tablemill.operators.ordered import row_numbers
 from tablemill.session import materialize
 
@@ -32,7 +33,7 @@ def daily_index(
     numbered = row_numbers(df, order, keys, "__rn")
     if keys:
         sizes = numbered.groupBy(*keys).agg(F.max("__rn").alias("__n"))
-        numbered = numbered.join(sizes, list(keys))
+        numbered = null_safe_join(numbered, sizes, keys)
     else:
         size = numbered.agg(F.max("__rn")).first()[0] or 0
         numbered = numbered.withColumn("__n", F.lit(size))
@@ -61,10 +62,10 @@ def with_holdout(
     latest = Window.partitionBy(*keys).orderBy(F.desc(order))
     ranked = df.select(*keys, order).withColumn("__rn", F.row_number().over(latest))
     before = ranked.filter(F.col("__rn") == horizon + 1).select(*keys, F.col(order).alias("__before"))
-    short = df.select(*keys).distinct().join(before, keys, "left_anti").take(1)
+    short = null_safe_join(df.select(*keys).distinct(), before, keys, "left_anti").take(1)
     if short:
         raise ValueError(f"series {short[0].asDict()} has no more than {horizon} rows")
-    marked = df.join(before, keys).withColumn("is_test", F.col(order) > F.col("__before"))
+    marked = null_safe_join(df, before, keys).withColumn("is_test", F.col(order) > F.col("__before"))
     return marked.select(*df.columns, "is_test")
 
 
@@ -102,7 +103,7 @@ def fit(train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y") ->
     keys = list(keys)
     daily = materialize(
         train.select(*keys, F.col(ds).cast("date").alias("ds"), F.col(y).cast("double").alias("y"))
-        .dropna()
+        .dropna(subset=["ds", "y"])
         .withColumn("day", _day("ds")),
         "series",
     )
@@ -113,13 +114,14 @@ def fit(train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y") ->
         F.max("ds").alias("last_ds"),
         F.count(F.lit(1)).alias("n"),
     )
-    sloped = daily.join(trend.select(*keys, "slope", "intercept", "first_ds", "last_ds"), keys).withColumn(
+    line = trend.select(*keys, "slope", "intercept", "first_ds", "last_ds")
+    sloped = null_safe_join(daily, line, keys).withColumn(
         "line", F.col("intercept") + F.col("slope") * F.col("day")
     )
     weekly = sloped.groupBy(*keys, F.dayofweek("ds").alias("k")).agg(
         F.avg(F.try_divide("y", "line")).alias("weekly")
     )
-    in_week = sloped.withColumn("k", F.dayofweek("ds")).join(weekly, [*keys, "k"]).drop("k")
+    in_week = null_safe_join(sloped.withColumn("k", F.dayofweek("ds")), weekly, [*keys, "k"]).drop("k")
     in_week = in_week.withColumn("line", F.col("line") * F.col("weekly"))
     long_enough = F.datediff("last_ds", "first_ds") >= YEARLY_DAYS
     yearly = (
@@ -127,7 +129,7 @@ def fit(train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y") ->
         .groupBy(*keys, F.month("ds").alias("k"))
         .agg(F.avg(F.try_divide("y", "line")).alias("yearly"))
     )
-    fitted = in_week.withColumn("k", F.month("ds")).join(yearly, [*keys, "k"], "left")
+    fitted = null_safe_join(in_week.withColumn("k", F.month("ds")), yearly, [*keys, "k"], "left")
     residual = F.col("y") - F.col("line") * F.coalesce("yearly", F.lit(1.0))
     sigma = fitted.groupBy(*keys).agg(F.stddev_samp(residual).alias("sigma"))
 
@@ -136,11 +138,10 @@ def fit(train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y") ->
         entries = F.collect_list(F.struct("k", value))
         return table.dropna(subset=[value]).groupBy(*keys).agg(F.map_from_entries(entries).alias(value))
 
-    return (
-        trend.join(as_map(weekly, "weekly"), keys, "left")
-        .join(as_map(yearly, "yearly"), keys, "left")
-        .join(sigma, keys, "left")
-    )
+    model = trend
+    for part in (as_map(weekly, "weekly"), as_map(yearly, "yearly"), sigma):
+        model = null_safe_join(model, part, keys, "left")
+    return model
 
 
 def predict(future: DataFrame, model: DataFrame, keys: Sequence[str], ds: str = "ds") -> DataFrame:
@@ -148,7 +149,7 @@ def predict(future: DataFrame, model: DataFrame, keys: Sequence[str], ds: str =
     keys = list(keys)
     wanted = ["slope", "intercept", "weekly", "yearly", "sigma"]
     coefficients = model.select(*keys, F.struct(*wanted).alias("__m"))
-    joined = future.join(coefficients, keys)
+    joined = null_safe_join(future, coefficients, keys)
 
     def index(which: str, at):
         return F.coalesce(F.try_element_at(F.col(f"__m.{which}"), at), F.lit(1.0))

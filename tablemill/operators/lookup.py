@@ -73,11 +73,16 @@ def asof_lookup(
         raise ValueError(f"looked-up columns collide: {taken}")
     payload = F.struct(F.col(right_ts).alias("__rts"), *[F.col(c) for c in columns])
     left_row = F.struct(*[F.col(c) for c in left.columns if c not in on])
+    keyless = F.lit(False)
+    for k in on:
+        keyless = keyless | F.col(k).isNull()
     lhs = left.select(*on, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), left_row.alias("__l"))
     rhs = right.dropna(subset=[*on, right_ts]).select(
         *on, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), payload.alias("__r")
     )
-    both = lhs.unionByName(rhs, allowMissingColumns=True)
+    # rows without a key match nothing and must not meet in one task
+    both = lhs.filter(~keyless).unionByName(rhs, allowMissingColumns=True)
+    unmatched = lhs.filter(keyless).drop("__side")
 
     hot = None
     if hot_rows is not None:
@@ -99,6 +104,7 @@ def asof_lookup(
             _asof_by_range(both.join(hot, on, "left_semi"), on)
         )
 
+    matched = matched.unionByName(unmatched, allowMissingColumns=True)
     match = F.col("__m")
     if max_lookback_seconds is not None:
         # microseconds keep fractions of a second exact

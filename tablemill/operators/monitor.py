@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.scalar import safe_share
+from tablemill.operators.joins import null_safe_join
 from tablemill.operators.ordered import exact_quantiles, running_totals, value_counts
+from tablemill.session import materialize
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # shares are floored here so that an empty bin does not make PSI infinite
@@ -42,9 +44,10 @@ def profile(
     if quantiles == "approx":
         return moments
     counts = value_counts(df, columns, by)
-    cumulated = running_totals(counts, ["value"], ["n"], [*by, "column"])
+    # written once, because totals and quantiles both read it
+    cumulated = materialize(running_totals(counts, ["value"], ["n"], [*by, "column"]), "cumulated")
     quart = exact_quantiles(cumulated, QUARTILES, [*by, "column"]).drop("n")
-    joined = moments.join(quart, [*by, "column"], "left")
+    joined = null_safe_join(moments, quart, [*by, "column"], "left")
     return joined.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("bigint"))
 
 
@@ -98,7 +101,7 @@ def profile_log(
 def _with_share(counts: DataFrame, by: list[str], n: str) -> DataFrame:
     # the totals have one row per window, whatever the number of classes in it
     totals = counts.groupBy(*by).agg(F.sum(n).alias("__total"))
-    return counts.join(totals, by).withColumn("share", F.col(n) / F.col("__total")).drop("__total")
+    return null_safe_join(counts, totals, by).withColumn("share", F.col(n) / F.col("__total")).drop("__total")
 
 
 def monitor_kind(table: str) -> str:
@@ -152,7 +155,9 @@ def numeric_drift(
     after that works on value counts.
     """
     counts = side_counts(baseline, current, columns)
-    cumulated = running_totals(counts, ["value"], ["base", "cur"], ["column"], next_of="value")
+    cumulated = materialize(
+        running_totals(counts, ["value"], ["base", "cur"], ["column"], next_of="value"), "cumulated"
+    )
     distance = _cumulative_distances(cumulated)
     if edges is None:
         edges = baseline_edges(cumulated, bins)
@@ -213,7 +218,7 @@ def bin_distances(histogram: DataFrame, by: Sequence[str]) -> DataFrame:
 def _shares(histogram: DataFrame, by: Sequence[str]) -> DataFrame:
     totals = histogram.groupBy(*by).agg(F.sum("base").alias("__nb"), F.sum("cur").alias("__nc"))
     return (
-        histogram.join(totals, list(by))
+        null_safe_join(histogram, totals, by)
         .withColumn("p", safe_share(F.col("base"), F.col("__nb")))
         .withColumn("q", safe_share(F.col("cur"), F.col("__nc")))
     )
@@ -293,16 +298,16 @@ def consecutive_drift(
     baseline of its successor.
     """
     by = list(by)
-    counts = df.groupBy(*by, window, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(df.groupBy(*by, window, value).agg(F.count(F.lit(1)).alias("n")), "counts")
     # one row per window
-    windows = df.select(*by, window).distinct()
+    windows = counts.select(*by, window).distinct()
     order = Window.partitionBy(*by).orderBy(window)
     follows = windows.select(
         *by, F.lag(window).over(order).alias("__prev"), F.col(window).alias("__this")
     ).dropna(subset=["__prev"])
     zero = F.lit(0).cast("bigint")
-    earlier = follows.withColumnRenamed("__prev", window).join(counts, [*by, window])
-    later = follows.select(*by, F.col("__this").alias(window)).join(counts, [*by, window])
+    earlier = null_safe_join(follows.withColumnRenamed("__prev", window), counts, [*by, window])
+    later = null_safe_join(follows.select(*by, F.col("__this").alias(window)), counts, [*by, window])
     both = earlier.select(*by, F.col("__this").alias(window), value, F.col("n").alias("base"), zero.alias("cur")).unionByName(
         later.select(*by, window, value, zero.alias("base"), F.col("n").alias("cur"))
     )

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemill.operators.joins import null_safe_join
 from tablemill.session import materialize
 
 CHUNK = "__chunk"
@@ -38,7 +39,7 @@ def spanning_rows(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
     last_keys = (
         chunked.groupBy(CHUNK).agg(F.max(F.struct(*keys)).alias("k")).select("k.*").distinct()
     )
-    return chunked.join(F.broadcast(last_keys), list(keys), "left_semi")
+    return null_safe_join(chunked, last_keys, keys, "left_semi", small=True)
 
 
 def running_totals(
@@ -50,8 +51,7 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<c>``, the sum of ``c`` over all rows up to and including this one.
 
-    ``order`` must be unique within ``keys``; key columns must not be null. With ``next_of`` the
-    column ``next_<c>`` holds that column's value in the following row of the same key.
+    ``order`` must be unique within ``keys``. With ``next_of`` the column ``next_<c>`` holds that column's value in the following row of the same key.
     """
     keys = list(keys)
     chunked = range_chunks(df, order, keys)
@@ -66,7 +66,7 @@ def running_totals(
     if next_of:
         carried.append(F.lead("__first").over(across).alias("__following"))
     offsets = per_chunk.select(*keys, CHUNK, *carried)
-    joined = chunked.join(F.broadcast(offsets), [*keys, CHUNK], "left")
+    joined = null_safe_join(chunked, offsets, [*keys, CHUNK], "left", small=True)
 
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,7 +128,7 @@ def exact_quantiles(
     by = list(by)
     occurring = cumulated.filter(F.col(n) > 0)
     totals = occurring.groupBy(*by).agg(F.sum(n).alias("__total"))
-    with_total = occurring.join(totals, by)
+    with_total = null_safe_join(occurring, totals, by)
     wanted = [F.max("__total").alias(n), F.count(F.lit(1)).alias("n_distinct")]
     for name, p in probabilities.items():
         at = F.lit(float(p)) * (F.col("__total") - 1)

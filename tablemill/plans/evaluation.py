@@ -21,6 +21,7 @@ from tablemill.plans.catalog import (
     r6,
     table,
 )
+from tablemill.session import materialize
 
 # -- classification -------------------------------------------------------------------------------
 
@@ -254,7 +255,8 @@ def daily_index_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT series, strftime(ds, '%Y-%m-%d') AS ds, y, CAST(rn <= {HORIZON} AS INTEGER) AS is_test FROM r""",
 )
 def tail_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = series.with_holdout(daily_orders(spark, sf_dir), "ds", HORIZON, ["series"])
+    daily = materialize(daily_orders(spark, sf_dir), "daily")
+    marked = series.with_holdout(daily, "ds", HORIZON, ["series"])
     return marked.withColumns({"ds": day_text("ds"), "is_test": F.col("is_test").cast("int")})
 
 
@@ -289,7 +291,9 @@ sg AS (SELECT series, stddev_samp(y - yhat) AS sigma FROM p WHERE NOT is_test GR
 
 
 def _forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = series.tail_holdout(daily_orders(spark, sf_dir), "ds", HORIZON, ["series"])
+    # written out: the split and the fit read it several times, the orders should be read once
+    daily = materialize(daily_orders(spark, sf_dir), "daily")
+    train, test = series.tail_holdout(daily, "ds", HORIZON, ["series"])
     return series.predict(test, series.fit(train, ["series"]), ["series"])
 
 

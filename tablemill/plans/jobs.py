@@ -219,9 +219,9 @@ def _series_rows(
     """Label rows as daily series that end on ``end``; without ``keys`` they form one series."""
     rows = labels.select(*keys, *order, F.col(target).cast("double").alias("y")).dropna(subset=["y"])
     indexed = series.daily_index(rows, order, end, keys).select(*keys, "ds", "y")
-    if keys:
-        return indexed, list(keys)
-    return materialize(indexed.withColumn("series", F.lit("all")), "series"), ["series"]
+    if not keys:
+        keys, indexed = ["series"], indexed.withColumn("series", F.lit("all"))
+    return materialize(indexed, "series"), list(keys)
 
 
 def train_series(
@@ -349,7 +349,11 @@ def batch_score(
 
 
 def monitor_table(
-    project: Project, table: str, baseline_version: int | None = None, quantiles: str = "exact"
+    project: Project,
+    table: str,
+    baseline_version: int | None = None,
+    problem_type: str = "classification",
+    quantiles: str = "exact",
 ) -> None:
     """Profile the newest version and, given a baseline version, its drift, into metric tables.
 
@@ -361,14 +365,17 @@ def monitor_table(
     window = F.lit(f"v{version}")
     columns = numeric_features(current)
     if monitor.monitor_kind(table) == "inference_log":
-        profiled = monitor.profile_log(current, problem_type="regression", quantiles=quantiles)
         window = F.date_format("day", "yyyy-MM-dd")
+        profiled = monitor.profile_log(current, problem_type=problem_type, quantiles=quantiles)
+        if problem_type == "classification":
+            named = F.concat(F.lit("prediction="), F.coalesce(F.col("prediction").cast("string"), F.lit("null")))
+            profiled = profiled.withColumn("column", named)
         profiled = profiled.withColumn("column", F.concat_ws(":", "column", "model_version"))
     else:
         profiled = monitor.profile(current, columns, quantiles=quantiles)
     measured = [
         c
-        for c in ("rows", "nulls", "zeros", "nans", "n_distinct", "mean", "sd", "min", "max", *monitor.QUARTILES)
+        for c in ("n", "share", "rows", "nulls", "zeros", "nans", "n_distinct", "mean", "sd", "min", "max", *monitor.QUARTILES)
         if c in profiled.columns
     ]
     _metric_upsert(lake, "profile_metrics", monitor.as_metric_rows(profiled, table, window, measured))

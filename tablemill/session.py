@@ -41,9 +41,20 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def scratch_home(spark: SparkSession) -> str:
+    """This application's part of the scratch folder."""
+    return f"{scratch_root(spark)}/tablemill-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the scratch folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the scratch folder."""
+    return f"{scratch_home(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote there; call it when no result is still to be read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_home(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
