@@ -46,7 +46,9 @@ def fit(
             seed=seed,
             maxDepth=max_depth,
             minInstancesPerNode=min_leaf_rows,
-            maxMemoryInMB=512,
+            # deep trees: rows remember their node instead of walking down from the root
+            cacheNodeIds=True,
+            maxMemoryInMB=1024,
         ),
     ]
     return Pipeline(stages=stages).fit(labelled)

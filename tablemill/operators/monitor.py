@@ -10,7 +10,12 @@ from pyspark.sql import types as T
 
 from tablemill.functions.scalar import safe_share
 from tablemill.operators.joins import null_safe_join
-from tablemill.operators.ordered import exact_quantiles, running_totals, value_counts
+from tablemill.operators.ordered import (
+    exact_quantiles,
+    quantiles_of_cumulated,
+    running_totals,
+    value_counts,
+)
 from tablemill.session import materialize
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -30,11 +35,11 @@ def profile(
     """One row per (by, column): count, nulls, zeros, NaNs, distinct, mean, sd, min, max, quartiles.
 
     Moments take one pass over all columns. ``exact`` quartiles and distinct counts come from value
-    counts and running totals, so that no task holds a group's values; ``approx`` computes both
-    sketches in the same single pass and never shuffles values. NaN counts as a value in ``nans``
-    only.
+    counts in sorted ranges, so that no task holds a group's values; ``approx`` computes sketches
+    of both in the same single pass and never shuffles values; ``none`` leaves them out. NaN counts
+    as a value in ``nans`` only.
     """
-    if quantiles not in ("exact", "approx"):
+    if quantiles not in ("exact", "approx", "none"):
         raise ValueError(f"unknown quantiles {quantiles!r}")
     by = list(by)
     if columns is None:
@@ -42,11 +47,12 @@ def profile(
     wide = df.groupBy(*by).agg(*[_moments(c, quantiles == "approx").alias(c) for c in columns])
     moments = wide.select(*by, F.inline(F.array(*[F.col(c) for c in columns])))
     if quantiles == "approx":
+        split = {q: F.col("__quartiles")[i] for i, q in enumerate(QUARTILES)}
+        return moments.withColumns(split).drop("__quartiles")
+    if quantiles == "none":
         return moments
     counts = value_counts(df, columns, by)
-    # written once, because totals and quantiles both read it
-    cumulated = materialize(running_totals(counts, ["value"], ["n"], [*by, "column"]), "cumulated")
-    quart = exact_quantiles(cumulated, QUARTILES, [*by, "column"]).drop("n")
+    quart = exact_quantiles(counts, QUARTILES, [*by, "column"]).drop("n")
     joined = null_safe_join(moments, quart, [*by, "column"], "left")
     return joined.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("bigint"))
 
@@ -67,7 +73,8 @@ def _moments(c: str, sketches: bool) -> Column:
     ]
     if sketches:
         fields.append(F.approx_count_distinct(real).alias("n_distinct"))
-        fields += [F.percentile_approx(real, p).alias(q) for q, p in QUARTILES.items()]
+        # one sketch per column answers all three
+        fields.append(F.percentile_approx(real, list(QUARTILES.values())).alias("__quartiles"))
     return F.struct(*fields)
 
 
@@ -183,7 +190,7 @@ def _cumulative_distances(cumulated: DataFrame) -> DataFrame:
 def baseline_edges(cumulated: DataFrame, bins: int = 10) -> dict[str, list[float]]:
     """Inner quantile edges of the baseline per column: at most ``bins - 1`` numbers each."""
     at = {f"e{i}": i / bins for i in range(1, bins)}
-    rows = exact_quantiles(cumulated, at, ["column"], n="base").collect()
+    rows = quantiles_of_cumulated(cumulated, at, ["column"], "base").collect()
     return {r["column"]: sorted({r[e] for e in at}) for r in rows}
 
 

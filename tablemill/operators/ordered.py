@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.operators.joins import null_safe_join
@@ -117,27 +117,78 @@ def value_counts(
 
 
 def exact_quantiles(
-    cumulated: DataFrame, probabilities: dict[str, float], by: Sequence[str], n: str = "n"
+    counts: DataFrame, probabilities: dict[str, float], by: Sequence[str], n: str = "n"
 ) -> DataFrame:
-    """Linearly interpolated quantiles from value counts with running totals ``cum_<n>``.
+    """Linearly interpolated quantiles of each group from its value counts.
 
-    ``by`` names the group columns, ``cumulated`` has one row per (by, value). The result has one
-    row per group with the total ``<n>``, the number of distinct values ``n_distinct`` and one
-    column per probability. Values with no count are passed over.
+    ``counts`` has one row per (by, value). The result has one row per group with the total ``<n>``,
+    the number of distinct values ``n_distinct`` and one column per probability. Only the ranges
+    that hold a wanted rank are sorted; all others are no more than summed.
     """
     by = list(by)
+    occurring = counts.select(*by, "value", n).filter(F.col(n) > 0)
+    chunked = range_chunks(occurring, ["value"], by)
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per chunk and group in it
+    per_chunk = (
+        chunked.groupBy(*by, CHUNK)
+        .agg(F.sum(n).alias("__n"), F.count(F.lit(1)).alias("__values"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        .withColumn("__total", F.sum("__n").over(group))
+        .withColumn("__distinct", F.sum("__values").over(group))
+    )
+    holds_rank = F.lit(False)
+    for p in probabilities.values():
+        for rank in _ranks(p, F.col("__total")):
+            after = F.col("__before") + F.col("__n")
+            holds_rank = holds_rank | ((rank >= F.col("__before")) & (rank < after))
+    wanted = per_chunk.filter(holds_rank).drop("__n", "__values")
+    inside = Window.partitionBy(*by, CHUNK).orderBy("value")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = null_safe_join(chunked, wanted, [*by, CHUNK]).withColumn(
+        "__cum", F.col("__before") + F.sum(n).over(upto)
+    )
+    totals = [F.max("__total").alias(n), F.max("__distinct").alias("n_distinct")]
+    return _interpolated(ranked, probabilities, by, n, "__cum", "__total", totals)
+
+
+def quantiles_of_cumulated(
+    cumulated: DataFrame, probabilities: dict[str, float], by: Sequence[str], n: str
+) -> DataFrame:
+    """:func:`exact_quantiles` for counts that have their running total ``cum_<n>`` already."""
+    by = list(by)
     occurring = cumulated.filter(F.col(n) > 0)
-    totals = occurring.groupBy(*by).agg(F.sum(n).alias("__total"))
-    with_total = null_safe_join(occurring, totals, by)
-    wanted = [F.max("__total").alias(n), F.count(F.lit(1)).alias("n_distinct")]
+    sizes = occurring.groupBy(*by).agg(F.sum(n).alias("__total"))
+    totals = [F.max("__total").alias(n), F.count(F.lit(1)).alias("n_distinct")]
+    return _interpolated(
+        null_safe_join(occurring, sizes, by), probabilities, by, n, f"cum_{n}", "__total", totals
+    )
+
+
+def _ranks(p: float, total: Column) -> tuple[Column, Column]:
+    """The ranks, from 0, between which the quantile lies."""
+    at = F.lit(float(p)) * (total - 1)
+    return F.floor(at), F.ceil(at)
+
+
+def _interpolated(
+    ranked: DataFrame,
+    probabilities: dict[str, float],
+    by: list[str],
+    n: str,
+    cum: str,
+    total: str,
+    totals: list[Column],
+) -> DataFrame:
+    wanted = list(totals)
     for name, p in probabilities.items():
-        at = F.lit(float(p)) * (F.col("__total") - 1)
-        reached = F.col(f"cum_{n}")
-        wanted.append(F.min(F.when(reached > F.floor(at), F.col("value"))).alias(f"__lo_{name}"))
-        wanted.append(F.min(F.when(reached > F.ceil(at), F.col("value"))).alias(f"__hi_{name}"))
-    ends = with_total.groupBy(*by).agg(*wanted)
+        for side, rank in zip(("lo", "hi"), _ranks(p, F.col(total))):
+            reached = F.when(F.col(cum) > rank, F.col("value"))
+            wanted.append(F.min(reached).alias(f"__{side}_{name}"))
+    ends = ranked.groupBy(*by).agg(*wanted)
 
-    def between(name: str, p: float):
+    def between(name: str, p: float) -> Column:
         at = F.lit(float(p)) * (F.col(n) - 1)
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         return (low + (high - low) * (at - F.floor(at))).alias(name)

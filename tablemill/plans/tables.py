@@ -447,18 +447,24 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams --------------------------------------------------------------------------------------
 
 
+def _half_the_files(spark: SparkSession) -> int:
+    """Files per micro-batch that give a stream of hash-partitioned files about two batches."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 1)
+
+
 def _raw_csv(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
-    """The raw rows as CSV files in the scratch folder; all copies of a key share a file."""
+    """The raw rows as CSV files in the scratch folder."""
     rows = raw_rows(spark, sf_dir)
     path = scratch_path(spark, "csv")
-    rows.repartition(3, "id").write.option("header", True).csv(path)
+    rows.repartition("id").write.option("header", True).csv(path)
     return path, rows.schema
 
 
 def _bronze(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     source, schema = _raw_csv(spark, sf_dir)
     target = scratch_path(spark, "bronze")
-    bronze(spark, source, target, scratch_path(spark, "checkpoint"), schema, max_files_per_trigger=2)
+    files = _half_the_files(spark)
+    bronze(spark, source, target, scratch_path(spark, "checkpoint"), schema, files)
     return target, schema
 
 
@@ -486,8 +492,11 @@ def stream_ingest_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of raw rows into the feature table, several micro-batches."""
-    path, schema = _bronze(spark, sf_dir)
-    stream = stream_parquet(spark, path, schema, max_files_per_trigger=2)
+    rows = raw_rows(spark, sf_dir)
+    schema, path = rows.schema, scratch_path(spark, "raw")
+    # all copies of a key share a file, so that no later micro-batch replaces the chosen one
+    rows.repartition("id").write.parquet(path)
+    stream = stream_parquet(spark, path, schema, _half_the_files(spark))
     lake = new_lake(spark)
     stamp = F.lit(NOW).cast("timestamp")
     made = engineer_features(spark.createDataFrame([], schema), stamp)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +43,7 @@ class Lake:
     root: str
     catalog: str = "main"
     schema: str = "default"
+    _metas: dict = field(default_factory=dict, repr=False, compare=False)
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{self.catalog}/{self.schema}/{name}"
@@ -92,6 +93,12 @@ class Lake:
         return True
 
     def meta(self, name: str) -> dict:
+        # written once and never changed, so it may be kept
+        if name not in self._metas:
+            self._metas[name] = self._read_meta(name)
+        return self._metas[name]
+
+    def _read_meta(self, name: str) -> dict:
         rows = self.spark.read.schema("value string").text(self.path(name) + "/meta").take(1)
         return json.loads(rows[0][0])
 

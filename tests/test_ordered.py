@@ -5,7 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tablemill.operators.ordered import exact_quantiles, row_numbers, running_totals, value_counts
+from tablemill.operators.ordered import (
+    exact_quantiles,
+    quantiles_of_cumulated,
+    row_numbers,
+    running_totals,
+    value_counts,
+)
 
 
 @pytest.fixture
@@ -52,8 +58,11 @@ def test_exact_quantiles(spark, apart):
     draw = random.Random(3)
     values = [draw.choice([1.5, 2.0, draw.random() * 10]) for _ in range(401)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
-    cumulated = running_totals(value_counts(df, ["x"]), ["value"], ["n"], ["column"])
-    row = exact_quantiles(cumulated, {"q25": 0.25, "q90": 0.9}, ["column"]).first()
+    counts = value_counts(df, ["x"])
+    asked = {"q25": 0.25, "q90": 0.9}
+    row = exact_quantiles(counts, asked, ["column"]).first()
+    cumulated = running_totals(counts, ["value"], ["n"], ["column"])
+    assert quantiles_of_cumulated(cumulated, asked, ["column"], "n").first() == row
     ordered = statistics.quantiles(values, n=20, method="inclusive")
     assert row["n"] == 401 and row["n_distinct"] == len(set(values))
     assert row["q25"] == pytest.approx(ordered[4]) and row["q90"] == pytest.approx(ordered[17])
