@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.operators.joins import null_safe_join
@@ -94,62 +94,79 @@ def _day(ds: str):
     return F.datediff(F.col(ds), F.lit("1970-01-01").cast("date"))
 
 
+def _named(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """The key columns; reading a null key raises, since plain joins would lose its rows."""
+    kinds = dict(df.dtypes)
+    lost = F.raise_error(F.lit("a series key is null"))
+    return [F.coalesce(F.col(k), lost.cast(kinds[k])).alias(k) for k in keys]
+
+
 def fit(train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y") -> DataFrame:
     """One row of coefficients per series: trend, weekly and yearly index, residual sd.
 
-    ``train`` holds one row per series and day. It is written out once, so the table it was summed
-    up from is read once only.
+    ``train`` holds one row per series and day; keys are not null. The rows and each step's small
+    table are written once, so that no step is computed again inside the next.
     """
     keys = list(keys)
     daily = materialize(
-        train.select(*keys, F.col(ds).cast("date").alias("ds"), F.col(y).cast("double").alias("y"))
-        .dropna(subset=["ds", "y"])
+        train.dropna(subset=[ds, y])
+        .select(
+            *_named(train, keys),
+            F.col(ds).cast("date").alias("ds"),
+            F.col(y).cast("double").alias("y"),
+        )
         .withColumn("day", _day("ds")),
         "series",
     )
-    trend = daily.groupBy(*keys).agg(
-        F.coalesce(F.regr_slope("y", "day"), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.regr_intercept("y", "day"), F.avg("y")).alias("intercept"),
-        F.min("ds").alias("first_ds"),
-        F.max("ds").alias("last_ds"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    line = trend.select(*keys, "slope", "intercept", "first_ds", "last_ds")
-    sloped = null_safe_join(daily, line, keys).withColumn(
-        "line", F.col("intercept") + F.col("slope") * F.col("day")
+    trend = materialize(
+        daily.groupBy(*keys).agg(
+            F.coalesce(F.regr_slope("y", "day"), F.lit(0.0)).alias("slope"),
+            F.coalesce(F.regr_intercept("y", "day"), F.avg("y")).alias("intercept"),
+            F.min("ds").alias("first_ds"),
+            F.max("ds").alias("last_ds"),
+            F.count(F.lit(1)).alias("n"),
+        ),
+        "trend",
     )
-    weekly = sloped.groupBy(*keys, F.dayofweek("ds").alias("k")).agg(
-        F.avg(F.try_divide("y", "line")).alias("weekly")
+    sloped = daily.join(trend, keys).select(
+        *keys,
+        "y",
+        (F.col("intercept") + F.col("slope") * F.col("day")).alias("line"),
+        F.dayofweek("ds").alias("dow"),
+        F.month("ds").alias("month"),
+        (F.datediff("last_ds", "first_ds") >= YEARLY_DAYS).alias("long_enough"),
     )
-    in_week = null_safe_join(sloped.withColumn("k", F.dayofweek("ds")), weekly, [*keys, "k"]).drop("k")
-    in_week = in_week.withColumn("line", F.col("line") * F.col("weekly"))
-    long_enough = F.datediff("last_ds", "first_ds") >= YEARLY_DAYS
-    yearly = (
-        in_week.filter(long_enough)
-        .groupBy(*keys, F.month("ds").alias("k"))
-        .agg(F.avg(F.try_divide("y", "line")).alias("yearly"))
+    share = F.try_divide("y", "line")
+    weekly = materialize(sloped.groupBy(*keys, "dow").agg(F.avg(share).alias("weekly")), "weekly")
+    in_week = sloped.join(weekly, [*keys, "dow"]).withColumn("line", F.col("line") * F.col("weekly"))
+    yearly = materialize(
+        in_week.filter("long_enough").groupBy(*keys, "month").agg(F.avg(share).alias("yearly")), "yearly"
     )
-    fitted = null_safe_join(in_week.withColumn("k", F.month("ds")), yearly, [*keys, "k"], "left")
+    fitted = in_week.join(yearly, [*keys, "month"], "left")
     residual = F.col("y") - F.col("line") * F.coalesce("yearly", F.lit(1.0))
     sigma = fitted.groupBy(*keys).agg(F.stddev_samp(residual).alias("sigma"))
 
-    def as_map(table: DataFrame, value: str) -> DataFrame:
+    def as_map(table: DataFrame, key: str, value: str) -> DataFrame:
         # at most 7 or 12 entries per series
-        entries = F.collect_list(F.struct("k", value))
+        entries = F.collect_list(F.struct(key, value))
         return table.dropna(subset=[value]).groupBy(*keys).agg(F.map_from_entries(entries).alias(value))
 
-    model = trend
-    for part in (as_map(weekly, "weekly"), as_map(yearly, "yearly"), sigma):
-        model = null_safe_join(model, part, keys, "left")
-    return model
+    return (
+        trend.join(as_map(weekly, "dow", "weekly"), keys, "left")
+        .join(as_map(yearly, "month", "yearly"), keys, "left")
+        .join(sigma, keys, "left")
+    )
 
 
 def predict(future: DataFrame, model: DataFrame, keys: Sequence[str], ds: str = "ds") -> DataFrame:
-    """Add ``yhat``, ``yhat_lower`` and ``yhat_upper`` to the rows of ``future``."""
+    """Add ``yhat``, ``yhat_lower`` and ``yhat_upper`` to the rows of ``future``.
+
+    A series the model does not know gets nulls.
+    """
     keys = list(keys)
     wanted = ["slope", "intercept", "weekly", "yearly", "sigma"]
     coefficients = model.select(*keys, F.struct(*wanted).alias("__m"))
-    joined = null_safe_join(future, coefficients, keys)
+    joined = future.join(coefficients, keys, "left")
 
     def index(which: str, at):
         return F.coalesce(F.try_element_at(F.col(f"__m.{which}"), at), F.lit(1.0))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.vector import MAX_MODEL_VALUES, as_vector, check_model_size, matrix, with_nearest
+from tablemill.operators.joins import null_safe_join
 from tablemill.session import materialize
 
 
@@ -136,29 +137,35 @@ def silhouette_exact(
     pair of rows is ever written out: a pair of blocks gives one sum per row and cluster.
     """
     spark = df.sparkSession
-    sizes = {r["cluster"]: r["n"] for r in df.groupBy(F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
+    counted = materialize(
+        df.groupBy(F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n")), "sizes"
+    )
+    n_clusters = counted.count()
+    if n_clusters < 2:
         raise ValueError("silhouette needs at least two clusters")
-    if len(sizes) * block_rows > MAX_MODEL_VALUES:
-        raise ValueError(f"{len(sizes)} clusters are too many for blocks of {block_rows} rows")
-    rows = sum(sizes.values())
-    number = {c: i for i, c in enumerate(sizes)}
-    blocks = -(-rows // block_rows)
-    ids = F.create_map(*[v for c, i in number.items() for v in (F.lit(c), F.lit(i))])
-
-    # dealt out in turn, so blocks are even whatever the clusters are; written, so dealt once
-    spread = df.select(
-        F.col(vector).cast("array<double>").alias("v"),
-        ids[F.col(cluster)].alias("c"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"),
+    if n_clusters * block_rows > MAX_MODEL_VALUES:
+        raise ValueError(f"{n_clusters} clusters are too many for blocks of {block_rows} rows")
+    sizes = [(r["cluster"], i, r["n"]) for i, r in enumerate(counted.collect())]
+    blocks = -(-sum(n for _, _, n in sizes) // block_rows)
+    kind = dict(counted.dtypes)["cluster"]
+    ids = spark.createDataFrame([(c, i) for c, i, _ in sizes], f"cluster {kind}, c int")
+
+    # Dealt out in turn, so blocks are even whatever the clusters are. Written before the blocks
+    # are gathered: a task that is run again might deal its rows out anew.
+    vectors = df.select(
+        F.col(vector).cast("array<double>").alias("v"), F.col(cluster).alias("cluster")
     )
-    packed = materialize(
-        spread.groupBy("block").agg(
-            F.collect_list(F.struct("v", "c")).alias("items")
+    dealt = materialize(
+        null_safe_join(vectors, ids, ["cluster"], small=True).select(
+            "v",
+            "c",
+            F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"),
         ),
-        "blocks",
+        "dealt",
+    )
+    packed = materialize(
+        dealt.groupBy("block").agg(F.collect_list(F.struct("v", "c")).alias("items")), "blocks"
     )
-    n_clusters = len(sizes)
 
     def sums(batches):
         for batch in batches:
@@ -190,7 +197,7 @@ def silhouette_exact(
     )
     vector_sum = Summarizer.metrics("sum").summary(as_vector("total"))
     totals = per_block.groupBy("block", "row", "own").agg(vector_to_array(vector_sum.getField("sum")).alias("total"))
-    shared = spark.sparkContext.broadcast(np.asarray([sizes[c] for c in number], dtype=np.float64))
+    shared = spark.sparkContext.broadcast(np.asarray([n for _, _, n in sizes], dtype=np.float64))
 
     @F.pandas_udf("double")
     def score(total: pd.Series, own: pd.Series) -> pd.Series:

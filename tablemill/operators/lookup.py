@@ -124,8 +124,9 @@ def _asof_by_key(both: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _asof_by_range(both: DataFrame, on: list[str]) -> DataFrame:
-    # the running number lets the range bounds fall between rows of one instant
-    numbered = both.withColumn("__no", F.monotonically_increasing_id())
+    # The running number lets the range bounds fall between rows of one instant. It is written
+    # before it decides where a row goes: a task that is run again might number its rows anew.
+    numbered = materialize(both.withColumn("__no", F.monotonically_increasing_id()), "numbered")
     order = ["__ts", "__side", "__r", "__no"]
     chunked = range_chunks(numbered, order, on)
     # rows of the left side have no order value, and max_by passes over them

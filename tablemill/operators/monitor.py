@@ -159,12 +159,9 @@ def numeric_drift(
 
     KS and Wasserstein compare the full distributions; PSI and JS compare histograms over
     ``edges``, by default the baseline's quantiles. Rows are summed by value once; everything
-    after that works on value counts.
+    after that works on value counts, which are written out because several steps read them.
     """
-    counts = side_counts(baseline, current, columns)
-    cumulated = materialize(
-        running_totals(counts, ["value"], ["base", "cur"], ["column"], next_of="value"), "cumulated"
-    )
+    cumulated = materialize(_cumulated_sides(baseline, current, columns), "cumulated")
     distance = _cumulative_distances(cumulated)
     if edges is None:
         edges = baseline_edges(cumulated, bins)
@@ -172,9 +169,66 @@ def numeric_drift(
     return distance.join(bin_distances(histogram, ["column"]), "column")
 
 
+def distribution_distances(
+    baseline: DataFrame, current: DataFrame, columns: Sequence[str]
+) -> DataFrame:
+    """KS and Wasserstein-1 distance per column, without histograms."""
+    cumulated = materialize(_cumulated_sides(baseline, current, columns), "cumulated")
+    return _cumulative_distances(cumulated)
+
+
+def _cumulated_sides(baseline: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    counts = side_counts(baseline, current, columns)
+    return running_totals(counts, ["value"], ["base", "cur"], ["column"], next_of="value")
+
+
+def binned_drift(
+    baseline: DataFrame, current: DataFrame, edges: dict[str, Sequence[float]]
+) -> DataFrame:
+    """PSI and Jensen-Shannon distance per column over given ``edges``, in one pass.
+
+    Every task counts its rows by bin, so the shuffle carries a few rows per task. Edges may come
+    from :func:`approx_edges`, from :func:`fixed_width_edges` or from an earlier run.
+    """
+    columns = list(edges)
+    sides = baseline.select(*columns, F.lit(1).cast("bigint").alias("base")).unionByName(
+        current.select(*columns, F.lit(0).cast("bigint").alias("base"))
+    )
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), _bin(F.col(c).cast("double"), edges[c]).alias("bin"))
+            for c in columns
+        ]
+    )
+    binned = sides.select("base", F.inline(pairs)).dropna(subset=["bin"])
+    counts = binned.groupBy("column", "bin").agg(
+        F.sum("base").alias("base"), F.sum(1 - F.col("base")).alias("cur")
+    )
+    return bin_distances(counts, ["column"])
+
+
+def _bin(value: Column, inner: Sequence[float]) -> Column:
+    """How many edges lie at or below the value; null for null and NaN."""
+    # a short sum of comparisons stays in generated code, unlike an array lambda
+    within = F.lit(0)
+    for edge in inner:
+        within = within + (value >= F.lit(float(edge))).cast("int")
+    return F.when(value.isNotNull() & ~F.isnan(value), within)
+
+
+def approx_edges(baseline: DataFrame, columns: Sequence[str], bins: int = 10) -> dict[str, list[float]]:
+    """Inner quantile edges per column from sketches, in one pass without a shuffle of values."""
+    at = [i / bins for i in range(1, bins)]
+    row = baseline.agg(
+        *[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None)), at).alias(c) for c in columns]
+    ).first()
+    return {c: sorted(set(row[c] or [])) for c in columns}
+
+
 def _cumulative_distances(cumulated: DataFrame) -> DataFrame:
+    # the last running total is the whole
     totals = cumulated.groupBy("column").agg(
-        F.sum("base").alias("__nb"), F.sum("cur").alias("__nc")
+        F.max("cum_base").alias("__nb"), F.max("cum_cur").alias("__nc")
     )
     gap = F.abs(
         safe_share(F.col("cum_base"), F.col("__nb")) - safe_share(F.col("cum_cur"), F.col("__nc"))
@@ -204,10 +258,7 @@ def histogram_counts(cumulated: DataFrame, edges: dict[str, Sequence[float]]) ->
     """``(column, bin, base, cur)``; a value on an edge belongs to the bin above it."""
     bin_number = None
     for column, inner in edges.items():
-        # a short sum of comparisons stays in generated code, unlike an array lambda
-        within = F.lit(0)
-        for edge in inner:
-            within = within + (F.col("value") >= F.lit(float(edge))).cast("int")
+        within = _bin(F.col("value"), inner)
         branch = F.col("column") == column
         bin_number = F.when(branch, within) if bin_number is None else bin_number.when(branch, within)
     return (

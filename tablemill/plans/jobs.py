@@ -17,6 +17,7 @@ from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.functions.vector import as_array
 from tablemill.models import classifier, kmeans, series
@@ -34,6 +35,7 @@ from tablemill.operators.lookup import Lookup, training_set
 from tablemill.session import materialize
 from tablemill.sources.lake import Lake
 from tablemill.sources.registry import PIPELINE_MODEL_TYPES, Registry
+from tablemill.streaming.ingest import bronze, silver
 
 FEATURE_KEY = "id"
 
@@ -65,7 +67,41 @@ class Promotion:
     promoted: bool
 
 
-# -- features -------------------------------------------------------------------------------------
+# -- ingestion and features -----------------------------------------------------------------------
+
+
+def ingest(
+    project: Project,
+    source: str,
+    schema: T.StructType,
+    raw: str = "raw_data",
+    cleaned: str = "cleaned_data",
+    max_files_per_trigger: int | None = None,
+    **cleaning,
+) -> None:
+    """Drain new CSV files below ``source`` into the raw table, and that into the cleaned table.
+
+    ``cleaning`` goes to :func:`tablemill.streaming.ingest.clean_stream`. A repeated call takes up
+    the files that have arrived since.
+    """
+    lake = project.lake
+    tidy = T.StructType([*schema.fields, T.StructField("processed_timestamp", T.TimestampType())])
+    lake.create_if_absent(raw, schema, comment="rows as they came", properties={"quality": "bronze"}, stream=True)
+    lake.create_if_absent(
+        cleaned, tidy, comment="valid rows, one per key", properties={"quality": "silver"}, stream=True
+    )
+    raw_path = lake.stream_path(raw)
+    bronze(lake.spark, source, raw_path, lake.checkpoint_path(raw), schema, max_files_per_trigger)
+    silver(
+        lake.spark,
+        raw_path,
+        lake.stream_path(cleaned),
+        lake.checkpoint_path(cleaned),
+        schema,
+        max_files_per_trigger,
+        **cleaning,
+    )
+
 
 
 def build_features(

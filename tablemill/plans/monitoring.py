@@ -225,11 +225,8 @@ _JS_SQL = """sqrt(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 EN
 def _price_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the price range is split at multiples of a fixed width
     edges = monitor.fixed_width_edges(0.0, 210000.0, _WIDTH)
-    return monitor.numeric_drift(
-        _year(spark, sf_dir, 1996),
-        _year(spark, sf_dir, 1999),
-        ["l_extendedprice"],
-        edges={"l_extendedprice": edges},
+    return monitor.binned_drift(
+        _year(spark, sf_dir, 1996), _year(spark, sf_dir, 1999), {"l_extendedprice": edges}
     )
 
 
@@ -268,10 +265,18 @@ def drift_decile_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("column", r6("psi").alias("psi"), r6("js").alias("js"))
 
 
+@query("drift_approx_edges")
+def drift_approx_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline edges from sketches, then one pass: no values are shuffled."""
+    before = _year(spark, sf_dir, 1996)
+    edges = monitor.approx_edges(before, ["l_quantity", "l_extendedprice"])
+    return monitor.binned_drift(before, _year(spark, sf_dir, 1999), edges)
+
+
 def _event_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_type", "value")
     views, clicks = (events.filter(F.col("event_type") == kind) for kind in ("view", "click"))
-    return monitor.numeric_drift(views, clicks, ["value"])
+    return monitor.distribution_distances(views, clicks, ["value"])
 
 
 _CDF_SQL = """c AS (SELECT value, count(*) FILTER (event_type = 'view') AS b, count(*) FILTER (event_type = 'click') AS k

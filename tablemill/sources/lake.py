@@ -59,11 +59,14 @@ class Lake:
         partition_by: Sequence[str] = (),
         comment: str = "",
         properties: Mapping[str, str] | None = None,
+        stream: bool = False,
     ) -> bool:
         """Create an empty table; False when it exists already.
 
         With ``buckets`` above 1 the rows are laid out by key hash, and an upsert rewrites only the
-        buckets its keys fall into. ``partition_by`` adds folders (a day, say) for pruning.
+        buckets its keys fall into. ``partition_by`` adds folders (a day, say) for pruning. A
+        ``stream`` table is filled by a streaming query at :meth:`stream_path`, whose checkpoint
+        keeps its commits, and has no versions here.
         """
         if self.exists(name):
             return False
@@ -75,6 +78,7 @@ class Lake:
             "buckets": buckets,
             "partition_by": list(partition_by),
             "comment": comment,
+            "stream": stream,
             "properties": dict(properties or {}),
         }
         self._one_row(value=json.dumps(meta)).write.mode("errorifexists").text(
@@ -119,9 +123,20 @@ class Lake:
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """The newest version, or the given one."""
+        if self.meta(name)["stream"]:
+            schema = T.StructType.fromJson(self.meta(name)["schema"])
+            return self.spark.read.schema(schema).parquet(self.stream_path(name))
         commit = self._commit(name, version)
         return self._read_parts(name, self.meta(name), commit.parts if commit else {})
 
+    def stream_path(self, name: str) -> str:
+        """Where a streaming query appends to the table."""
+        return f"{self.path(name)}/stream"
+
+    def checkpoint_path(self, name: str) -> str:
+        """Where the query that fills the table keeps its progress."""
+        return f"{self.path(name)}/checkpoint"
+
     def current_version(self, name: str) -> int:
         """0 before the first write."""
         commit = self._commit(name, None)
@@ -137,6 +152,8 @@ class Lake:
         Only buckets that were rewritten in between are read.
         """
         meta = self.meta(name)
+        if not meta["keys"] or meta["stream"]:
+            raise ValueError(f"{name} has no key and so no change feed")
         first, last = self._commit(name, start), self._commit(name, end)
         old, new = (first.parts if first else {}), (last.parts if last else {})
         moved = {b for b in {*old, *new} if old.get(b) != new.get(b)}

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tablemill.session import local_session  # noqa: E402
+from tablemill.session import local_session, release_scratch  # noqa: E402
 from tablemill.sources.lake import Lake  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -16,6 +16,7 @@ def spark():
     session = local_session("tests", cores="8", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release_scratch(session)
     session.stop()
 
 

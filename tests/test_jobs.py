@@ -33,6 +33,22 @@ def labels(spark):
     return cleaned(spark).select("id", (F.col("value_1") > 50000).cast("int").alias("target"))
 
 
+def test_ingest_to_features(spark, tmp_path):
+    made = jobs.Project.at(Lake(spark, str(tmp_path / "lake")))
+    raw = raw_rows(spark, DATA)
+    raw.filter("id % 2 = 0").write.option("header", True).csv(str(tmp_path / "in" / "1"))
+    for _ in range(2):
+        jobs.ingest(made, str(tmp_path / "in" / "*"), raw.schema, sequence="validate_first")
+    raw.filter("id % 2 = 1").write.option("header", True).csv(str(tmp_path / "in" / "2"))
+    jobs.ingest(made, str(tmp_path / "in" / "*"), raw.schema, sequence="validate_first")
+    assert made.lake.read("raw_data").count() == raw.count()
+    assert made.lake.meta("cleaned_data")["properties"] == {"quality": "silver"}
+    wanted = raw.filter("event_timestamp IS NOT NULL").select("id").distinct().count()
+    assert made.lake.read("cleaned_data").count() == wanted
+    jobs.build_features(made, made.lake.read("cleaned_data"), "f_features")
+    assert made.lake.read("f_features").count() == wanted
+
+
 def test_features_are_idempotent(project, spark):
     before = project.lake.read("x_features").drop("feature_updated_timestamp")
     jobs.build_features(project, cleaned(spark), "x_features")

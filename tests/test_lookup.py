@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from tablemill.operators.lookup import Lookup, asof_lookup, training_set

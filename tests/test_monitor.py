@@ -49,6 +49,17 @@ def test_shift_has_known_distances(spark):
     assert row["ks"] == 1.0 and row["wasserstein"] == pytest.approx(10.0)
 
 
+def test_binned_drift_equals_the_exact_path_on_the_same_edges(spark):
+    base = spark.range(300).select((F.col("id") % 97).cast("double").alias("x"))
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    cur = base.select((F.col("x") * 0.8 + 3).alias("x")).unionByName(odd)
+    edges = {"x": [10.0, 20.0, 50.0]}
+    one = monitor.binned_drift(base, cur, edges).first()
+    other = monitor.numeric_drift(base, cur, ["x"], edges=edges).first()
+    assert one["psi"] == pytest.approx(other["psi"]) and one["js"] == pytest.approx(other["js"])
+    assert len(monitor.approx_edges(base.unionByName(odd), ["x"], 4)["x"]) == 3
+
+
 def test_disjoint_categories(spark):
     base = spark.createDataFrame([("a",), ("b",)], "c string")
     cur = spark.createDataFrame([("z",), (None,)], "c string")

@@ -47,6 +47,14 @@ def test_exact_pattern_is_recovered(spark):
     assert out.filter("yhat_lower > yhat OR yhat_upper < yhat").count() == 0
 
 
+def test_null_series_key_fails_and_unknown_series_is_kept(spark):
+    df = daily(spark, 5, float)
+    with pytest.raises(Exception, match="series key is null"):
+        series.fit(df.withColumn("series", F.lit(None).cast("string")), ["series"])
+    out = series.predict(daily(spark, 2, float, "other"), series.fit(df, ["series"]), ["series"])
+    assert [r["yhat"] for r in out.collect()] == [None, None]
+
+
 def test_one_point_series(spark):
     model = series.fit(daily(spark, 1, lambda i: 4.0), ["series"])
     ahead = series.future_frame(daily(spark, 1, float), "ds", 2, ["series"], history=False)
