@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "tablemill", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,6 +58,11 @@ def release_scratch(spark: SparkSession) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def one_row(spark: SparkSession, **values) -> DataFrame:
+    """One row of constants or column expressions, made without a Python worker."""
+    return spark.range(0, 1, 1, 1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 

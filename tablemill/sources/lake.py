@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tablemill.operators.changes import change_feed
 from tablemill.operators.quality import require_unique
-from tablemill.session import materialize
+from tablemill.session import materialize, one_row
 
 BUCKET = "__bucket"
 LOG_SCHEMA = "version bigint, operation string, writer string, batch_id bigint, parts string"
@@ -81,10 +81,10 @@ class Lake:
             "stream": stream,
             "properties": dict(properties or {}),
         }
-        self._one_row(value=json.dumps(meta)).write.mode("errorifexists").text(
+        one_row(self.spark, value=json.dumps(meta)).write.mode("errorifexists").text(
             self.path(name) + "/meta"
         )
-        self._one_row(table=name, comment=comment).write.mode("append").parquet(
+        one_row(self.spark, table=name, comment=comment).write.mode("append").parquet(
             self.path("tables.list")
         )
         return True
@@ -298,7 +298,8 @@ class Lake:
 
     def _log(self, name, commit, operation, writer, batch_id, parts) -> int:
         version = (commit.version if commit else 0) + 1
-        row = self._one_row(
+        row = one_row(
+            self.spark,
             version=F.lit(version).cast("bigint"),
             operation=operation,
             writer=writer,
@@ -307,7 +308,3 @@ class Lake:
         )
         row.write.mode("append").parquet(self.path(name) + "/log")
         return version
-
-    def _one_row(self, **values) -> DataFrame:
-        columns = [F.lit(v).alias(k) for k, v in values.items()]
-        return self.spark.range(0, 1, 1, 1).select(*columns)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablemill.session import one_row
 from tablemill.sources.lake import Lake
 
 # The run parameter that tells which pipeline made a version, per kind of model.
@@ -53,23 +54,28 @@ class Registry:
         """Record a run; ``stepped`` holds metrics with a step, such as an elbow curve."""
         run_id = run_id or uuid.uuid4().hex
         spark = self.lake.spark
-        row = (
-            run_id,
-            {k: str(v) for k, v in params.items()},
-            {k: float(v) for k, v in metrics.items()},
-        )
-        frame = spark.createDataFrame(
-            [row], "run_id string, params map<string,string>, metrics map<string,double>"
+        self.lake.append(
+            "runs",
+            one_row(
+                spark,
+                run_id=run_id,
+                params=_map({k: str(v) for k, v in params.items()}, "string"),
+                metrics=_map({k: float(v) for k, v in metrics.items()}, "double"),
+                logged_at=F.current_timestamp(),
+            ),
         )
-        self.lake.append("runs", frame.withColumn("logged_at", F.current_timestamp()))
         points = [
-            (run_id, key, int(step), float(value))
+            F.struct(
+                F.lit(key).alias("key"),
+                F.lit(int(step)).cast("bigint").alias("step"),
+                F.lit(float(value)).alias("value"),
+            )
             for key, series in (stepped or {}).items()
             for step, value in series
         ]
         if points:
-            frame = spark.createDataFrame(points, SCHEMAS["run_metric_history"])
-            self.lake.append("run_metric_history", frame)
+            history = one_row(spark, run_id=run_id, points=F.array(*points))
+            self.lake.append("run_metric_history", history.select("run_id", F.inline("points")))
         return run_id
 
     # -- versions and aliases -----------------------------------------------------------------
@@ -80,20 +86,27 @@ class Registry:
         """Add the next version of ``model``; versions count up from 1."""
         versions = self.table("model_versions").filter(F.col("model") == model)
         version = (versions.agg(F.max("version")).first()[0] or 0) + 1
-        frame = self.lake.spark.createDataFrame(
-            [(model, version, run_id, path, json.dumps(list(inputs)))],
-            "model string, version bigint, run_id string, path string, signature string",
-        )
-        self.lake.append(
-            "model_versions", frame.withColumn("registered_at", F.current_timestamp())
+        row = one_row(
+            self.lake.spark,
+            model=model,
+            version=F.lit(version).cast("bigint"),
+            run_id=run_id,
+            path=path,
+            signature=json.dumps(list(inputs)),
+            registered_at=F.current_timestamp(),
         )
+        self.lake.append("model_versions", row)
         return version
 
     def set_alias(self, model: str, alias: str, version: int) -> None:
-        frame = self.lake.spark.createDataFrame(
-            [(model, alias, version)], "model string, alias string, version bigint"
+        row = one_row(
+            self.lake.spark,
+            model=model,
+            alias=alias,
+            version=F.lit(version).cast("bigint"),
+            set_at=F.current_timestamp(),
         )
-        self.lake.append("model_aliases", frame.withColumn("set_at", F.current_timestamp()))
+        self.lake.append("model_aliases", row)
 
     def alias_version(self, model: str, alias: str = "champion") -> int | None:
         row = resolve_aliases(
@@ -123,6 +136,12 @@ class Registry:
         return row[0]
 
 
+def _map(values: Mapping[str, object], kind: str) -> Column:
+    if not values:
+        return F.create_map().cast(f"map<string,{kind}>")
+    return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])
+
+
 def pipeline_versions(versions: DataFrame, runs: DataFrame, model_type: str) -> DataFrame:
     """Versions whose run logged ``model_type``; a version without a run falls out of the join."""
     of_type = runs.filter(F.col("params")["model_type"] == model_type).select("run_id")
