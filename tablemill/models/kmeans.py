@@ -6,21 +6,24 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.operators.features import Scaler, fill_zero
 
-# Clusters, seed, restarts, and the range of the elbow curve.
+# Clusters, seed, restarts, elbow range, iteration limit and relative tolerance.
 CLUSTERS = 5
 SEED = 42
 RESTARTS = 10
 ELBOW = range(2, 11)
 MAX_ITERATIONS = 300
+TOLERANCE = 1e-4
 
 
 def scaling_stages(scaler: Scaler) -> list:
@@ -52,6 +55,13 @@ def held_vectors(df: DataFrame):
         held.unpersist()
 
 
+def stopping_distance(vectors: DataFrame) -> float:
+    """Fits stop once no centre moves further than this: sqrt(1e-4 x mean column variance)."""
+    summary = Summarizer.metrics("variance").summary(F.col("features")).getField("variance")
+    spread = vectors.select(summary.alias("v")).first()["v"]
+    return float(np.sqrt(TOLERANCE * np.mean(spread.toArray()))) if spread is not None else 0.0
+
+
 def best_of(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, threads: int = 8) -> KMeansModel:
     """The fit with the lowest training cost over consecutive seeds; ties go to the first."""
     return best_per_k(vectors, [k], restarts, seed, threads)[k]
@@ -62,10 +72,12 @@ def best_per_k(
 ) -> dict[int, KMeansModel]:
     """Best fit for every k. Fits are Spark jobs; a few run side by side to fill the cluster."""
     grid = [(k, seed + i) for k in ks for i in range(restarts)]
+    tolerance = stopping_distance(vectors)
 
     def one(task: tuple[int, int]) -> tuple[int, KMeansModel, float]:
         k, s = task
-        model = KMeans(k=k, seed=s, maxIter=MAX_ITERATIONS, featuresCol="features").fit(vectors)
+        settings = KMeans(k=k, seed=s, maxIter=MAX_ITERATIONS, tol=tolerance, featuresCol="features")
+        model = settings.fit(vectors)
         return k, model, model.summary.trainingCost
 
     best: dict[int, tuple[float, KMeansModel]] = {}
