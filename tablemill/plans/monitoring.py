@@ -419,7 +419,7 @@ def performance_vs_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A run per order, a model per priority; every seventh version has no run."""
+    """A run per order, a model per priority; versions of cheap orders have no run."""
     orders = table(spark, sf_dir, "orders")
     kind = (
         F.when(F.col("o_orderstatus") == "F", "RandomForestClassifier")
@@ -435,7 +435,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     versions = orders.select(
         F.col("o_orderpriority").alias("model"),
         (F.col("o_orderkey") + 1).cast("string").alias("version"),
-        F.when(F.col("o_orderkey") % 7 != 0, run_id).alias("run_id"),
+        F.when(F.col("o_totalprice") > 50000, run_id).alias("run_id"),
     )
     return runs, versions
 
@@ -443,7 +443,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(
     "challenger_select",
     """SELECT o_orderpriority AS model, CAST(max(o_orderkey + 1) AS VARCHAR) AS version
-FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 <> 0 GROUP BY 1""",
+FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 50000 GROUP BY 1""",
 )
 def challenger_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions held as text still compare as numbers."""
@@ -454,13 +454,13 @@ def challenger_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "alias_resolve",
-    """SELECT event_type AS model, CASE WHEN event_id % 3 = 0 THEN 'champion' ELSE 'shadow' END AS alias,
+    """SELECT event_type AS model, CASE WHEN value > 50 THEN 'champion' ELSE 'shadow' END AS alias,
   arg_max(event_id, ts) AS version FROM events GROUP BY 1, 2""",
 )
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("model"),
-        F.when(F.col("event_id") % 3 == 0, "champion").otherwise("shadow").alias("alias"),
+        F.when(F.col("value") > 50, "champion").otherwise("shadow").alias("alias"),
         F.col("event_id").alias("version"),
         F.col("ts").alias("set_at"),
     )
@@ -530,10 +530,10 @@ def run_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lake.create_if_absent("runs", runs.schema)
     lake.create_if_absent("run_metric_history", steps.schema)
-    for parity in (0, 1):
-        mine = F.col("run_id").cast("bigint") % 2 == parity
-        lake.append("runs", runs.filter(mine))
+    for early in (True, False):
+        mine = (F.col("step") < 1998) == early
         lake.append("run_metric_history", steps.filter(mine))
+        lake.append("runs", runs.filter((F.col("metrics")["total"] < 250000) == early))
     flat = registry.flatten_runs(lake.read("runs"), ["model_type"], ["total"])
     history = lake.read("run_metric_history").select("run_id", "step", F.col("value").alias("half"))
     return flat.join(history, "run_id", "left")

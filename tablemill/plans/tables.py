@@ -263,15 +263,15 @@ def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document features that are missing for every fifth document."""
-    documents = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 5 != 0)
+    """Document features, which one language lacks."""
+    documents = table(spark, sf_dir, "documents").filter(F.col("lang") != "es")
     return documents.select("doc_id", "n_chars", "lang", "source")
 
 
 @query(
     "feature_lookup",
     """SELECT l.doc_id, l.quality, d.n_chars, d.lang, d.source
-FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) d USING (doc_id)""",
+FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang <> 'es') d USING (doc_id)""",
 )
 def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -281,7 +281,7 @@ def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "multi_lookup",
     """SELECT l.quality, d.n_chars, d.lang, d.source, e.label AS topic
-FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) d USING (doc_id)
+FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang <> 'es') d USING (doc_id)
 LEFT JOIN embeddings e ON e.vec_id = l.doc_id""",
 )
 def multi_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +296,7 @@ def multi_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "entity_lookup",
     """SELECT e.doc_id, d.n_chars, d.lang FROM (SELECT doc_id FROM documents) e
-LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) d USING (doc_id)""",
+LEFT JOIN (SELECT * FROM documents WHERE lang <> 'es') d USING (doc_id)""",
 )
 def entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = table(spark, sf_dir, "documents").select("doc_id")
@@ -350,12 +350,12 @@ _ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice"]
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS)
-    update = orders.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    return orders.filter("o_orderkey % 2 = 0"), update
+    dear = orders.filter("o_totalprice > 250000")
+    return orders.filter("o_orderstatus <> 'O'"), dear.withColumn("o_totalprice", F.col("o_totalprice") + 1)
 
 
-_UPSERT_SQL = """WITH t AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0),
-u AS (SELECT o_orderkey, o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0)
+_UPSERT_SQL = """WITH t AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O'),
+u AS (SELECT o_orderkey, o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_totalprice > 250000)
 """
 _MERGED_SQL = (
     _UPSERT_SQL
@@ -390,12 +390,12 @@ def upsert_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "overwrite_table",
-    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P'",
 )
 def overwrite_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake, _ = _orders_lake(spark, sf_dir, 1)
     orders = table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS)
-    lake.overwrite("orders", orders.filter("o_orderkey % 3 <> 0"))
+    lake.overwrite("orders", orders.filter("o_orderstatus <> 'P'"))
     return lake.read("orders")
 
 
