@@ -62,7 +62,7 @@ def search(q: np.ndarray, qkey: np.ndarray, x: np.ndarray, xkey: np.ndarray, ids
     bound = q64 @ centres.T
     bound += np.linalg.norm(q64, axis=1)[:, None] * radii * (1 + 1e-9) + 1e-6 + 1e-9 * np.abs(bound)
     order = np.argsort(-bound, axis=1, kind="stable")
-    kth = floor.astype(np.float64)
+    kth = floor.copy()
     top_row, top_score = np.full((len(q), k), -1), np.full((len(q), k), np.iinfo(np.int64).min)
     alive = np.arange(len(q))
     for step in range(1 if first_only else len(tree)):
@@ -83,7 +83,7 @@ def search(q: np.ndarray, qkey: np.ndarray, x: np.ndarray, xkey: np.ndarray, ids
                 top = best(ids[all_rows], all_scores, k)
                 top_row[query, : len(top)], top_score[query, : len(top)] = all_rows[top], all_scores[top]
                 if len(top) == k:
-                    kth[query] = max(kth[query], float(top_score[query, k - 1]))
+                    kth[query] = max(kth[query], top_score[query, k - 1])
     hit = top_row >= 0
     return np.nonzero(hit)[0], top_row[hit], top_score[hit]
 

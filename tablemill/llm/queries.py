@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import ball_tree, block_neighbours, suffix_dedup
+from tablemill.llm import ball_tree, block_neighbours, jaccard_join, suffix_dedup
 from tablemill.llm.store import table
 
 QUERIES = {}
@@ -58,3 +58,9 @@ def op2_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+@query()
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
