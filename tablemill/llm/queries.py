@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablemill.llm import ball_tree, block_neighbours, jaccard_join, suffix_dedup
+from tablemill.llm import ball_tree, block_neighbours, jaccard_join, packing, personal_data, sharding, suffix_dedup
 from tablemill.llm.store import table
 
 QUERIES = {}
@@ -64,3 +65,25 @@ def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts are no group that has to stay together here: the law dealt is that of equal row counts."""
+    placed = sharding.shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    none = F.lit(None).cast("int").alias("grown_shard")
+    size = sharding.size_of(F.col("text")).alias("size")
+    return placed.select("doc_id", size, F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", none)
+
+
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [f"n_{kind}" for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, with_ids=False)
