@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import ball_tree, block_neighbours, jaccard_join, packing, personal_data, sharding, suffix_dedup
+from tablemill.llm import ball_tree, block_neighbours, html_text, jaccard_join, language, packing, personal_data, piece_lattice, sharding, suffix_dedup
 from tablemill.llm.store import table
 
 QUERIES = {}
@@ -87,3 +87,20 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, with_ids=False)
+
+
+@query()
+def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four segmentations of every turn of conversations, with their scores and the best one's ids."""
+    return piece_lattice.encode(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), n=4)
+
+
+@query()
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "text_language", "accepted")
