@@ -18,6 +18,7 @@ from tablemill.llm.store import ROW, Workspace, numbered
 
 BUCKET_BYTES = 8 << 20
 SEED = 20240
+BROADCAST_BUCKETS = 1 << 20
 
 
 def fisher_yates(n: int, draw: np.random.Generator) -> np.ndarray:
@@ -69,6 +70,8 @@ def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket_
     counts = mixed.groupBy("_op_bucket").count()
     before = F.sum("count").over(Window.orderBy("_op_bucket").rowsBetween(Window.unboundedPreceding, -1))
     begins = counts.select("_op_bucket", F.coalesce(before, F.lit(0)).alias("_op_begin"))
+    if buckets <= BROADCAST_BUCKETS:  # 16 bytes each
+        begins = F.broadcast(begins)
     dealt = mixed.join(begins, "_op_bucket").withColumn("_op_at", F.col("_op_begin") + F.col("_op_place"))
     return dealt.select(*same, F.pmod("_op_at", F.lit(shards)).cast("int").alias("shard"), F.expr(f"_op_at div {shards}").alias("slot"))
 
