@@ -11,11 +11,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "  ", "one", " one two  three\n\n four\tfive \n", "it's don't 12 3456 x", "é ü 漢字 🙂 a b", "a <|endoftext|> b", "trailing ", "\n", "word " * 5000, "x" * 3000]
 
 
-def test_ids_are_the_tokenizers():
+@pytest.mark.parametrize("ranks", [None, public_tokenizers.path("byte_bpe_50k.tiktoken")])
+def test_ids_are_the_tokenizers(spark, ranks):
     plain = Tokenizer.from_file(PATH)
-    found = packing.Encoder(PATH).ids([t or "" for t in TEXTS])
-    assert [f.tolist() for f in found] == [plain.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
-    assert all("".join(packing.Encoder.words(t)) == t for t in TEXTS if t)
+    texts = [t or "" for t in TEXTS] + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    found = packing.Encoder(PATH, ranks).ids(texts)
+    assert [f.tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(" ".join(packing.Encoder.words(t)) == t for t in texts)
 
 
 @pytest.mark.parametrize("capacity", [2048, 7, 1])
