@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.bytehash import Hashes, mix
 from tablemill.llm.components import components
-from tablemill.llm.store import ROW, Workspace, numbered
+from tablemill.llm.store import ROW, Workspace, numbered, tidy
 
 WORDS = 5
 PERCENT = 75
@@ -170,23 +170,25 @@ def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int
     """Rows of ``docs`` with set size and class, and the components of linked classes (node, label)."""
     rows = numbered(docs, F.col("text").cast("string").alias("text"))
     sketches = work.write(rows.mapInPandas(_sketches(words, percent), f"{ROW} long, n int, zone int, key long, prefix array<long>"))
-    members = sketches.select(ROW, "n", "key")
+    members = work.write(sketches.select(ROW, "n", "key"))
     classes = sketches.where("n > 0").groupBy("key").agg(F.min(ROW).alias(ROW), F.min("n").alias("n"), F.min("zone").alias("zone"), F.count("*").alias("copies"))
     classes = work.write(classes)
 
     # the shingles that more than one class has in its prefix or zone, and who has them
     spread = sketches.where("n > 0").select("key", F.explode("prefix").alias("shingle"))
-    held = spread.groupBy("shingle").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("who"), F.count("*").alias("many"))
-    held = work.write(held.where("pivot <> last").select("shingle", "pivot", F.xxhash64("pivot", "last", "who", "many").alias("region")))
+    held = spread.groupBy("shingle").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("who"))
+    held = work.write(held.where("pivot <> last").select("shingle", "pivot", F.xxhash64("pivot", "last", "who").alias("region")))
+    tidy(docs.sparkSession)
     zone = F.sum((F.col("shingle") <= ZONE).cast("int"))
     met = spread.join(held, "shingle").groupBy("region", "key").agg(F.min("pivot").alias("pivot"), F.count("*").alias("weight"), zone.alias("in_zone"))
     per_copy = [F.expr(f"{c} div copies").alias(c) for c in ("weight", "in_zone")]
     met = work.write(met.join(classes.select("key", "n", "zone", "copies"), "key").select("region", "key", "pivot", "n", "zone", *per_copy))
-    work.drop(held)
+    work.drop(held, sketches)
 
     # only texts that meet another are measured
     some = met.select("key").distinct().join(classes, "key").select("key", ROW)
     bodies = work.write(rows.join(some, ROW).select("key", "text").mapInPandas(_packed, "key long, body binary"))
+    tidy(docs.sparkSession)
 
     nearest = met.where("key <> pivot").groupBy("key", "pivot").agg(F.sum("weight").alias("weight"), F.sum("in_zone").alias("in_zone"), F.min("n").alias("n"), F.min("zone").alias("zone"))
     # a hint only: with less, a class of its own size cannot link

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ class Workspace:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables nothing will read again, and let Spark's cleaner remove old shuffle files."""
+        """Delete tables nothing will read again."""
         for table in tables:
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(table._workspace_path)
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -41,8 +42,12 @@ class Workspace:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's objects for them are collected; do not wait for chance."""
+    """Shuffle files go when the driver's objects for them are collected; do not wait for chance.
+
+    The events of the last job still name its plan for a moment after it ends.
+    """
     gc.collect()
+    time.sleep(0.7)
     spark.sparkContext._jvm.System.gc()
 
 
