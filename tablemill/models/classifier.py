@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 # Forest size and seed.
 NUM_TREES = 100
 SEED = 42
-MAX_LEAVES = 100_000
 
 
 def fit(
@@ -24,17 +23,14 @@ def fit(
     num_trees: int = NUM_TREES,
     seed: int = SEED,
     max_depth: int = 30,
-    min_leaf_rows: int | None = None,
+    min_leaf_rows: int = 1,
 ) -> PipelineModel:
     """Median imputation (fitted on ``train``), assembly and a random forest.
 
-    Trees grow until pure, up to Spark's depth limit of 30. On large tables that would make trees
-    as large as the data: unless ``min_leaf_rows`` is given, leaves hold at least one row in
-    100,000, so a tree has at most that many leaves and smaller tables are not touched.
+    Trees grow until pure, up to Spark's depth limit of 30, whatever the number of rows. A larger
+    ``min_leaf_rows`` makes smaller trees.
     """
     labelled = train.dropna(subset=[label])
-    if min_leaf_rows is None:
-        min_leaf_rows = max(labelled.count() // MAX_LEAVES, 1)
     filled = [f"__filled_{c}" for c in inputs]
     stages = [
         Imputer(strategy="median", inputCols=list(inputs), outputCols=filled),

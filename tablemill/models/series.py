@@ -19,8 +19,6 @@ from tablemill.session import materialize
 
 # two-sided 80 % of a normal distribution
 INTERVAL_Z = 1.2816
-# a yearly pattern is told from the trend only after two years
-YEARLY_DAYS = 730
 
 
 def daily_index(
@@ -101,9 +99,12 @@ def _named(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(k), lost.cast(kinds[k])).alias(k) for k in keys]
 
 
-def fit(train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y") -> DataFrame:
+def fit(
+    train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y", yearly: bool = True
+) -> DataFrame:
     """One row of coefficients per series: trend, weekly and yearly index, residual sd.
 
+    The yearly index is fitted whatever a series' length, unless ``yearly`` is False.
     ``train`` holds one row per series and day; keys are not null. The rows and each step's small
     table are written once, so that no step is computed again inside the next.
     """
@@ -134,15 +135,13 @@ def fit(train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y") ->
         (F.col("intercept") + F.col("slope") * F.col("day")).alias("line"),
         F.dayofweek("ds").alias("dow"),
         F.month("ds").alias("month"),
-        (F.datediff("last_ds", "first_ds") >= YEARLY_DAYS).alias("long_enough"),
     )
     share = F.try_divide("y", "line")
     weekly = materialize(sloped.groupBy(*keys, "dow").agg(F.avg(share).alias("weekly")), "weekly")
     in_week = sloped.join(weekly, [*keys, "dow"]).withColumn("line", F.col("line") * F.col("weekly"))
-    yearly = materialize(
-        in_week.filter("long_enough").groupBy(*keys, "month").agg(F.avg(share).alias("yearly")), "yearly"
-    )
-    fitted = in_week.join(yearly, [*keys, "month"], "left")
+    by_month = in_week if yearly else in_week.filter("false")
+    monthly = materialize(by_month.groupBy(*keys, "month").agg(F.avg(share).alias("yearly")), "yearly")
+    fitted = in_week.join(monthly, [*keys, "month"], "left")
     residual = F.col("y") - F.col("line") * F.coalesce("yearly", F.lit(1.0))
     sigma = fitted.groupBy(*keys).agg(F.stddev_samp(residual).alias("sigma"))
 
@@ -153,7 +152,7 @@ def fit(train: DataFrame, keys: Sequence[str], ds: str = "ds", y: str = "y") ->
 
     return (
         trend.join(as_map(weekly, "dow", "weekly"), keys, "left")
-        .join(as_map(yearly, "month", "yearly"), keys, "left")
+        .join(as_map(monthly, "month", "yearly"), keys, "left")
         .join(sigma, keys, "left")
     )
 

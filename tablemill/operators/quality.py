@@ -32,7 +32,8 @@ def expect_or_drop(
     if observation is not None:
         df = df.observe(observation, *violation_counts(rules))
     for predicate in rules.values():
-        df = df.filter(holds(predicate))
+        # a filter drops rows on which it is null, and the plain form can be pushed to the reader
+        df = df.filter(F.expr(predicate))
     return df
 
 

@@ -277,17 +277,15 @@ _FIT_SQL = f"""{DAILY_SQL},
 r AS (SELECT *, date_diff('day', DATE '1970-01-01', ds) AS t,
   row_number() OVER (PARTITION BY series ORDER BY ds DESC) <= {HORIZON} AS is_test FROM daily),
 tr AS (SELECT * FROM r WHERE NOT is_test),
-lin AS (SELECT series, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(t) - min(t) AS span FROM tr GROUP BY series),
+lin AS (SELECT series, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM tr GROUP BY series),
 wk AS (SELECT series, dayofweek(ds) AS dow, avg(y / (a + b * t)) AS w FROM tr JOIN lin USING (series) GROUP BY ALL),
-yr AS (SELECT series, month(ds) AS mon, avg(y / ((a + b * t) * w)) AS m FROM tr JOIN lin USING (series)
-  JOIN wk ON wk.series = tr.series AND wk.dow = dayofweek(tr.ds) WHERE span >= 730 GROUP BY tr.series, mon),
+yr AS (SELECT tr.series AS series, month(ds) AS mon, avg(y / ((a + b * t) * w)) AS m FROM tr JOIN lin USING (series)
+  JOIN wk ON wk.series = tr.series AND wk.dow = dayofweek(tr.ds) GROUP BY tr.series, mon),
 p AS (SELECT r.series, r.ds, r.y, r.is_test, (a + b * t) * coalesce(w, 1) * coalesce(m, 1) AS yhat
   FROM r JOIN lin ON lin.series = r.series
   LEFT JOIN wk ON wk.series = r.series AND wk.dow = dayofweek(r.ds)
   LEFT JOIN yr ON yr.series = r.series AND yr.mon = month(r.ds)),
-sg AS (SELECT series, stddev_samp(y - yhat) AS sigma FROM p WHERE NOT is_test GROUP BY series)""".replace(
-    "yr AS (SELECT series,", "yr AS (SELECT tr.series AS series,"
-)
+sg AS (SELECT series, stddev_samp(y - yhat) AS sigma FROM p WHERE NOT is_test GROUP BY series)"""
 
 
 def _forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
