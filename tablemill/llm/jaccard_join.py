@@ -8,23 +8,29 @@ whole corpus but for regions in which documents meet at all:
 2. Shingles are ordered by hash. Linked documents share one of the first |x| - ceil(0.75 |x|) + 1 of
    each, the prefix; the zone below a fixed hash is added to it, so that in the zone both sides are
    complete. Shingles held by the very same classes are one region, with their number as weight.
-3. The smallest class of a region is its pivot. Each class is measured against the pivot it shares most
-   weight with (its Voronoi region), and links within the distance are made.
+3. The most central class of a region is its pivot: the one whose shingles have the most holders on
+   average. Each class is measured against the pivot it shares most weight with (its Voronoi region), and
+   links within the distance are made.
 4. Where a region still holds several components, classes of different components are paired if their
    sizes allow a link, if the weight they share in the zone does, and, where both were measured against
    the same pivot, if their distances to it differ by no more than a link's (the triangle inequality's
    window; classes at a boundary appear with every region they belong to). Pairs are measured exactly.
-5. A region with more than ``crowd`` classes would give a square of pairs. A pair that meets in such
-   regions alone must reach the needed weight from them alone, and so must its smaller class, which
-   few can. These look for larger partners, in as many of their regions, the emptiest first, as leave
-   too little weight outside. Regions are joined block by block, so that no task holds a region, and
-   only pairs that pass come out.
+5. A region with more than ``crowd`` classes would give a square of pairs. Such regions are put together
+   by pivot. A pair that meets in them alone must reach the needed weight from them alone, and so must its
+   smaller class. This one looks for larger partners of a size that can link, in as many of its regions,
+   the emptiest first, as leave too little weight outside. Regions are joined block by block and exactly,
+   with a product of incidence matrices, so that no task holds a region; classes of the commonest
+   component are not joined with each other, and of a block's links only those come out that join
+   components.
 
 Every pair that links is measured or already in one component, so the components are exact.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -39,6 +45,9 @@ WORDS = 5
 PERCENT = 75
 CROWD = 64
 BLOCK = 512
+LOAD = 1 << 20
+STRIP = 4096
+PASSES = 2  # over the shingles, each with its share of the shuffle files
 PIECE = 1 << 20
 ZONE = (1 << 62) - 1  # a quarter of all hashes
 
@@ -131,39 +140,107 @@ def _links(measured: DataFrame, percent: int) -> DataFrame:
     return measured.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _block_pairs(percent: int):
-    """Pairs of a smaller and a larger class whose sizes and weight in crowded regions allow a link."""
+def shared_counts(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``one`` has in common with each of ``other``.
+
+    A product of two incidence matrices, over ``STRIP`` shingles at a time.
+    """
+    out = np.zeros((len(one), len(other)), dtype=np.int64)
+    sides = [(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate(s)) for s in (one, other)]
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    if not len(common):
+        return out
+    placed = []
+    for row, value in sides:
+        place = np.searchsorted(common, value)
+        kept = common[np.minimum(place, len(common) - 1)] == value
+        row, place = row[kept], place[kept]
+        order = np.argsort(place, kind="stable")
+        placed.append((row[order], place[order]))
+    for begin in range(0, len(common), STRIP):
+        strips = []
+        for (row, place), sets in zip(placed, (one, other), strict=True):
+            low, high = np.searchsorted(place, [begin, begin + STRIP])
+            strip = np.zeros((len(sets), min(STRIP, len(common) - begin)), dtype=np.float32)
+            strip[row[low:high], place[low:high] - begin] = 1
+            strips.append(strip)
+        out += (strips[0] @ strips[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(words: int, percent: int):
+    """Links between the askers and the others of a block, as many as join its labels and no more."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        one, other = frame[frame["asks"]], frame[~frame["asks"]]
-        n, zone, hot, label, key = (other[c].to_numpy() for c in ("n", "zone", "hot", "label", "key"))
+        unpack = zstandard.ZstdDecompressor()
+        known = {k: shingles(unpack.decompress(b).decode(), words) for k, b in zip(frame["key"], frame["body"], strict=True)}
+        asks = frame["asks"].to_numpy()
+        key, label = frame["key"].to_numpy(), frame["label"].to_numpy()
+        one, other = np.flatnonzero(asks), np.flatnonzero(~asks)
         out = []
-        for a in one.itertuples():
-            need = -(-percent * (a.n + n) // (100 + percent)) - np.minimum(a.n - a.zone, n - zone)
-            fits = (a.n <= n) & (100 * a.n >= percent * n) & (np.minimum(a.hot, hot) >= need) & (label != a.label)
-            out += [(min(a.key, b), max(a.key, b)) for b in key[fits].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+        if len(one) and len(other):
+            both = shared_counts([known[k] for k in key[one]], [known[k] for k in key[other]])
+            n = np.array([len(known[k]) for k in key])
+            linked = (100 * both >= percent * (n[one][:, None] + n[other][None, :] - both)) & (label[one][:, None] != label[other][None, :])
+            above: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while above.get(x, x) != x:
+                    above[x] = above.get(above[x], above[x])
+                    x = above[x]
+                return x
+
+            for i, j in np.argwhere(linked).tolist():
+                x, y = root(int(label[one[i]])), root(int(label[other[j]]))
+                if x != y:
+                    above[x] = y
+                    a, b = int(key[one[i]]), int(key[other[j]])
+                    out.append((min(a, b), max(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _crowded_pairs(crowded: DataFrame, percent: int) -> DataFrame:
-    """Pairs that meet in crowded regions alone, from blocks of ``BLOCK`` classes against each other."""
+def _crowded_links(crowded: DataFrame, bodies: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
+    """Links of pairs that meet in crowded regions alone, from blocks of some ``BLOCK`` classes against each other.
+
+    Within a region only classes of a size that can link meet: askers go to the band of their own size and
+    to the next. Classes of the commonest label are in blocks of their own, which do not meet.
+    """
     least = F.col("zone") - F.col("n") + (2 * percent * F.col("n") + F.lit(99 + percent)).cast("long") / (100 + percent)
     so_far = Window.partitionBy("key").orderBy("held", "region").rowsBetween(Window.unboundedPreceding, -1)
     asks = crowded.withColumn("least", F.floor(least - 1)).where("hot >= least")
     asks = asks.withColumn("before", F.coalesce(F.sum("in_zone").over(so_far), F.lit(0))).where("before <= hot - least")
-    sizes = asks.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
-    sizes = crowded.select("region", "held").distinct().join(sizes, "region")
-    sizes = sizes.select("region", "askers", F.ceil(F.col("held") / BLOCK).cast("int").alias("others"))
-    columns = ["region", "one", "other", "asks", "key", "n", "zone", "hot", "label"]
+    band = F.log("n") / F.lit(math.log(100 / percent))
+    first, last = F.floor(band).cast("int"), F.floor(band + 1 + 1e-6).cast("int")
+    asks = asks.withColumn("band", F.explode(F.sequence(first, last))).withColumn("asks", F.lit(True))
+    columns = ["region", "band", "asks", "key", "n", "label"]
+    rows = work.write(asks.select(*columns).unionByName(crowded.withColumn("band", first).withColumn("asks", F.lit(False)).select(*columns)))
 
-    def side(rows: DataFrame, own: str, count: str, against: str, number: str, asking: bool) -> DataFrame:
-        mine = rows.join(sizes, "region").withColumn(own, F.pmod(F.xxhash64("key"), F.col(count)).cast("int"))
-        return mine.withColumn(against, F.explode(F.sequence(F.lit(0), F.col(number) - 1))).withColumn("asks", F.lit(asking)).select(*columns)
+    most = rows.groupBy("region", "band", "label").count().groupBy("region", "band").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+    rows = rows.join(most, ["region", "band"]).withColumn("main", F.col("label") == F.col("most"))
 
-    both = side(asks, "one", "askers", "other", "others", True).unionByName(side(crowded, "other", "others", "one", "askers", False))
-    return both.groupBy("region", "one", "other").applyInPandas(_block_pairs(percent), "a long, b long")
+    def blocks(asking: bool, main: bool):
+        chosen = (F.col("asks") == asking) & (F.col("main") == main)
+        return F.ceil(F.greatest(F.count_if(chosen) / BLOCK, F.coalesce(F.sum(F.when(chosen, F.col("n"))), F.lit(0)) / LOAD)).cast("int")
+
+    sizes = rows.groupBy("region", "band").agg(
+        blocks(True, False).alias("ask_few"), blocks(True, True).alias("ask_main"), blocks(False, False).alias("other_few"), blocks(False, True).alias("other_main")
+    )
+    placed = rows.join(sizes, ["region", "band"])
+    few, main = F.when(F.col("asks"), F.col("ask_few")).otherwise(F.col("other_few")), F.when(F.col("asks"), F.col("ask_main")).otherwise(F.col("other_main"))
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("main"), main).otherwise(few)).cast("int") + F.when(F.col("main"), few).otherwise(0)
+    facing_few = F.when(F.col("asks"), F.col("other_few")).otherwise(F.col("ask_few"))
+    facing = facing_few + F.when(F.col("main"), 0).otherwise(F.when(F.col("asks"), F.col("other_main")).otherwise(F.col("ask_main")))
+    placed = placed.select(*columns, own.alias("own"), facing.alias("facing")).where("facing > 0").join(bodies, "key")
+    met = placed.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("facing") - 1)))
+    met = met.select("region", "band", F.when(F.col("asks"), F.col("own")).otherwise(F.col("against")).alias("one"), F.when(F.col("asks"), F.col("against")).otherwise(F.col("own")).alias("other"), "asks", "key", "label", "body")
+    return met.groupBy("region", "band", "one", "other").applyInPandas(_block_links(words, percent), "a long, b long")
+
+
+def _pivot():
+    """The most central class of a region."""
+    return F.max_by("key", F.struct("central", "key")).alias("pivot")
 
 
 def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -176,21 +253,31 @@ def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int
 
     # the shingles that more than one class has in its prefix or zone, and who has them
     spread = sketches.where("n > 0").select("key", F.explode("prefix").alias("shingle"))
-    held = spread.groupBy("shingle").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("who"))
-    held = work.write(held.where("pivot <> last").select("shingle", "pivot", F.xxhash64("pivot", "last", "who").alias("region")))
-    tidy(docs.sparkSession)
     zone = F.sum((F.col("shingle") <= ZONE).cast("int"))
-    met = spread.join(held, "shingle").groupBy("region", "key").agg(F.min("pivot").alias("pivot"), F.count("*").alias("weight"), zone.alias("in_zone"))
+    parts = []
+    for part in range(PASSES):
+        mine = spread.where(F.pmod("shingle", F.lit(PASSES)) == part)
+        # keys are mixed already; the same eight bytes three times over take no room in a shuffle file
+        held = mine.groupBy("shingle").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.bit_xor("key").alias("who"), F.count("*").alias("holders"))
+        held = work.write(held.where("first <> last").select("shingle", F.xxhash64("first", "last", "who").alias("region"), "holders"))
+        tidy(docs.sparkSession)
+        parts.append(work.write(mine.join(held, "shingle").groupBy("region", "key").agg(F.count("*").alias("weight"), zone.alias("in_zone"), F.sum("holders").alias("holders"))))
+        work.drop(held)
+    work.drop(sketches)
+    met = functools.reduce(DataFrame.unionByName, parts).groupBy("region", "key").agg(*[F.sum(c).alias(c) for c in ("weight", "in_zone", "holders")])
     per_copy = [F.expr(f"{c} div copies").alias(c) for c in ("weight", "in_zone")]
-    met = work.write(met.join(classes.select("key", "n", "zone", "copies"), "key").select("region", "key", "pivot", "n", "zone", *per_copy))
-    work.drop(held, sketches)
+    # a class is central when its shingles are held by many; what sets a copy apart is held by few
+    central = (F.sum(F.col("holders") / F.col("copies")).over(Window.partitionBy("key")) / F.col("n")).cast("float").alias("central")
+    met = work.write(met.join(classes.select("key", "n", "zone", "copies"), "key").select("region", "key", "n", "zone", *per_copy, central))
+    work.drop(*parts)
 
     # only texts that meet another are measured
     some = met.select("key").distinct().join(classes, "key").select("key", ROW)
     bodies = work.write(rows.join(some, ROW).select("key", "text").mapInPandas(_packed, "key long, body binary"))
     tidy(docs.sparkSession)
 
-    nearest = met.where("key <> pivot").groupBy("key", "pivot").agg(F.sum("weight").alias("weight"), F.sum("in_zone").alias("in_zone"), F.min("n").alias("n"), F.min("zone").alias("zone"))
+    pivots = met.groupBy("region").agg(_pivot())
+    nearest = met.join(pivots, "region").where("key <> pivot").groupBy("key", "pivot").agg(F.sum("weight").alias("weight"), F.sum("in_zone").alias("in_zone"), F.min("n").alias("n"), F.min("zone").alias("zone"))
     # a hint only: with less, a class of its own size cannot link
     nearest = nearest.where(f"in_zone >= {2 * percent} * n div {100 + percent} - n + zone")
     nearest = nearest.groupBy("key").agg(F.max_by("pivot", F.struct("weight", "pivot")).alias("pivot"))
@@ -201,8 +288,8 @@ def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int
     # distances to pivots, for the windows of the triangle inequality
     far = first.select(F.col("a").alias("key"), F.col("b").alias("centre"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
     inside = met.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    several = inside.groupBy("region").agg(F.count("*").alias("held"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_ = work.write(inside.join(several.select("region", "held"), "region").join(far, "key", "left"))
+    several = inside.groupBy("region").agg(F.count("*").alias("held"), F.min("label").alias("low"), F.max("label").alias("high"), _pivot()).where("low <> high")
+    open_ = work.write(inside.join(several.select("region", "held", "pivot"), "region").join(far, "key", "left"))
 
     quiet = open_.where(F.col("held") <= crowd).select("region", "key", "n", "zone", "in_zone", "label", "centre", "far")
     left = quiet.select("region", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "zone", "in_zone", "label", "centre", "far")])
@@ -221,9 +308,12 @@ def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int
     need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent} - least(n_a - zone_a, n_b - zone_b)")
     chosen = shared.where(reach >= need).select("a", "b")
 
-    crowded = work.write(open_.where(F.col("held") > crowd).select("region", "held", "key", "n", "zone", "in_zone", "label").join(hot, "key"))
-    met_again = _crowded_pairs(crowded, percent)
-    second = work.write(_links(_measure(chosen.unionByName(met_again).distinct(), bodies, words), percent))
+    # crowded regions of one pivot are one, or each pair would meet once for every shingle
+    crowded = open_.where(F.col("held") > crowd).groupBy(F.col("pivot").alias("region"), "key").agg(*[F.first(c).alias(c) for c in ("n", "zone", "label")], F.sum("in_zone").alias("in_zone"))
+    crowded = work.write(crowded.join(hot, "key"))
+    crowded = crowded.join(crowded.groupBy("region").agg(F.count("*").alias("held")), "region")
+    measured = _links(_measure(chosen, bodies, words), percent)
+    second = work.write(measured.unionByName(_crowded_links(crowded, bodies, work, words, percent)))
     return members, components(links.unionByName(second), work)
 
 
