@@ -67,22 +67,30 @@ class Pieces:
         forward = [0.0] + [-np.inf] * len(word)
         for end in range(1, len(word) + 1):
             forward[end] = max((forward[start] + score for start, _, score in ends[end]), default=-np.inf)
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-forward[-1], (), len(word), 0.0)]
-        found: list[Path] = []
-        # equal scores come out together, so that ties can be put in order of ids
-        while heap and (len(found) < n or -heap[0][0] == found[-1][0]):
-            _, ids, place, behind = heapq.heappop(heap)
-            if place == 0:
-                found.append((behind, ids))
-                if len(found) > 8 * n + 64:  # more ties than can matter are cut in the order found
-                    break
+        # A place is left at most n times, for its n best ways to the word's end: the heap gives them in order,
+        # equal totals from right to left and then by the piece that begins there and the rank of what follows it.
+        ways: list[list[tuple[float, tuple[int, ...], int, int]]] = [[] for _ in range(len(word) + 1)]
+        heap: list[tuple[float, int, int, int, float, tuple[int, ...], int]] = [(-forward[-1], -len(word), -1, 0, 0.0, (), len(word))]
+        while heap and len(ways[0]) < n:
+            _, minus, _, rank, behind, piece, after = heapq.heappop(heap)
+            place = -minus
+            if len(ways[place]) >= n:
                 continue
-            for start, piece, score in ends[place]:
-                heapq.heappush(heap, (-(forward[start] + score + behind), piece + ids, start, behind + score))
-        return sorted(found, key=lambda p: (-p[0], p[1]))[:n]
+            ways[place].append((behind, piece, after, rank))
+            for start, ids, score in ends[place]:
+                total = behind + score
+                heapq.heappush(heap, (-(forward[start] + total), -start, ids[0], len(ways[place]) - 1, total, ids, place))
+        found: list[Path] = []
+        for behind, ids, after, rank in ways[0]:
+            whole = list(ids)
+            while after < len(word):
+                _, ids, after, rank = ways[after][rank]
+                whole += ids
+            found.append((behind, tuple(whole)))
+        return found
 
     def word(self, word: str, n: int) -> list[Path]:
-        """As ``search``, remembered; a word without end is searched in pieces of 256 characters."""
+        """As ``search``, remembered."""
         have = self.known.get((word, n))
         if have is None:
             if len(self.known) >= CACHE:

@@ -36,6 +36,16 @@ def test_n_best_are_the_best(text):
     assert {p for _, p in found} <= {p for _, p in wanted}
 
 
+@pytest.mark.parametrize("text", ["ab", "aaaaaaaa", "abababab", "thethe", "é漢"])
+def test_ties_in_order_of_ids(text):
+    assert MODEL.search(piece_lattice.normalised(text), 12) == all_ways(text)[:12]
+
+
+def test_long_word():
+    found = MODEL.search("ab" * 5000, 4)
+    assert len(set(found)) == 4 and found == sorted(found, key=lambda p: (-p[0], p[1]))
+
+
 @pytest.mark.parametrize("text", TEXTS)
 def test_round_trip(text):
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
