@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, IllegalArgumentException, PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,10 @@ from tablemill.streaming.ingest import bronze, silver
 
 FEATURE_KEY = "id"
 
+#: What Spark reports of a saved model that is not there, or not one.
+BROKEN_FILES = ("FAILED_READ_FILE.FILE_NOT_EXIST", "FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER")
+BROKEN_MODEL = ("FileNotFoundException", "InvalidInputException", "AnalysisException", "ClassNotFoundException", "MappingException", "JsonParseException", "NoSuchElementException")
+
 
 @dataclass(frozen=True)
 class Project:
@@ -329,10 +333,25 @@ def _register(
     return project.registry.register_version(model, run, path, inputs)
 
 
+def unreadable(error: Exception) -> bool:
+    """Whether a failure to load says that the model is missing or broken, not that the cluster had trouble."""
+    if isinstance(error, (AnalysisException, IllegalArgumentException, LookupError, ValueError)):
+        return True
+    if isinstance(error, PySparkException):
+        return (error.getCondition() or "") in BROKEN_FILES
+    cause = error.java_exception
+    while cause is not None:
+        if cause.getClass().getSimpleName() in BROKEN_MODEL:
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def _evaluate(project: Project, model: str, kind: str, load: Callable, compare: Callable) -> Promotion:
-    """Score the challenger and, if there is one that loads, the champion; move the alias.
+    """Score the challenger and, if there is one that can be scored, the champion; move the alias.
 
-    Only a missing or unloadable champion promotes by default; any other failure is raised.
+    A champion that is missing, unreadable or at odds with the table's columns promotes by default; any
+    other failure is raised, and so is one that the challenger meets alone.
     """
     registry = project.registry
     challenger = registry.challenger(model, PIPELINE_MODEL_TYPES[kind])
@@ -341,9 +360,15 @@ def _evaluate(project: Project, model: str, kind: str, load: Callable, compare:
     if champion is not None:
         try:
             candidates["champion"] = load(registry.version(model, champion).path)
-        except (Py4JJavaError, PySparkException, LookupError):
-            pass
-    found = compare(candidates)
+        except (Py4JJavaError, PySparkException, LookupError, ValueError) as error:
+            if not unreadable(error):
+                raise
+    try:
+        found = compare(candidates)
+    except (AnalysisException, IllegalArgumentException):
+        if candidates.pop("champion", None) is None:
+            raise
+        found = compare(candidates)
     metric, higher_is_better = DECIDING[kind]
     old = found.get("champion")
     promoted = decide(
@@ -401,6 +426,7 @@ def monitor_table(
     window = F.lit(f"v{version}")
     columns = numeric_features(current)
     if monitor.monitor_kind(table) == "inference_log":
+        columns = ["prediction"]  # the version that scored a row is no measure
         window = F.date_format("day", "yyyy-MM-dd")
         profiled = monitor.profile_log(current, problem_type=problem_type, quantiles=quantiles)
         if problem_type == "classification":

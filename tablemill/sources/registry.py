@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablemill.session import one_row
 from tablemill.sources.lake import Lake
@@ -32,15 +31,26 @@ SCHEMAS = {
 
 
 class Registry:
-    """The four tables in a :class:`Lake`, created on first use."""
+    """The four tables beside those of a :class:`Lake`, created on first use.
+
+    Each append is a folder of its own, so jobs that run side by side lose nothing of each other's; a
+    table is all finished folders. Version numbers count up from what is there: train one model in one
+    job at a time.
+    """
 
     def __init__(self, lake: Lake) -> None:
         self.lake = lake
-        for name, ddl in SCHEMAS.items():
-            lake.create_if_absent(name, T.StructType.fromDDL(ddl))
+        self.home = f"{lake.root.rstrip('/')}/{lake.catalog}/{lake.schema}/registry"
+        for name in SCHEMAS:
+            folder = lake.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
+            folder.getFileSystem(lake.spark._jsc.hadoopConfiguration()).mkdirs(folder)
 
     def table(self, name: str) -> DataFrame:
-        return self.lake.read(name)
+        reader = self.lake.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", True)
+        return reader.parquet(f"{self.home}/{name}")
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.home}/{name}/{uuid.uuid4().hex}")
 
     # -- runs ---------------------------------------------------------------------------------
 
@@ -54,7 +64,7 @@ class Registry:
         """Record a run; ``stepped`` holds metrics with a step, such as an elbow curve."""
         run_id = run_id or uuid.uuid4().hex
         spark = self.lake.spark
-        self.lake.append(
+        self._append(
             "runs",
             one_row(
                 spark,
@@ -75,7 +85,7 @@ class Registry:
         ]
         if points:
             history = one_row(spark, run_id=run_id, points=F.array(*points))
-            self.lake.append("run_metric_history", history.select("run_id", F.inline("points")))
+            self._append("run_metric_history", history.select("run_id", F.inline("points")))
         return run_id
 
     # -- versions and aliases -----------------------------------------------------------------
@@ -95,7 +105,7 @@ class Registry:
             signature=json.dumps(list(inputs)),
             registered_at=F.current_timestamp(),
         )
-        self.lake.append("model_versions", row)
+        self._append("model_versions", row)
         return version
 
     def set_alias(self, model: str, alias: str, version: int) -> None:
@@ -106,7 +116,7 @@ class Registry:
             version=F.lit(version).cast("bigint"),
             set_at=F.current_timestamp(),
         )
-        self.lake.append("model_aliases", row)
+        self._append("model_aliases", row)
 
     def alias_version(self, model: str, alias: str = "champion") -> int | None:
         row = resolve_aliases(

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import DATA, rows
@@ -87,6 +88,44 @@ def test_unloadable_champion_is_replaced(project, labels):
     assert project.registry.alias_version("broken") == 1
 
 
+def test_corrupt_champion_is_replaced(project, labels):
+    jobs.train_classification(project, labels, "x_features", "corrupt", num_trees=2, max_depth=2)
+    run = project.registry.log_run({"model_type": "external"}, {})
+    path = project.models + "/corrupt_model"
+    project.lake.spark.range(1).selectExpr("'no model' AS value").write.text(path + "/metadata")
+    project.registry.set_alias("corrupt", "champion", project.registry.register_version("corrupt", run, path))
+    found = jobs.evaluate_classification(project, labels, "x_features", "corrupt")
+    assert found.promoted and found.champion_metrics is None
+
+
+def test_champion_on_a_lost_column_is_replaced(project, labels):
+    features = project.lake.read("x_features")
+    project.lake.create_if_absent("wide_features", features.withColumn("gone", F.lit(1.0)).schema, ["id"])
+    project.lake.overwrite("wide_features", features.withColumn("gone", F.rand(1)))
+    jobs.train_classification(project, labels, "wide_features", "lost", num_trees=2, max_depth=2)
+    assert jobs.evaluate_classification(project, labels, "wide_features", "lost").promoted
+    jobs.train_classification(project, labels, "x_features", "lost", num_trees=2, max_depth=2)
+    found = jobs.evaluate_classification(project, labels, "x_features", "lost")
+    assert found.promoted and found.champion == 1 and found.champion_metrics is None
+
+
+def test_trouble_while_loading_does_not_promote(project, labels, monkeypatch):
+    jobs.train_classification(project, labels, "x_features", "shaky", num_trees=2, max_depth=2)
+    jobs.evaluate_classification(project, labels, "x_features", "shaky")
+    load = jobs.PipelineModel.load
+    loaded = []
+
+    def once(path):
+        loaded.append(path)
+        if len(loaded) > 1:
+            raise PySparkException("executors lost")
+        return load(path)
+
+    monkeypatch.setattr(jobs.PipelineModel, "load", once)
+    with pytest.raises(PySparkException):
+        jobs.evaluate_classification(project, labels, "x_features", "shaky")
+
+
 def test_clustering(project):
     jobs.train_clustering(project, "x_features", "k", k=3, restarts=2, elbow=[2, 3, 4], silhouette="squared")
     run = project.registry.table("runs").filter("params['model_type'] = 'KMeans'").first()

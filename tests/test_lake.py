@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,10 @@ def test_registry(lake):
     assert registry.alias_version("m") == 2
     assert registry.version("m", 1).path == "p1"
     assert rows(registry.table("run_metric_history").select("step", "value")) == [(2, 5.0), (3, 4.0)]
+
+
+def test_runs_of_parallel_jobs_are_all_kept(lake):
+    registry = Registry(lake)
+    with ThreadPoolExecutor(3) as pool:
+        logged = list(pool.map(lambda i: registry.log_run({"i": i}, {"v": i}), range(30)))
+    assert sorted(r["run_id"] for r in registry.table("runs").collect()) == sorted(logged)
