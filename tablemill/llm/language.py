@@ -26,7 +26,8 @@ from tablemill.llm.store import ROW, Workspace, numbered
 
 BITS = 16
 SAMPLE_ROWS = 2_000  # labelled rows a language's model is fitted on at most
-MAX_LANGUAGES = 64
+BLOCK = 128  # languages whose model a task holds at a time: 32 MB
+SLICE = 1 << 14  # trigrams of a text looked up at a time
 TEXT_WEIGHT = 40.0
 STRENGTH = 20.0  # rows that a prior from the level above counts for
 CHUNK = 1 << 20
@@ -66,26 +67,42 @@ def _counted(batches):
             yield pd.DataFrame({"label": label, "gram": gram, "n": counts[gram]})
 
 
-def fit(docs: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each trigram in each, from the labelled rows of smallest hash."""
+def label_of(column: str) -> Column:
+    """A label in one spelling: lower case, no blanks around it, parts joined by hyphens."""
+    return F.nullif(F.translate(F.trim(F.lower(F.col(column).cast("string"))), "_", "-"), F.lit(""))
+
+
+class Model:
+    """Languages and the log probability of each trigram in each, in blocks of languages small enough to be sent to a task."""
+
+    def __init__(self, names: list[str], counts: DataFrame | None):
+        self.names, self.counts = names, counts
+
+    def blocks(self):
+        """Arrays of at most BLOCK languages by trigrams, in the order of the names."""
+        for at in range(0, len(self.names), BLOCK):
+            place = {name: i for i, name in enumerate(self.names[at : at + BLOCK])}
+            found = self.counts.where(F.col("label").between(self.names[at], self.names[at + len(place) - 1])).toPandas()
+            table = np.zeros((len(place), 1 << BITS), dtype=np.float32)
+            table[found["label"].map(place), found["gram"]] = found["n"]
+            table += 0.05
+            yield np.log(table / table.sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
+
+
+def fit(docs: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model of the labelled rows of smallest hash, of every label there is."""
+    work = Workspace(docs.sparkSession, "model")
     rank = F.xxhash64(ROW)  # of the row, so that copies of a text are as many rows
-    named = numbered(docs, F.lower(F.col(label).cast("string")).alias("label"), F.col("text").cast("string").alias("text")).where("label is not null and trim(label) <> ''")
+    named = numbered(docs, label_of(label).alias("label"), F.col("text").cast("string").alias("text")).where("label is not null")
     ordered = named.select("label", rank.alias("rank")).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("rank")))
-    # at most MAX_LANGUAGES rows: the hash up to which a language's rows are taken
-    last = ordered.where(F.col("place") <= sample_rows).groupBy("label").agg(F.max("rank").alias("last")).limit(MAX_LANGUAGES + 1).collect()
-    if len(last) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = sorted(r["label"] for r in last)
+    # the hash up to which a language's rows are taken
+    last = work.write(ordered.where(F.col("place") <= sample_rows).groupBy("label").agg(F.max("rank").alias("last")))
+    names = sorted(r["label"] for r in last.select("label").collect())
     if not names:
-        return [], np.zeros((0, 1 << BITS))
-    chosen = F.lit(False)
-    for r in last:
-        chosen = chosen | ((F.col("label") == r["label"]) & (rank <= r["last"]))
-    counts = named.where(chosen).mapInPandas(_counted, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((len(names), 1 << BITS))
-    table[counts["label"].map(names.index), counts["gram"]] = counts["n"]
-    table += 0.05
-    return names, np.log(table / table.sum(1, keepdims=True))
+        return Model([], None)
+    chosen = named.join(last, "label").where(rank <= F.col("last")).select("label", "text")
+    counts = chosen.mapInPandas(_counted, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    return Model(names, work.write(counts))
 
 
 def _likelihoods(model: np.ndarray):
@@ -98,29 +115,36 @@ def _likelihoods(model: np.ndarray):
             for row, text in zip(batch[ROW], batch["text"], strict=True):
                 gram = trigrams(text) if text else np.empty(0, dtype=np.int64)
                 mean = np.zeros(by_gram.shape[1])
-                for at in range(0, len(gram), CHUNK):
-                    mean += by_gram[gram[at : at + CHUNK]].sum(0)
+                for at in range(0, len(gram), SLICE):
+                    mean += by_gram[gram[at : at + SLICE]].sum(0, dtype=np.float64)
                 out.append((row, len(gram), mean / max(1, len(gram))))
             yield pd.DataFrame(out, columns=[ROW, "grams", "fit"])
 
     return run
 
 
-def _tables(known: DataFrame, column: str, names: list[str]) -> dict[str, list[float]]:
-    """log P(value | language) of the values that are languages or common, from counts over all rows."""
-    counts = known.where(F.col(column).isNotNull()).groupBy(column).agg(*[F.count_if(F.col("alone") == i).alias(f"n{i}") for i in range(len(names))], F.count("*").alias("all"))
-    top = counts.orderBy(F.desc("all"), column).limit(4 * MAX_LANGUAGES).collect()
-    total = [sum(r[f"n{i}"] for r in top) for i in range(len(names))]
-    return {r[column]: [float(np.log((r[f"n{i}"] + 0.5) / (total[i] + 0.5 * (len(top) + 1)))) for i in range(len(names))] for r in top}
+def _by_value(known: DataFrame, *keys: str) -> DataFrame:
+    """For each value of the keys, ``n``: how many of its rows the text alone gives to each language, a map by number."""
+    pairs = known.where(F.col(keys[0]).isNotNull()).groupBy(*keys, "alone").agg(F.count("*").alias("n"))
+    return pairs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("alone").isNotNull(), F.struct("alone", "n")))).alias("n"))
+
 
+def _totals(known: DataFrame, size: int) -> list[int]:
+    found = {r["alone"]: r["count"] for r in known.where("alone is not null").groupBy("alone").count().collect()}
+    return [found.get(i, 0) for i in range(size)]
 
-def _spoken(column: str, table: dict[str, list[float]], names: list[str]) -> Column:
-    """The evidence of a value as an array; a value without evidence says nothing."""
-    nothing = F.array(*[F.lit(0.0)] * len(names))
-    if not table:
-        return nothing
-    pairs = [x for value, row in table.items() for x in (F.lit(value), F.array(*map(F.lit, row)))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.col(column)), nothing)
+
+def _of(n: Column, i: Column) -> Column:
+    return F.coalesce(F.element_at(n, i), F.lit(0)).cast("double")
+
+
+def _tables(known: DataFrame, column: str, size: int, work: Workspace) -> DataFrame:
+    """log P(value | language) of every value, as an array named as the column with _says, from counts over all rows."""
+    values = work.write(_by_value(known, column))
+    total = F.array(*map(F.lit, _totals(known.where(F.col(column).isNotNull()), size)))
+    below = F.lit(0.5 * (values.count() + 1))
+    says = F.transform(total, lambda t, i: F.log((_of(F.col("n"), i) + 0.5) / (t + below)))
+    return work.write(values.select(column, says.alias(f"{column}_says")))
 
 
 def host_of(address: Column) -> Column:
@@ -140,24 +164,19 @@ def markup_language(source: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(source, r"(?i)<html\b[^>]{0,1000}?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
 
 
-def _host_priors(known: DataFrame, names: list[str], strength: float) -> DataFrame:
+def _host_priors(known: DataFrame, size: int, strength: float) -> tuple[DataFrame, list[float]]:
     """log P(language | host), smoothed by the host's domain, and that by all rows."""
-    sums = [F.count_if(F.col("alone") == i).cast("double") for i in range(len(names))]
-    hosts = known.where("host is not null").groupBy("host", "domain").agg(F.array(*sums).alias("n"))
-
-    def added(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(names))]).alias("n"))
+    every = _totals(known, size)
+    base = [(x + 1) / (sum(every) + size) for x in every]
+    above = F.array(*map(F.lit, base))
 
-    def total(n: Column) -> Column:
-        return F.aggregate(n, F.lit(0.0), lambda a, b: a + b)
+    def smoothed(n: Column, up: Column) -> Column:
+        rows = F.aggregate(F.map_values(n), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.transform(up, lambda x, i: (_of(n, i) + strength * x) / (rows + strength))
 
-    overall = known.agg(F.array(*sums).alias("n")).first()["n"]
-    base = [(x + 1) / (sum(overall) + len(names)) for x in overall]
-    above = F.array(*map(F.lit, base))
-    domains = added(hosts, "domain").select("domain", F.zip_with("n", above, lambda a, b: a + strength * b).alias("up"), (total(F.col("n")) + strength).alias("of"))
-    domains = domains.select("domain", F.transform("up", lambda x: x / F.col("of")).alias("up"))
-    smooth = F.zip_with("n", "up", lambda a, b: a + strength * b)
-    return hosts.join(domains, "domain").select("host", F.transform(smooth, lambda x: F.log(x / (total(F.col("n")) + strength))).alias("prior")), base
+    domains = _by_value(known, "domain").select("domain", smoothed(F.col("n"), above).alias("up"))
+    hosts = _by_value(known, "host", "domain").join(domains, "domain")
+    return hosts.select("host", F.transform(smoothed(F.col("n"), F.col("up")), lambda x: F.log(x)).alias("prior")), base
 
 
 def identify(
@@ -170,11 +189,12 @@ def identify(
     sample_rows: int = SAMPLE_ROWS,
     text_weight: float = TEXT_WEIGHT,
     strength: float = STRENGTH,
+    model: Model | None = None,
 ) -> DataFrame:
     """Adds language, confidence (its posterior), text_language (by the text alone) and accepted.
 
-    ``label`` names the column whose values the text model is fitted on, ``declared`` what the markup
-    declares, ``address`` a URL from which host, domain and suffix are taken, ``host`` a host's name where
+    ``label`` names the column whose values the text model is fitted on, unless ``model`` is one that was
+    fitted on other rows; any number of languages is fitted. ``declared`` is what the markup declares, ``address`` a URL from which host, domain and suffix are taken, ``host`` a host's name where
     there is no URL. Evidence that is null says nothing. ``wanted`` are the languages to accept, all if
     None.
 
@@ -186,22 +206,30 @@ def identify(
     spark = docs.sparkSession
     made = ["language", "confidence", "text_language", "accepted"]
     same = [c for c in docs.columns if c not in made]
-    names, model = fit(docs, label, sample_rows)
+    model = fit(docs, label, sample_rows) if model is None else model
+    names = model.names
     if not names:
         none = F.lit(None)
         return docs.select(*same, none.cast("string").alias("language"), none.cast("double").alias("confidence"), none.cast("string").alias("text_language"), F.lit(False).alias("accepted"))
     work = Workspace(spark, "language")
     null = F.lit(None).cast("string")
     where = host_of(F.col(address)) if address else F.lower(F.col(host).cast("string")) if host else null
-    said = F.lower(F.col(declared).cast("string")) if declared else null
+    said = label_of(declared) if declared else null
     facts = numbered(docs, said.alias("declared"), where.alias("host")).select(ROW, "declared", "host", domain_of(F.col("host")).alias("domain"), (suffix_of(F.col("host")) if address else null).alias("suffix"))
-    texts = numbered(docs, F.col("text").cast("string").alias("text")).mapInPandas(_likelihoods(model), f"{ROW} long, grams long, fit array<double>")
+    rows = numbered(docs, F.col("text").cast("string").alias("text"))
+    texts = None
+    for block in model.blocks():
+        part = rows.mapInPandas(_likelihoods(block), f"{ROW} long, grams long, fit array<double>")
+        texts = part if texts is None else texts.join(part.select(ROW, F.col("fit").alias("more")), ROW).select(ROW, "grams", F.concat("fit", "more").alias("fit"))
     alone = F.when(F.col("grams") > 0, F.array_position("fit", F.array_max("fit")).cast("int") - 1)
     known = work.write(facts.join(texts, ROW).withColumn("alone", alone))
 
-    priors, base = _host_priors(known, names, strength)
-    evidence = [_spoken(c, _tables(known, c, names), names) for c in ("declared", "suffix")]
+    priors, base = _host_priors(known, len(names), strength)
     joined = known.join(priors, "host", "left")
+    evidence = []
+    for column in [c for c, given in (("declared", declared), ("suffix", address)) if given]:
+        joined = joined.join(_tables(known, column, len(names), work), column, "left")
+        evidence.append(F.coalesce(f"{column}_says", F.array_repeat(F.lit(0.0), len(names))))
     weight = F.least(F.col("grams").cast("double"), F.lit(text_weight))
     score = F.transform("fit", lambda x: x * weight)
     for more in [*evidence, F.coalesce("prior", F.array(*[F.lit(float(np.log(b))) for b in base]))]:

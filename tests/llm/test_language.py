@@ -54,3 +54,23 @@ def test_trigrams_in_pieces(monkeypatch, chunk):
     monkeypatch.setattr(language, "CHUNK", chunk)
     assert len(language.trigrams("one two three")) >= 13
     assert len(language.trigrams("12 34")) == 0
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", 40)
+    words = {f"l{i:03d}": " ".join(chr(0x4E00 + 30 * i + j) * 3 for j in range(10)) for i in range(100)}
+    rows = [(10 * i + j, text, [name, f" {name.upper()} "][j % 2], None, None, None) for i, (name, text) in enumerate(words.items()) for j in range(4)]
+    out = language.identify(spark.createDataFrame(rows, PAGES), declared=None, host=None).collect()
+    assert all(r["language"] == r["text_language"] == r["lang"].strip().lower() for r in out) and len(out) == 400
+
+
+def test_rare_values_count(spark):
+    text = {"en": "the house and the garden are here with them", "de": "das Haus und der Garten sind hier mit ihnen"}
+    suffixes = [a + b for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnopqr"]
+    rows = [(i, text["en"], "en", None, None, f"http://h{i}.{s}/{j}") for i, s in enumerate(suffixes) for j in range(3)]
+    rows += [(1000 + i, text["de"], "de", None, None, f"http://g{i}.zz/") for i in range(2)]
+    rows += [(2000, "xy", None, None, None, "http://new.zz/")]
+    out = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, PAGES), declared=None, host=None, address="url", strength=1e6).collect()}
+    plain = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, PAGES), declared=None, host=None, strength=1e6).collect()}
+    share = [(r[2000]["confidence"] if r[2000]["language"] == "de" else 1 - r[2000]["confidence"]) for r in (plain, out)]
+    assert share[1] > 2 * share[0]
