@@ -28,6 +28,7 @@ BITS = 16
 SAMPLE_ROWS = 2_000  # labelled rows a language's model is fitted on at most
 BLOCK = 128  # languages whose model a task holds at a time: 32 MB
 SLICE = 1 << 14  # trigrams of a text looked up at a time
+RANK_BITS = 12
 TEXT_WEIGHT = 40.0
 STRENGTH = 20.0  # rows that a prior from the level above counts for
 CHUNK = 1 << 20
@@ -75,8 +76,9 @@ def label_of(column: str) -> Column:
 class Model:
     """Languages and the log probability of each trigram in each, in blocks of languages small enough to be sent to a task."""
 
-    def __init__(self, names: list[str], counts: DataFrame | None):
+    def __init__(self, names: list[str], counts: DataFrame | None, ranked: DataFrame | None = None):
         self.names, self.counts = names, counts
+        self.ranked = ranked  # the rows that were sorted by hash
 
     def blocks(self):
         """Arrays of at most BLOCK languages by trigrams, in the order of the names."""
@@ -94,15 +96,22 @@ def fit(docs: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     work = Workspace(docs.sparkSession, "model")
     rank = F.xxhash64(ROW)  # of the row, so that copies of a text are as many rows
     named = numbered(docs, label_of(label).alias("label"), F.col("text").cast("string").alias("text")).where("label is not null")
-    ordered = named.select("label", rank.alias("rank")).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("rank")))
+    # how many rows of a language have which leading bits of the hash; only the rows of one such bucket are ranked
+    ranks = named.select("label", rank.alias("rank"), F.shiftright(rank, 64 - RANK_BITS).alias("bucket"))
+    sizes = ranks.groupBy("label", "bucket").agg(F.count("*").alias("n")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("sizes"))
+    none = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("bucket"))
+    more = lambda s, x: F.struct((s["upto"] + x["n"]).alias("upto"), s["upto"].alias("below"), x["bucket"].alias("bucket"))
+    edge = work.write(sizes.select("label", F.aggregate("sizes", none, lambda s, x: F.when(s["upto"] >= sample_rows, s).otherwise(more(s, x))).alias("edge")).select("label", "edge.*"))
+    ranked = ranks.join(edge, ["label", "bucket"])
+    at_edge = ranked.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("rank")))
     # the hash up to which a language's rows are taken
-    last = work.write(ordered.where(F.col("place") <= sample_rows).groupBy("label").agg(F.max("rank").alias("last")))
+    last = work.write(at_edge.where(F.col("below") + F.col("place") <= sample_rows).groupBy("label").agg(F.max("rank").alias("last")))
     names = sorted(r["label"] for r in last.select("label").collect())
     if not names:
         return Model([], None)
     chosen = named.join(last, "label").where(rank <= F.col("last")).select("label", "text")
     counts = chosen.mapInPandas(_counted, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    return Model(names, work.write(counts))
+    return Model(names, work.write(counts), ranked)
 
 
 def _likelihoods(model: np.ndarray):

@@ -74,3 +74,14 @@ def test_rare_values_count(spark):
     plain = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, PAGES), declared=None, host=None, strength=1e6).collect()}
     share = [(r[2000]["confidence"] if r[2000]["language"] == "de" else 1 - r[2000]["confidence"]) for r in (plain, out)]
     assert share[1] > 2 * share[0]
+
+
+def test_sample_is_of_smallest_hashes_without_sorting_a_language(spark, tmp_path):
+    spark.range(0, 20_000, 1, 4).selectExpr("if(id % 50 = 0, 'de', 'en') as lang", "concat('w', translate(cast(id as string), '0123456789', 'abcdefghij')) as text").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    model = language.fit(docs, "lang", 3_000)
+    found = {r["label"]: r["n"] for r in model.counts.groupBy("label").agg(language.F.sum("n").alias("n")).collect()}
+    rows = language.numbered(docs, "lang", "text").withColumn("rank", language.F.xxhash64(language.ROW)).toPandas().sort_values("rank")
+    for name in ("de", "en"):
+        assert found[name] == sum(len(language.trigrams(t)) for t in rows[rows["lang"] == name]["text"][:3_000])
+    assert model.ranked.count() <= 2 * 20_000 / 1_000
