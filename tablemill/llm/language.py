@@ -9,8 +9,9 @@
 - The host: the languages of its rows, smoothed towards those of its domain, and these towards those of
   all rows. All are grouped aggregates; a host with a third of the rows is summed up before the shuffle.
 
-A row is rejected if it has no letters, if every language explains its text worse than trigrams drawn at
-random would, or if the language it is in is not among those wanted.
+A row is rejected if it has no letters or if the language it is in is not among those wanted. A text that every
+language explains worse than trigrams drawn at random would is in none of them: it may well be a clean text in a
+language without labelled rows. Such rows are rejected too, unless ``unknown`` names a class for them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SAMPLE_ROWS = 2_000  # labelled rows a language's model is fitted on at most
 BLOCK = 128  # languages whose model a task holds at a time: 32 MB
 SLICE = 1 << 14  # trigrams of a text looked up at a time
 RANK_BITS = 12
+UNSEEN = 0.05  # of a text's trigrams are drawn from all alike
 TEXT_WEIGHT = 40.0
 STRENGTH = 20.0  # rows that a prior from the level above counts for
 CHUNK = 1 << 20
@@ -87,8 +89,9 @@ class Model:
             found = self.counts.where(F.col("label").between(self.names[at], self.names[at + len(place) - 1])).toPandas()
             table = np.zeros((len(place), 1 << BITS), dtype=np.float32)
             table[found["label"].map(place), found["gram"]] = found["n"]
-            table += 0.05
-            yield np.log(table / table.sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
+            share = table / table.sum(1, keepdims=True, dtype=np.float64).clip(1)
+            # an unseen trigram is as likely in a language of many labelled rows as in one of few
+            yield np.log((1 - UNSEEN) * share + UNSEEN / (1 << BITS)).astype(np.float32)
 
 
 def fit(docs: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -199,17 +202,19 @@ def identify(
     text_weight: float = TEXT_WEIGHT,
     strength: float = STRENGTH,
     model: Model | None = None,
+    unknown: str | None = None,
 ) -> DataFrame:
     """Adds language, confidence (its posterior), text_language (by the text alone) and accepted.
 
     ``label`` names the column whose values the text model is fitted on, unless ``model`` is one that was
     fitted on other rows; any number of languages is fitted. ``declared`` is what the markup declares, ``address`` a URL from which host, domain and suffix are taken, ``host`` a host's name where
     there is no URL. Evidence that is null says nothing. ``wanted`` are the languages to accept, all if
-    None.
+    None. ``unknown`` is the language given to texts with letters that no fitted language explains; they are
+    then accepted as those of any other language are, and have no confidence.
 
     A row without letters (a null, empty or blank text, numbers) has no text_language and is rejected; its
     language is what the other evidence says. Without any labelled row every language is null and nothing
-    is accepted. Rows that repeat are each judged alike; an empty table gives an empty one. Columns of the
+    is accepted, or every text with letters is ``unknown``. Rows that repeat are each judged alike; an empty table gives an empty one. Columns of the
     names added are replaced; names that begin with ``_op_`` are the operator's own.
     """
     spark = docs.sparkSession
@@ -219,7 +224,9 @@ def identify(
     names = model.names
     if not names:
         none = F.lit(None)
-        return docs.select(*same, none.cast("string").alias("language"), none.cast("double").alias("confidence"), none.cast("string").alias("text_language"), F.lit(False).alias("accepted"))
+        name = F.when(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(unknown).cast("string"))
+        taken = name.isNotNull() & (name.isin(wanted) if wanted is not None else F.lit(True))
+        return docs.select(*same, name.alias("language"), none.cast("double").alias("confidence"), name.alias("text_language"), F.coalesce(taken, F.lit(False)).alias("accepted"))
     work = Workspace(spark, "language")
     null = F.lit(None).cast("string")
     where = host_of(F.col(address)) if address else F.lower(F.col(host).cast("string")) if host else null
@@ -249,9 +256,13 @@ def identify(
     language = F.element_at(listed, F.array_position("score", F.col("top")).cast("int"))
     chance = -BITS * float(np.log(2))
     fits = (F.col("grams") > 0) & (F.array_max("fit") > chance)
-    told = scored.select(
-        ROW, language.alias("_op_language"), (1 / spread).alias("_op_confidence"), F.when(F.col("grams") > 0, F.element_at(listed, F.col("alone") + 1)).alias("_op_alone"), F.coalesce(fits, F.lit(False)).alias("_op_fits")
-    )
+    by_text = F.when(F.col("grams") > 0, F.element_at(listed, F.col("alone") + 1))
+    confidence = 1 / spread
+    if unknown is not None:
+        stray = (F.col("grams") > 0) & ~fits
+        language, by_text = (F.when(stray, F.lit(unknown)).otherwise(c) for c in (language, by_text))
+        confidence, fits = F.when(~stray, confidence), F.col("grams") > 0
+    told = scored.select(ROW, language.alias("_op_language"), confidence.alias("_op_confidence"), by_text.alias("_op_alone"), F.coalesce(fits, F.lit(False)).alias("_op_fits"))
     told = work.write(told)
     accepted = F.col("_op_fits") & (F.col("_op_language").isin(wanted) if wanted is not None else F.lit(True))
     columns = [F.col("_op_language").alias("language"), F.col("_op_confidence").alias("confidence"), F.col("_op_alone").alias("text_language"), accepted.alias("accepted")]

@@ -85,3 +85,17 @@ def test_sample_is_of_smallest_hashes_without_sorting_a_language(spark, tmp_path
     for name in ("de", "en"):
         assert found[name] == sum(len(language.trigrams(t)) for t in rows[rows["lang"] == name]["text"][:3_000])
     assert model.ranked.count() <= 2 * 20_000 / 1_000
+
+
+@pytest.mark.parametrize("copies", [40, 4_000])
+def test_unlabelled_languages_stay(spark, tmp_path, copies):
+    rows = [(i, "the house and the garden are here with them", "en", None, None, None) for i in range(copies)]
+    rows += [(-1, "Широкая электрификация южных губерний даст мощный толчок", None, None, None, None), (-2, "12 345 --", None, None, None, None), (-3, "a house, a garden, the hare", None, None, None, None)]
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    out = {r["doc_id"]: r for r in language.identify(docs, declared=None, host=None, unknown="unknown").where("doc_id < 0").collect()}
+    assert (out[-1]["language"], out[-1]["text_language"], out[-1]["confidence"]) == ("unknown", "unknown", None)
+    assert out[-3]["language"] == "en" and [out[i]["accepted"] for i in (-1, -2, -3)] == [True, False, True]
+    assert language.accepted(docs, host=None, unknown="unknown", wanted=["en"]).where("doc_id < 0").count() == 1
+    none = docs.drop("lang").selectExpr("*", "cast(null as string) as lang").where("doc_id < 0")
+    assert sorted(r["doc_id"] for r in language.accepted(none, unknown="unknown").collect()) == [-3, -1]
