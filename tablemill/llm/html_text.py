@@ -15,8 +15,8 @@ import html
 import math
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")  # where a quote is never closed
@@ -238,16 +238,16 @@ def main_text(source: str | None) -> str:
 def _run(batches):
     for batch in batches:
         text = [main_text(x) for x in batch["html"]]
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
+        yield batch.drop(columns="html").assign(text=text, n_chars=[len(t) for t in text])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page.
+def extract(pages: DataFrame, *carried: Column) -> DataFrame:
+    """page_id, url, the columns ``carried``, text and n_chars (code points) of every page.
 
     A null or empty page, or one without an article, gives an empty text. Every row is looked at for
     itself, so rows that repeat give equal results; an empty table gives an empty one; null ids and urls
     are carried along, and other columns are not looked at. Nothing is cut off at any length.
     """
-    kinds = dict(pages.dtypes)
-    rows = pages.selectExpr("page_id", "url", "cast(html as string) as html")
-    return rows.mapInPandas(_run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    rows = pages.select("page_id", "url", *carried, F.col("html").cast("string").alias("html"))
+    shape = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes[:-1])
+    return rows.mapInPandas(_run, f"{shape}, text string, n_chars long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm import ball_tree, block_neighbours, html_text, jaccard_join, language, packing, personal_data, piece_lattice, sharding, suffix_dedup
-from tablemill.llm.store import table
+from tablemill.llm.store import Workspace, table
 
 QUERIES = {}
 SQL = {}
@@ -102,5 +102,15 @@ def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "text_language", "accepted")
+    """Every document by text and source, and every page by text, markup, address and host; one model, fitted on documents.
+
+    A row has either a doc_id or a page_id.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    pages = html_text.extract(table(spark, sf_dir, "pages"), language.markup_language(F.col("html").cast("string")).alias("declared"))
+    pages = Workspace(spark, "pages").write(pages.select("page_id", "url", "declared", "text"))
+    model = language.fit(docs, "lang")
+    of_docs = language.identify(docs, declared=None, host="source", model=model, unknown="unknown")
+    of_pages = language.identify(pages, declared="declared", address="url", model=model, unknown="unknown")
+    both = of_docs.unionByName(of_pages, allowMissingColumns=True)
+    return both.select("doc_id", "page_id", "language", F.round("confidence", 6).alias("confidence"), "text_language", "accepted")

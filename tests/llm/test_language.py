@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from conftest import DATA
 from tablemill.llm import language
+from tablemill.llm.queries import op10_language
 
 PAGES = "doc_id long, text string, lang string, source string, language string, url string"
 
@@ -99,3 +100,20 @@ def test_unlabelled_languages_stay(spark, tmp_path, copies):
     assert language.accepted(docs, host=None, unknown="unknown", wanted=["en"]).where("doc_id < 0").count() == 1
     none = docs.drop("lang").selectExpr("*", "cast(null as string) as lang").where("doc_id < 0")
     assert sorted(r["doc_id"] for r in language.accepted(none, unknown="unknown").collect()) == [-3, -1]
+
+
+def test_query_uses_markup_and_address(spark, tmp_path):
+    text = {"en": "the house and the garden are here with them", "de": "das Haus und der Garten sind hier mit ihnen"}
+    docs = [(i, text[k], k, "src0") for i, k in enumerate(("en", "de") * 30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = '<html lang="{}"><body><nav>the menu and the rest</nav><article><p>{}</p></article></body></html>'
+    pages = [(i, f"http://h{i}.{'co' if k == 'en' else 'de'}/", page.format(f"{k}-XX", text[k])) for i, k in enumerate(("en", "de") * 30)]
+    pages += [(100, "http://new.site.xx/", page.format("de", "xy")), (101, "http://new.site.xx/", page.format("en", "xy"))]
+    pages += [(102, "http://other.de/", page.format("", "gar")), (103, "http://other.co/", page.format("", "gar")), (104, "http://h1.de/", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = op10_language(spark, str(tmp_path)).collect()
+    of_pages = {r["page_id"]: r for r in out if r["doc_id"] is None}
+    assert len(of_pages) == 65 and sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == list(range(60))
+    assert [of_pages[i]["language"] for i in (0, 1, 102, 103)] == ["en", "de", "de", "en"]
+    assert of_pages[102]["text_language"] == of_pages[103]["text_language"]
+    assert not of_pages[104]["accepted"] and of_pages[1]["text_language"] == "de"
