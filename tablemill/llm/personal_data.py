@@ -3,8 +3,8 @@
 The seeds are addresses, IP addresses, card and phone numbers found by their form. The words before a seed
 are a lexical pattern. Patterns and identifier-like tokens form a graph, which is scored in turns: a
 pattern is as good as the share of its instances that are known identifiers of a kind, an instance as the
-patterns that surround it. Tokens whose pattern and own score are high enough are identifiers as well,
-though their form alone would not have told.
+patterns that surround it. Tokens beside a pattern of high enough score are identifiers as well, though their
+form alone would not have told; from the next turn on they count as known and can make further patterns.
 
 DataFrame and SQL functions only. Matching and splitting a text by the same expression gives both the
 matches and the lengths between them, so positions are running sums over the few matches.
@@ -116,23 +116,27 @@ def discovered(base: DataFrame, tokens: DataFrame, work: Workspace, rounds: int,
     seeds = base.select("kind", _pattern(F.col("before")).alias("pattern"), F.lower("token").alias("value")).where("pattern is not null").distinct()
     seeds = work.write(seeds)
     edges = work.write(free.select("pattern", "value").distinct())
-    # every instance of a pattern counts against it, whatever its kind
-    total = seeds.select("pattern", "value").unionByName(edges).distinct().groupBy("pattern").agg(F.count("*").alias("all"))
-    planted = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    planted = work.write(planted.join(total, "pattern"))
-
-    score = planted.select("pattern", "kind", (F.col("seeds") / F.col("all")).alias("score"))
-    values = None
+    total = work.write(seeds.select("pattern", "value").unionByName(edges).distinct().groupBy("pattern").agg(F.count("*").alias("all")))
+    known, values, score = seeds, None, None
     for _ in range(rounds):
+        # known values count whole, other kinds' not at all, all others by what they were worth in the last turn
+        planted = known.groupBy("pattern", "kind").agg(F.count("*").alias("known")).where(F.col("known") >= support).join(total, "pattern")
+        share = F.col("known")
+        if values is not None:
+            open_ = edges.join(values.where(F.col("best") < confidence), "value").join(known.select("pattern", "value").distinct(), ["pattern", "value"], "left_anti")
+            planted = planted.join(open_.groupBy("pattern", "kind").agg(F.sum("worth").alias("gained")), ["pattern", "kind"], "left")
+            share = share + F.coalesce("gained", F.lit(0.0))
+        score = work.write(planted.select("pattern", "kind", F.least(share / F.col("all"), F.lit(1.0)).alias("score")))
         # an instance is missed only if all its patterns are wrong
         miss = F.exp(F.sum(F.log(1 - F.least("score", F.lit(1 - 1e-9)))))
-        values = edges.join(score, "pattern").groupBy("value", "kind").agg((1 - miss).alias("worth"))
-        gained = edges.join(values, "value").groupBy("pattern", "kind").agg(F.sum("worth").alias("gained"))
-        share = (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("all")
-        score = work.write(planted.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", F.least(share, F.lit(1.0)).alias("score")))
-    values = work.write(edges.join(score, "pattern").groupBy("value", "kind").agg(F.max("score").alias("worth")).where(F.col("worth") >= confidence))
-    # the seeds alone must make the pattern; the turns rank what it leads to
-    good = planted.where(F.col("seeds") / F.col("all") >= confidence).select("pattern", "kind")
+        values = work.write(edges.join(score, "pattern").groupBy("value", "kind").agg((1 - miss).alias("worth"), F.max("score").alias("best")))
+        # what a good pattern leads to is known from now on, wherever it stands
+        more = edges.join(values.where(F.col("best") >= confidence), "value").select("kind", "pattern", "value")
+        known = work.write(seeds.unionByName(more).distinct())
+    if score is None:
+        return free.select(ROW, F.lit(None).cast("string").alias("kind"), "start", "end").where("false")
+    good = score.where(F.col("score") >= confidence).select("pattern", "kind")
+    values = values.where(F.col("best") >= confidence).select("value", "kind", F.col("best").alias("worth"))
     taken = free.join(good, "pattern").join(values, ["value", "kind"])
     best = F.row_number().over(Window.partitionBy(ROW, "start").orderBy(F.desc("worth"), "kind"))
     return taken.withColumn("best", best).where("best = 1").select(ROW, "kind", "start", "end")

@@ -71,3 +71,16 @@ def test_redacts_overlaps(spark):
 def test_empty(spark):
     assert personal_data.find(spark.createDataFrame([], SCHEMA)).count() == 0
     assert personal_data.redact(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_turns_decide(spark):
+    texts = [f"well then, call me on +1 (017) 555-77{i:02d} or leave it" for i in range(60)]
+    texts += [f"well then, call me on 0175-55{i:03d} or leave it" for i in range(40)]  # 60 % of the pattern's instances
+    texts += [f"you can dial home 0175-55{i:03d} at night" for i in range(8)]  # known by the pattern before alone
+    texts += ["you can dial home 0999-12345 at night", "we saw number 123456789 on it"]
+    texts += [f"the bill number +1 (018) 555-77{i:02d} is" for i in range(4)] + [f"the bill number 20240{i:04d} is" for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], SCHEMA)
+    once, often = ({r["doc_id"] for r in personal_data.find(docs, rounds=n).where("spans <> ''").collect()} for n in (1, 3))
+    told = {*range(60), *range(110, 114)}
+    assert once == told
+    assert often == told | set(range(60, 109))
