@@ -5,8 +5,11 @@ and lowered where many do. A node's density sum adds up its children's, so it is
 whose children are the paragraphs of the article. The lowest density on the way from there to the body is
 the threshold that text elsewhere on the page must reach.
 
-Inline markup is looked through. Elements that say by name, class, id or role that they are no article
-(menus, footers, adverts, comments and the like) are left out before densities are taken.
+Inline markup is looked through. Elements that are no article by their name (menus, footers and the like) are
+left out. Those that only say so by a word in their class, id or role, and forms, are left out unless they hold
+half of the plain text or the element of highest density sum when all of them are looked at, as a wrapper around
+the article may be called anything. On a page with article or main elements they must hold one of these as well,
+and stay if they hold all.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +33,11 @@ INLINE = {
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
 }
 DROPPED = {
-    "script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template", "iframe", "svg", "math", "head", "title", "button", "select",
-    "textarea", "object", "canvas", "audio", "video", "dialog", "menu", "fieldset", "xmp", "map",
+    "script", "style", "nav", "header", "footer", "aside", "noscript", "template", "iframe", "svg", "math", "head", "title", "button", "select",
+    "textarea", "canvas", "audio", "video", "dialog", "menu", "xmp",
 }
+DOUBTED = {"form", "fieldset", "map", "object"}  # left out as the elements are that HINTS names
+WHOLE = 0.5  # share of the plain text with which an element is no addition to the page
 HINTS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu",
     "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "comment", "comments", "reply", "replies", "respond", "cookie", "cookies",
@@ -45,7 +51,7 @@ BOUNDS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body"
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "dropped", "end", "first", "links", "link_chars", "name", "parent", "sum", "tags")
+    __slots__ = ("children", "chars", "density", "doubted", "dropped", "end", "first", "links", "link_chars", "name", "parent", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None, first: int):
         self.name, self.parent, self.first, self.end = name, parent, first, first
@@ -53,10 +59,11 @@ class Node:
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.sum = 0.0
         self.dropped = parent is not None and parent.dropped
+        self.doubted = False
 
 
-def _is_noise(name: str, attributes: str) -> bool:
-    if name in DROPPED:
+def _is_doubted(name: str, attributes: str) -> bool:
+    if name in DOUBTED:
         return True
     if name in KEPT or "=" not in attributes:
         return False
@@ -130,7 +137,8 @@ class Page:
         if name == "body" and self.open[-1].name == "head":
             self.close_to(len(self.open) - 1)
         node = Node(name, self.open[-1], len(self.nodes))
-        node.dropped = node.dropped or _is_noise(name, attributes)
+        node.dropped = node.dropped or name in DROPPED
+        node.doubted = not node.dropped and _is_doubted(name, attributes)
         self.open[-1].children.append(node)
         self.nodes.append(node)
         self.open.append(node)
@@ -210,16 +218,42 @@ def _weigh(page: Page) -> Node:
     return body
 
 
+def _densest(page: Page, body: Node) -> Node | None:
+    inside = [n for n in page.nodes[body.first : body.end] if not n.dropped and n.chars]
+    return max(inside, key=lambda n: (n.sum, n.first)) if inside else None
+
+
+def _drop_doubted(page: Page) -> None:
+    """Drops doubted elements that neither are most of the page nor lead to its densest element."""
+    if not any(n.doubted for n in page.nodes):
+        return
+    own = [(n.chars, n.link_chars, n.tags, n.links) for n in page.nodes]
+    body = _weigh(page)
+    leads, node = set(), _densest(page, body)
+    while node is not None:
+        leads.add(id(node))
+        node = node.parent
+    marked = [n.first for n in page.nodes if n.name in ("article", "main") and n.chars and not n.dropped]
+    least = WHOLE * (body.chars - body.link_chars)
+    held = [n.chars - n.link_chars for n in page.nodes]
+    for node, plain, counts in zip(page.nodes, held, own, strict=True):
+        node.chars, node.link_chars, node.tags, node.links = counts
+        node.density = node.sum = 0.0
+        inside = bisect_left(marked, node.end) - bisect_left(marked, node.first)
+        kept = plain > 0 and (inside == len(marked) > 0 or ((plain >= least or id(node) in leads) and (not marked or inside > 0)))
+        node.dropped = node.dropped or (node.doubted and not kept) or (node.parent is not None and node.parent.dropped)
+
+
 def main_text(source: str | None) -> str:
     """Blocks of the article, each with single spaces, joined by blank lines; empty if there is none."""
     if not source:
         return ""
     page = Page(source)
+    _drop_doubted(page)
     body = _weigh(page)
-    inside = [n for n in page.nodes[body.first : body.end] if not n.dropped and n.chars]
-    if not inside:
+    best = _densest(page, body)
+    if best is None:
         return ""
-    best = max(inside, key=lambda n: (n.sum, n.first))
     threshold, node = best.density, best
     while node is not body and node.parent is not None and node.parent is not body:
         node = node.parent

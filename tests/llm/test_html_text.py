@@ -52,3 +52,21 @@ def test_table(spark):
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted([(1, "http://a", TEXT, len(TEXT)), (1, "http://a", "", 0), (None, None, "x", 1)], key=repr)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+WRAPPERS = [
+    "<div class='layout with-sidebar'>{}</div>", "<div class='no-comments'>{}</div>", "<div id='search-result-page'>{}</div>", "<form action='/x'><fieldset>{}</fieldset></form>",
+    "<object>{}</object>", "<div class=hidden><div class='site-overlay'>{}</div></div>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("noise", NOISE[:-1])
+def test_article_in_a_wrapper_with_a_hint(wrapper, noise):
+    page = f"<html><body>{MENU}{wrapper.format(f'{noise}<div>{ARTICLE}</div>{noise}')}</body></html>"
+    assert main_text(page) == TEXT
+
+
+def test_wrapper_with_less_than_half():
+    outside = "<div>" + "<p><a href='/a'>A teaser</a> with some words</p>" * 30 + "</div>"
+    assert TEXT.replace("\n\n", "") in main_text(f"<html><body>{outside}<div class='with-sidebar'><article>{ARTICLE}</article></div></body></html>").replace("\n\n", "")
