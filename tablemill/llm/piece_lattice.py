@@ -26,6 +26,7 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 N_BEST = 4
 CACHE = 300_000
+HELD = 1 << 20  # ids that a task holds before it gives rows away
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -152,13 +153,16 @@ def _encoded(path: str, n: int):
     def run(batches):
         model = pieces(path)
         for batch in batches:
-            out = []
-            for text in batch["text"]:
+            rest, out, first, held = batch.drop(columns=["text"]), [], 0, 0
+            for at, text in enumerate(batch["text"], 1):
                 found = model.n_best(text or "", n)
                 ids = [np.array(i, dtype="<i4") for _, i in found]
                 out.append((ids, [float(s) for s, _ in found], zlib.crc32(ids[0].tobytes()), model.decode(ids[0].tolist()) == (text or "")))
-            batch = batch.drop(columns=["text"])
-            yield batch.assign(_op_ids=[o[0] for o in out], _op_scores=[o[1] for o in out], _op_crc=[o[2] for o in out], _op_same=[o[3] for o in out])
+                held += sum(map(len, ids))
+                if held >= HELD or at == len(batch):
+                    done = rest.iloc[first:at]
+                    yield done.assign(_op_ids=[o[0] for o in out], _op_scores=[o[1] for o in out], _op_crc=[o[2] for o in out], _op_same=[o[3] for o in out])
+                    out, first, held = [], at, 0
 
     return run
 

@@ -96,8 +96,8 @@ def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four segmentations of every turn of conversations, with their scores and the best one's ids."""
-    return piece_lattice.encode(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), n=4)
+    """Four segmentations of every document, with their scores and the best one's ids."""
+    return piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
 
 
 @query()

@@ -1,10 +1,12 @@
 import itertools
 import random
 
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
 from tablemill.llm import piece_lattice
+from tablemill.llm.queries import op8_piece_lattice
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 MODEL = piece_lattice.Pieces(PATH)
@@ -72,3 +74,18 @@ def test_tables(spark):
     back = piece_lattice.decode(out.selectExpr("conv_id", "n_best[0] as ids")).collect()
     assert sorted(r["text"] for r in back) == sorted(t or "" for _, t, _ in rows)
     assert piece_lattice.encode(spark.createDataFrame([], "conv_id long, text string")).count() == 0
+
+
+def test_query_encodes_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "hello there"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in op8_piece_lattice(spark, str(tmp_path)).collect()}
+    assert [tuple(p) for p in found[1]["n_best"]] == [p for _, p in MODEL.n_best("hello there", 4)] and found[1]["round_trip"]
+    assert found[2]["scores"] == [0.0]
+
+
+def test_long_texts_leave_in_pieces(monkeypatch):
+    monkeypatch.setattr(piece_lattice, "HELD", 5)
+    texts = ["hello there you all", None, "a", "a b c d e f", ""]
+    given = list(piece_lattice._encoded(PATH, 4)([pd.DataFrame({"doc_id": range(5), "text": texts})]))
+    assert len(given) > 2 and [i for part in given for i in part["doc_id"]] == list(range(5))
+    assert [tuple(p[0]) for part in given for p in part["_op_ids"]] == [MODEL.n_best(t or "", 4)[0][1] for t in texts]
