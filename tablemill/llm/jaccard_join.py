@@ -48,7 +48,7 @@ BLOCK = 512
 LOAD = 1 << 20
 STRIP = 4096
 PASSES = 2  # over the shingles, each with its share of the shuffle files
-PIECE = 1 << 20
+PIECE = 1 << 18
 ZONE = (1 << 62) - 1  # a quarter of all hashes
 
 
@@ -244,8 +244,8 @@ def _pivot():
 
 
 def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` with set size and class, and the components of linked classes (node, label)."""
-    rows = numbered(docs, F.col("text").cast("string").alias("text"))
+    """Rows of ``docs``, which are numbered, with set size and class, and the components of linked classes (node, label)."""
+    rows = docs.select(ROW, F.col("text").cast("string").alias("text"))
     sketches = work.write(rows.mapInPandas(_sketches(words, percent), f"{ROW} long, n int, zone int, key long, prefix array<long>"))
     members = work.write(sketches.select(ROW, "n", "key"))
     classes = sketches.where("n > 0").groupBy("key").agg(F.min(ROW).alias(ROW), F.min("n").alias("n"), F.min("zone").alias("zone"), F.count("*").alias("copies"))
@@ -317,11 +317,10 @@ def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int
     return members, components(links.unionByName(second), work)
 
 
-def _grouped(docs: DataFrame, words: int, percent: int, crowd: int) -> DataFrame:
-    """By row: size of the set, component, and whether it is the first row of its component."""
-    work = Workspace(docs.sparkSession, "near")
+def _grouped(docs: DataFrame, work: Workspace, words: int, percent: int, crowd: int) -> DataFrame:
+    """By row of numbered ``docs``: size of the set, component, and whether it is the first row of its component."""
     members, labels = classes_and_links(docs, work, words, percent, crowd)
-    named = numbered(docs, "doc_id").join(members, ROW)
+    named = docs.select(ROW, "doc_id").join(members, ROW)
     named = named.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("label", "key"))
     named = work.write(named.select(ROW, "doc_id", "n", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
@@ -348,8 +347,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     ``_op_`` are the operator's own. Shingles are compared as 63-bit hashes.
     """
     same = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
-    told = _grouped(docs, words, percent, crowd)
-    return numbered(docs, *same).join(told, ROW).select(*same, F.col("_op_n").alias("n_shingles"), F.col("_op_component").alias("component_id"))
+    work = Workspace(docs.sparkSession, "near")
+    rows = numbered(docs, work)
+    told = _grouped(rows, work, words, percent, crowd)
+    return rows.select(ROW, *same).join(told, ROW).select(*same, F.col("_op_n").alias("n_shingles"), F.col("_op_component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
@@ -357,5 +358,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cro
 
     Of rows that repeat that id one stays. Texts without words are in no component and stay.
     """
-    told = _grouped(docs, words, percent, crowd).where("_op_first")
-    return numbered(docs, *docs.columns).join(told.select(ROW), ROW).select(*docs.columns)
+    work = Workspace(docs.sparkSession, "near")
+    rows = numbered(docs, work)
+    told = _grouped(rows, work, words, percent, crowd).where("_op_first")
+    return rows.join(told.select(ROW), ROW).select(*docs.columns)

@@ -33,7 +33,7 @@ RANK_BITS = 12
 UNSEEN = 0.05  # of a text's trigrams are drawn from all alike
 TEXT_WEIGHT = 40.0
 STRENGTH = 20.0  # rows that a prior from the level above counts for
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @functools.cache
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model of the labelled rows of smallest hash, of every label there is."""
     work = Workspace(docs.sparkSession, "model")
     rank = F.xxhash64(ROW)  # of the row, so that copies of a text are as many rows
-    named = numbered(docs, label_of(label).alias("label"), F.col("text").cast("string").alias("text")).where("label is not null")
+    named = numbered(docs, work).select(ROW, label_of(label).alias("label"), F.col("text").cast("string").alias("text")).where("label is not null")
     # how many rows of a language have which leading bits of the hash; only the rows of one such bucket are ranked
     ranks = named.select("label", rank.alias("rank"), F.shiftright(rank, 64 - RANK_BITS).alias("bucket"))
     sizes = ranks.groupBy("label", "bucket").agg(F.count("*").alias("n")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("sizes"))
@@ -231,8 +231,9 @@ def identify(
     null = F.lit(None).cast("string")
     where = host_of(F.col(address)) if address else F.lower(F.col(host).cast("string")) if host else null
     said = label_of(declared) if declared else null
-    facts = numbered(docs, said.alias("declared"), where.alias("host")).select(ROW, "declared", "host", domain_of(F.col("host")).alias("domain"), (suffix_of(F.col("host")) if address else null).alias("suffix"))
-    rows = numbered(docs, F.col("text").cast("string").alias("text"))
+    numbers = numbered(docs, work)
+    facts = numbers.select(ROW, said.alias("declared"), where.alias("host")).select(ROW, "declared", "host", domain_of(F.col("host")).alias("domain"), (suffix_of(F.col("host")) if address else null).alias("suffix"))
+    rows = numbers.select(ROW, F.col("text").cast("string").alias("text"))
     texts = None
     for block in model.blocks():
         part = rows.mapInPandas(_likelihoods(block), f"{ROW} long, grams long, fit array<double>")
@@ -266,7 +267,7 @@ def identify(
     told = work.write(told)
     accepted = F.col("_op_fits") & (F.col("_op_language").isin(wanted) if wanted is not None else F.lit(True))
     columns = [F.col("_op_language").alias("language"), F.col("_op_confidence").alias("confidence"), F.col("_op_alone").alias("text_language"), accepted.alias("accepted")]
-    return numbered(docs, *same).join(told, ROW).select(*same, *columns)
+    return numbers.select(ROW, *same).join(told, ROW).select(*same, *columns)
 
 
 def accepted(docs: DataFrame, **settings) -> DataFrame:

@@ -283,7 +283,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     ranks = None if tokenizer else public_tokenizers.path("byte_bpe_50k.tiktoken")
     work = Workspace(spark, "packed")
     kinds = f"{ROW} long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    rows = numbered(docs, F.col("text").cast("string").alias("text"))
+    docs = numbered(docs, work)
+    rows = docs.select(ROW, F.col("text").cast("string").alias("text"))
     cuts = rows.mapInPandas(_pieces(path, ranks, capacity, with_ids), kinds)
     named = work.write(cuts.withColumn("deal", F.pmod(F.xxhash64(ROW, "piece"), F.lit(DEALS)).cast("int")))
 
@@ -301,7 +302,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     keys = named.drop("ids").withColumn("inside", inside).join(begins.select("length", "deal", "begin"), ["length", "deal"])
     numbers = keys.select(ROW, "piece", "start", "length", "ids_crc32", (F.col("begin") + F.col("inside")).alias("number"))
     put = numbers.mapInPandas(_placed(where), f"{ROW} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    out = numbered(docs, "doc_id").join(put, ROW)
+    out = docs.select(ROW, "doc_id").join(put, ROW)
     if with_ids:
         out = out.join(named.select(ROW, "piece", "ids"), [ROW, "piece"])
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)

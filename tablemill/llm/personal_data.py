@@ -166,13 +166,14 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confiden
     that begin with ``_op_`` are the operator's own.
     """
     work = Workspace(docs.sparkSession, "personal")
-    found = spans(numbered(docs, F.col("text").cast("string").alias("text")), work, rounds, support, confidence)
+    rows = numbered(docs, work)
+    found = spans(rows.select(ROW, F.col("text").cast("string").alias("text")), work, rounds, support, confidence)
     counts = [F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"_op_n_{k}") for k in KINDS]
     told = work.write(found.groupBy(ROW).agg(*counts, _joined(True).alias("_op_base"), _joined(False).alias("_op_spans")))
     made = [*(f"n_{k}" for k in KINDS), "base", "spans"]
     same = [c for c in docs.columns if c not in made]
     filled = [F.coalesce(f"_op_{c}", F.lit(0).cast("long") if c.startswith("n_") else F.lit("")).alias(c) for c in made]
-    return numbered(docs, *same).join(told, ROW, "left").select(*same, *filled)
+    return rows.select(ROW, *same).join(told, ROW, "left").select(*same, *filled)
 
 
 def redact(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -181,7 +182,8 @@ def redact(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confid
     Texts without spans, null ones among them, stay as they are.
     """
     work = Workspace(docs.sparkSession, "redacted")
-    found = spans(numbered(docs, F.col("text").cast("string").alias("text")), work, rounds, support, confidence)
+    rows = numbered(docs, work)
+    found = spans(rows.select(ROW, F.col("text").cast("string").alias("text")), work, rounds, support, confidence)
     here = Window.partitionBy(ROW).orderBy("start", "end", "kind")
     reach = F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("reach", reach).withColumn("run", F.sum((F.coalesce("reach", F.lit(-1)) < F.col("start")).cast("int")).over(here))
@@ -197,5 +199,5 @@ def redact(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confid
 
     rest = F.substring(text, F.element_at("_op_cuts", -1)["end"].cast("int") + 1, F.length(text))
     clean = F.when(F.col("_op_cuts").isNull(), text).otherwise(F.concat(F.array_join(F.transform("_op_cuts", part), ""), rest))
-    return numbered(docs, *docs.columns).join(lists, ROW, "left").select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return rows.join(lists, ROW, "left").select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 

@@ -61,7 +61,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket_
     same = [c for c in docs.columns if c not in ("shard", "slot")]
     total = docs.agg(F.sum(size_of(F.col("text")))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows = numbered(docs, *same)
+    rows = numbered(docs, work).select(ROW, *same)
     scattered = rows.withColumn("_op_bucket", F.pmod(F.xxhash64(F.lit(seed), ROW), F.lit(buckets)).cast("int"))
     kinds = T.StructType([*scattered.schema.fields, T.StructField("_op_place", T.LongType())])
     mixed = work.write(scattered.groupBy("_op_bucket").applyInArrow(_shuffled(seed), kinds))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import time
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,11 @@ class Workspace:
         out._workspace_path = path
         return out
 
+    def folder(self, path: str) -> None:
+        """Make a folder for files that tasks write."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables nothing will read again."""
         for table in tables:
@@ -51,13 +59,37 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def numbered(docs: DataFrame, *columns) -> DataFrame:
-    """``columns`` of ``docs`` behind a row number that is the same whenever the table is read.
+def numbered(docs: DataFrame, work: Workspace) -> DataFrame:
+    """``docs`` behind a row number that is the same on every read, however many cores read it.
 
-    ``docs`` must be a table read from files, as everything in the pipeline is: its rows lie in the
-    same splits on every read. Other frames go through ``Workspace.write`` first.
+    A table of Parquet files is numbered by file and place in the file, which do not depend on how Spark
+    splits it, and is not written again; the one thing that is broadcast has a row per file. Any other
+    frame is written to ``work`` first. The number of a row is below 2**63 for 2**24 files of 2**39 rows.
     """
-    return docs.select(F.monotonically_increasing_id().alias(ROW), *columns)
+    if not _of_files(docs):
+        docs = work.write(docs)
+    spark, place = docs.sparkSession, "_op_file"
+    files = sorted(re.sub("^file:///", "file:/", f) for f in docs.inputFiles())  # as the metadata column has it
+    kinds = f"{place} string, _op_at long"
+    listed = spark.createDataFrame(pd.DataFrame({place: files, "_op_at": range(len(files))}), kinds) if files else spark.createDataFrame([], kinds)
+    own = docs.select("*", F.col("_metadata.file_path").alias(place), F.col("_metadata.row_index").alias("_op_index"))
+    lost = F.raise_error(F.lit("a row of a file that is not listed")).cast("long")
+    number = (F.coalesce("_op_at", lost) * (1 << 39) + F.col("_op_index")).alias(ROW)
+    return own.join(F.broadcast(listed), place, "left").select(number, *[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _of_files(docs: DataFrame) -> bool:
+    """Whether each row is one row of a Parquet file, chosen and projected at most."""
+    try:
+        docs.select("_metadata.row_index").schema
+    except AnalysisException:
+        return False
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1:
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().head()
+    return plan.children().isEmpty()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

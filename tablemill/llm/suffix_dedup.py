@@ -37,7 +37,7 @@ LENGTH = 400
 SPREAD = 256
 SEED = 24
 CROWD = 4096
-BLOCK = 1 << 20  # windows looked at together
+BLOCK = 1 << 18  # windows looked at together
 
 
 def anchors(data: bytes, length: int = LENGTH, spread: int = SPREAD) -> Iterator[tuple[np.ndarray, ...]]:
@@ -195,9 +195,9 @@ def _single_suffixes(length: int):
 
 
 def repeated_windows(docs: DataFrame, work: Workspace, length: int, spread: int, crowd: int) -> DataFrame:
-    """Runs of windows (first and last start) that occur elsewhere, by row of ``docs``."""
+    """Runs of windows (first and last start) that occur elsewhere, by row of numbered ``docs``."""
     spark = docs.sparkSession
-    rows = numbered(docs, F.col("text").cast("string").alias("text"))
+    rows = docs.select(ROW, F.col("text").cast("string").alias("text"))
     found = work.write(rows.mapInPandas(_gathered(_anchor_rows(length, spread)), f"{ROW} long, at long, before short, after short, core long, chunk long"))
 
     shared = found.groupBy("core").agg(F.count("*").alias("n"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("n > 1")
@@ -273,15 +273,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD,
         raise ValueError("spread + SEED must not exceed length")
     spark = docs.sparkSession
     work = Workspace(spark, "repeats")
+    docs = numbered(docs, work)
     spans = repeated_windows(docs, work, length, spread, crowd)
     lists = work.write(spans.groupBy(ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    rows = numbered(docs, F.col("text").cast("string").alias("text"))
+    rows = docs.select(ROW, F.col("text").cast("string").alias("text"))
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     kinds = [f"{ROW} long", *(f"_op_{c} {'string' if c == 'kept_sha256' else 'long'}" for c in made), *["_op_kept string"] * with_text]
     cut = rows.join(lists, ROW).mapInPandas(_cut(length, with_text), ", ".join(kinds))
-    same = [c for c in docs.columns if c not in made and (with_text or c != "text")]
+    same = [c for c in docs.columns if c not in (ROW, *made) and (with_text or c != "text")]
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    left = numbered(docs, *same, F.octet_length(data).cast("long").alias("_op_all"), F.sha2(data, 256).alias("_op_sha"))
+    left = docs.select(ROW, *same, F.octet_length(data).cast("long").alias("_op_all"), F.sha2(data, 256).alias("_op_sha"))
     out = left.join(cut, ROW, "left")
     otherwise = {"n_bytes": F.col("_op_all"), "n_removed": F.lit(0), "n_spans": F.lit(0), "kept_sha256": F.col("_op_sha")}
     kept = [F.coalesce("_op_kept", "text").alias("text") if c == "text" else F.col(c) for c in same]

@@ -82,7 +82,7 @@ def test_sample_is_of_smallest_hashes_without_sorting_a_language(spark, tmp_path
     docs = spark.read.parquet(str(tmp_path / "t"))
     model = language.fit(docs, "lang", 3_000)
     found = {r["label"]: r["n"] for r in model.counts.groupBy("label").agg(language.F.sum("n").alias("n")).collect()}
-    rows = language.numbered(docs, "lang", "text").withColumn("rank", language.F.xxhash64(language.ROW)).toPandas().sort_values("rank")
+    rows = language.numbered(docs, language.Workspace(spark, "t")).withColumn("rank", language.F.xxhash64(language.ROW)).toPandas().sort_values("rank")
     for name in ("de", "en"):
         assert found[name] == sum(len(language.trigrams(t)) for t in rows[rows["lang"] == name]["text"][:3_000])
     assert model.ranked.count() <= 2 * 20_000 / 1_000
