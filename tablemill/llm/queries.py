@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import ball_tree, block_neighbours, html_text, jaccard_join, language, packing, personal_data, piece_lattice, sharding, suffix_dedup
+from tablemill.llm import (
+    ball_tree,
+    block_neighbours,
+    conversation_repair,
+    html_text,
+    jaccard_join,
+    language,
+    packing,
+    personal_data,
+    piece_lattice,
+    sharding,
+    suffix_dedup,
+    warc_archive,
+    whitening,
+)
 from tablemill.llm.store import Workspace, table
 
 QUERIES = {}
@@ -114,3 +128,36 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_pages = language.identify(pages, declared="declared", address="url", model=model, unknown="unknown")
     both = of_docs.unionByName(of_pages, allowMissingColumns=True)
     return both.select("doc_id", "page_id", "language", F.round("confidence", 6).alias("confidence"), "text_language", "accepted")
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by the hash of its rows and repaired at least cost."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.plan(conversation_repair.damaged(turns), every=turns)
+
+
+# base 32 of a hash of 40 hexadecimal digits: five of them are four letters
+_BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(sha1(html), 5 * (i // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '')"""
+
+
+@query(
+    f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+           CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> best THEN best END AS refers_to
+    FROM p
+    """
+)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    made = warc_archive.write(table(spark, sf_dir, "pages"))
+    found = warc_archive.read(made, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=32)
