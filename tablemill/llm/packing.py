@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,69 +28,102 @@ from tablemill.llm.store import ROW, Workspace, numbered
 CAPACITY = 2048
 STEPS = 400
 DEALS = 64  # parts in which the pieces of one length are numbered
-CACHE = 600_000
-UNEVEN = re.compile(r"\s\s|^\s|\s$")
+CHARS = 1 << 22  # of texts encoded together
+WORDS = 1 << 20  # remembered
+STEP = 1 << 14
 
 
 class Encoder:
-    """Ids of texts, with the words seen before remembered.
+    """Ids of texts, with the words met lately remembered.
 
     The tokenizer splits text before a space that stands between two visible characters whatever is
     around it, so what lies between such spaces can be encoded on its own. With ``ranks``, the same
-    vocabulary as a table of ranks, words are encoded by that library, which is faster; the ids are equal.
+    vocabulary as a table of ranks, that library encodes, which is faster; the ids are equal. It tells words
+    of one long text apart by their length in bytes.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # ids of a word behind a space
-        self.before: dict[str, bytes] = {}
         self.fast = None
         if ranks:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            self.sizes = np.zeros(max(table.values()) + 1, dtype=np.int64)
+            self.sizes[list(table.values())] = [len(b) for b in table]
+        self.forget()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian numbers, of texts without special tokens."""
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.begins = np.empty(0, "<u4"), np.zeros(1, np.int64)  # ids of known words, and where each word's begin
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without special tokens, each on its own."""
         if self.fast:
-            return [np.array(self.fast.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [self.fast.encode_to_numpy(t) for t in texts]
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words behind a space, one after the other, and how many each has."""
+        if not self.fast:
+            found = self.encode([f" {w}" for w in words])
+            return np.concatenate([*found, np.empty(0, "<u4")]), np.fromiter(map(len, found), np.int64, len(found))
+        ids = self.fast.encode_to_numpy("".join([f" {w}" for w in words]))
+        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        stops = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        return ids, np.diff(stops, prepend=0)
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """A text's words: the first as it is, the others without the space before them."""
-        parts = text.split(" ")
-        if not UNEVEN.search(text):
-            return parts
-        out = [parts[0]]
-        for part in parts[1:]:
-            if out[-1] and part and not out[-1][-1].isspace() and not part[0].isspace():
-                out.append(part)
-            else:
-                out[-1] = f"{out[-1]} {part}"
+    def even(text: str) -> bool:
+        """Whether all white space is single spaces and line ends between visible characters."""
+        return all(line and " ".join(line.split()) == line for line in text.split("\n"))
+
+    def of_words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of even texts."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begins = lists.offsets.to_numpy()
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > WORDS:
+            self.forget()
+        new = [w for w in words if w not in self.known]
+        if new:
+            ids, counts = self.encode_words(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.pool = np.concatenate((self.pool, ids.astype("<u4")))
+            self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(counts)))
+        code = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
+        # a text's first word has no space before it
+        firsts = self.encode(flat.take(pa.array(begins[:-1])).to_pylist())
+        code[begins[:-1]] = len(self.known) + np.arange(len(texts))
+        pool = np.concatenate([self.pool, *firsts]).astype("<u4")
+        starts = np.concatenate((self.begins, self.begins[-1] + np.cumsum([len(f) for f in firsts]))).astype(np.int32)
+        out = []
+        turn = np.flatnonzero(np.diff(begins[:-1] // STEP)) + 1  # texts of some STEP words together
+        for lo, hi in zip([0, *turn], [*turn, len(texts)], strict=True):
+            mine = code[begins[lo] : begins[hi]]
+            size = starts[mine + 1] - starts[mine]
+            ends = np.cumsum(size, dtype=np.int32)
+            place = np.repeat(starts[mine] - (ends - size), size)
+            place += np.arange(ends[-1], dtype=np.int32)
+            out += np.split(pool[place], ends[begins[lo + 1 : hi] - begins[lo] - 1])
         return out
 
-    def learn(self, words: set[str]) -> None:
-        new = []
-        for word in words.difference(self.known):
-            if word in self.before:
-                self.known[word] = self.before[word]
-            else:
-                new.append(word)
-        self.known.update(zip(new, self.encode([" " + w for w in new]), strict=True))
-
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:  # what has not been met since the last turn goes
-            self.known, self.before = {}, self.known
-        out = []
-        for text in texts:
+        out: list = [None] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
             if any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
-                continue
-            first, *rest = self.words(text)
-            self.learn(set(rest))
-            out.append(np.frombuffer(b"".join([*self.encode([first]), *map(self.known.__getitem__, rest)]), dtype="<u4"))
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            elif self.even(text):
+                plain.append(i)
+            else:
+                (out[i],) = self.encode([text])
+        if plain:
+            for i, found in zip(plain, self.of_words([texts[i] for i in plain]), strict=True):
+                out[i] = found
         return out
 
 
@@ -105,18 +139,24 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, ranks: str | None, capacity: int, with_ids: bool):
+    names = [ROW, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+
     def run(batches):
         encode = encoder(path, ranks)
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                out = []
-                for row, ids in zip(part[ROW], encode.ids([t or "" for t in part["text"]]), strict=True):
-                    data = np.append(ids, 0).astype("<u4")
-                    for number, (start, length) in enumerate(cut(len(data), capacity)):
-                        piece = data[start : start + length].tobytes()
-                        out.append((row, number, start, length, zlib.crc32(piece), *[np.frombuffer(piece, "<i4")] * with_ids))
-                yield pd.DataFrame(out, columns=[ROW, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            rows, texts = batch[ROW].tolist(), [t or "" for t in batch["text"]]
+            # texts of some CHARS characters together, a longer one alone
+            turn = np.cumsum([len(t) for t in texts]) // CHARS
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(turn)) + 1):
+                columns: list[list] = [[] for _ in names]
+                for i, found in zip(part.tolist(), encode.ids([texts[i] for i in part]), strict=True):
+                    row, data = rows[i], found.astype("<u4").tobytes() + bytes(4)  # id 0 ends it
+                    for number, (start, length) in enumerate(cut(len(data) // 4, capacity)):
+                        piece = data[4 * start : 4 * (start + length)]
+                        made = (row, number, start, length, zlib.crc32(piece), *[np.frombuffer(piece, "<i4")] * with_ids)
+                        for column, value in zip(columns, made, strict=True):
+                            column.append(value)
+                yield pd.DataFrame(dict(zip(names, columns, strict=True)))
 
     return run
 
