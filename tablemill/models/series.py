@@ -88,11 +88,12 @@ def future_frame(
     return df.select(*keys, F.col(ds).cast("date").alias(ds)).unionByName(ahead)
 
 
-def _day(ds: str):
+def day_number(ds: str) -> Column:
+    """Days since 1970-01-01."""
     return F.datediff(F.col(ds), F.lit("1970-01-01").cast("date"))
 
 
-def _named(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+def named_keys(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     """The key columns; reading a null key raises, since plain joins would lose its rows."""
     kinds = dict(df.dtypes)
     lost = F.raise_error(F.lit("a series key is null"))
@@ -112,11 +113,11 @@ def fit(
     daily = materialize(
         train.dropna(subset=[ds, y])
         .select(
-            *_named(train, keys),
+            *named_keys(train, keys),
             F.col(ds).cast("date").alias("ds"),
             F.col(y).cast("double").alias("y"),
         )
-        .withColumn("day", _day("ds")),
+        .withColumn("day", day_number("ds")),
         "series",
     )
     trend = materialize(
@@ -170,7 +171,7 @@ def predict(future: DataFrame, model: DataFrame, keys: Sequence[str], ds: str =
     def index(which: str, at):
         return F.coalesce(F.try_element_at(F.col(f"__m.{which}"), at), F.lit(1.0))
 
-    line = F.col("__m.intercept") + F.col("__m.slope") * _day(ds)
+    line = F.col("__m.intercept") + F.col("__m.slope") * day_number(ds)
     yhat = line * index("weekly", F.dayofweek(ds)) * index("yearly", F.month(ds))
     half = F.lit(INTERVAL_Z) * F.coalesce(F.col("__m.sigma"), F.lit(0.0))
     return joined.select(*future.columns, yhat.alias("yhat"), half.alias("__half")).select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.functions.vector import as_vector
-from tablemill.models import classifier, kmeans, series
+from tablemill.models import classifier, intervals, kmeans, series, trend
 from tablemill.operators import clusters, metrics
 from tablemill.operators.features import split_train_test
 from tablemill.plans.catalog import (
@@ -333,3 +333,114 @@ def mae_rmse_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "series", r6("mae", 2).alias("mae"), r6("rmse", 2).alias("rmse"), r6("mape", 4).alias("mape")
     )
+
+
+# -- bent trends and widening intervals -----------------------------------------------------------
+
+#: Small enough for its normal equations to be written out in SQL: four trend terms and four of the season.
+BENT = trend.Shape(changes=2, weekly=1, yearly=1)
+_BREAK = dt.date(1997, 1, 1)
+_POINTS = BENT.points()
+
+_BENT_SQL = f"""{DAILY_SQL},
+broken AS (SELECT series, ds, y * (1 + 0.003::DOUBLE * greatest(0, date_diff('day', DATE '{_BREAK}', ds))) AS y FROM daily),
+r AS (SELECT *, date_diff('day', DATE '1970-01-01', ds) AS day,
+  row_number() OVER (PARTITION BY series ORDER BY ds DESC) <= {HORIZON} AS is_test FROM broken),
+facts AS (SELECT series, min(day) AS d0, max(day) AS d1, max(abs(y)) AS scale, regr_slope(y, day) AS b, regr_intercept(y, day) AS a
+  FROM r WHERE NOT is_test GROUP BY series),
+places AS (SELECT r.*, scale, a + b * day AS straight, (day - d0) / (d1 - d0)::DOUBLE AS t, (a + b * day) / scale AS line FROM r JOIN facts USING (series)),
+terms AS (SELECT *, [1, t, greatest(t - {_POINTS[0]}::DOUBLE, 0), greatest(t - {_POINTS[1]}::DOUBLE, 0),
+  line * sin(2 * pi() / 7 * day), line * cos(2 * pi() / 7 * day),
+  line * sin(2 * pi() / 365.25::DOUBLE * day), line * cos(2 * pi() / 365.25::DOUBLE * day), y / scale] AS x FROM places),
+gram AS (SELECT series, i, j, sum(x[i] * x[j]) + CASE WHEN i = j THEN {BENT.penalties()}[i]::DOUBLE ELSE 0 END AS v
+  FROM terms, range(1, 9) a(i), range(1, 10) b(j) WHERE NOT is_test GROUP BY series, i, j),
+start AS (SELECT series, list(one ORDER BY i) AS m FROM (SELECT series, i, list(v ORDER BY j) AS one FROM gram GROUP BY series, i) GROUP BY series),
+cleared AS (SELECT series, 1 AS k, m FROM start UNION ALL
+  SELECT series, k + 1, list_transform(m, lambda one, i: CASE WHEN i = k THEN list_transform(one, lambda v: v / m[k][k])
+    ELSE list_transform(one, lambda v, j: v - one[k] * m[k][j] / m[k][k]) END) FROM cleared WHERE k < 9),
+found AS (SELECT series, list_transform(m, lambda one: one[9]) AS beta FROM cleared WHERE k = 9),
+bent AS (SELECT terms.*, list_inner_product(beta, x[1:8]) * scale AS yhat FROM terms JOIN found USING (series))"""
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Daily orders that begin to rise steeply on a day in the history, as train and test rows."""
+    late = F.greatest(F.lit(0), F.datediff("ds", F.lit(_BREAK)))
+    daily = daily_orders(spark, sf_dir).withColumn("y", F.col("y") * (1 + F.lit(0.003) * late))
+    return series.tail_holdout(materialize(daily, "daily"), "ds", HORIZON, ["series"])
+
+
+@query(
+    "trend_forecast",
+    f"""WITH RECURSIVE {_BENT_SQL} SELECT series, strftime(ds, '%Y-%m-%d') AS ds, round(yhat) AS yhat FROM bent WHERE is_test""",
+)
+def trend_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _broken(spark, sf_dir)
+    out = trend.predict_trend(test, trend.fit_trend(train, ["series"], shape=BENT), ["series"], shape=BENT)
+    return out.select("series", day_text("ds").alias("ds"), F.round("yhat").alias("yhat"))
+
+
+@query(
+    "trend_against_line",
+    f"""WITH RECURSIVE {_BENT_SQL} SELECT series, round(avg(abs(y - yhat))) AS mae_bent, round(avg(abs(y - straight))) AS mae_straight,
+  avg(abs(y - yhat)) < avg(abs(y - straight)) AS better FROM bent WHERE is_test GROUP BY series""",
+)
+def trend_against_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a bent trend gains over the straight line on series that break."""
+    train, test = _broken(spark, sf_dir)
+    model = trend.fit_trend(train, ["series"], shape=BENT)
+    straight = F.col("intercept") + F.col("slope") * series.day_number("ds")
+    out = trend.predict_trend(test, model, ["series"], shape=BENT).join(model.select("series", "intercept", "slope"), "series")
+    bent, line = F.avg(F.abs(F.col("y") - F.col("yhat"))), F.avg(F.abs(F.col("y") - straight))
+    return out.groupBy("series").agg(F.round(bent).alias("mae_bent"), F.round(line).alias("mae_straight"), (bent < line).alias("better"))
+
+
+ORIGINS = 3
+
+_WIDE_SQL = f"""{DAILY_SQL},
+r AS (SELECT *, date_diff('day', DATE '1970-01-01', ds) AS t,
+  row_number() OVER (PARTITION BY series ORDER BY ds DESC) <= {HORIZON} AS is_test FROM daily),
+whole AS (SELECT series, max(ds) AS last_ds FROM r WHERE NOT is_test GROUP BY series),
+fold AS (SELECT series, o, CASE WHEN o = 0 THEN last_ds ELSE CAST(last_ds - to_days((o * {HORIZON})::INTEGER) AS DATE) END AS cut
+  FROM whole, range({ORIGINS + 1}) n(o)),
+f AS (SELECT r.*, o, cut, ds > cut AS ahead FROM r JOIN fold USING (series)
+  WHERE o = 0 OR (NOT is_test AND ds <= cut + to_days({HORIZON}))),
+lin AS (SELECT series, o, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM f WHERE NOT ahead GROUP BY ALL),
+wk AS (SELECT series, o, dayofweek(ds) AS dow, avg(y / (a + b * t)) AS w FROM f JOIN lin USING (series, o) WHERE NOT ahead GROUP BY ALL),
+yr AS (SELECT series, o, month(ds) AS mon, avg(y / ((a + b * t) * w)) AS m FROM f JOIN lin USING (series, o)
+  JOIN wk USING (series, o) WHERE NOT ahead AND dow = dayofweek(ds) GROUP BY ALL),
+p AS (SELECT f.*, date_diff('day', cut, ds) AS step, (a + b * t) * coalesce(w, 1) * coalesce(m, 1) AS yhat FROM f JOIN lin USING (series, o)
+  LEFT JOIN wk ON wk.series = f.series AND wk.o = f.o AND dow = dayofweek(ds)
+  LEFT JOIN yr ON yr.series = f.series AND yr.o = f.o AND mon = month(ds) WHERE ahead),
+e AS (SELECT series, step, avg((y - yhat) * (y - yhat)) AS e FROM p WHERE o > 0 GROUP BY ALL),
+v AS (SELECT s.series, n.step, coalesce(max(e) OVER (PARTITION BY s.series ORDER BY n.step),
+  first_value(e IGNORE NULLS) OVER (PARTITION BY s.series ORDER BY n.step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS variance
+  FROM (SELECT DISTINCT series FROM e) s CROSS JOIN range(1, {HORIZON + 1}) n(step) LEFT JOIN e ON e.series = s.series AND e.step = n.step)"""
+
+
+def _widened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Test rows with widened bounds, the errors by horizon, and the model."""
+    daily = materialize(daily_orders(spark, sf_dir), "daily")
+    train, test = series.tail_holdout(daily, "ds", HORIZON, ["series"])
+    errors = materialize(intervals.horizon_errors(train, ["series"], HORIZON, ORIGINS), "errors")
+    model = series.fit(train, ["series"])
+    return intervals.widened(series.predict(test, model, ["series"]), errors, model, ["series"]), errors, model
+
+
+@query("horizon_errors", f"WITH {_WIDE_SQL} SELECT series, step::INTEGER AS step, round(sqrt(variance)) AS sd FROM v")
+def horizon_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, errors, _ = _widened(spark, sf_dir)
+    return errors.select("series", "step", F.round(F.sqrt("variance")).alias("sd"))
+
+
+@query(
+    "widening_interval",
+    f"""WITH {_WIDE_SQL} SELECT p.series, p.step::INTEGER AS step, strftime(ds, '%Y-%m-%d') AS ds,
+  round(2 * 1.2816::DOUBLE * sqrt(variance * greatest(p.step / {HORIZON}::DOUBLE, 1))) AS width
+FROM p JOIN v ON v.series = p.series AND v.step = least(p.step, {HORIZON}) WHERE o = 0""",
+)
+def widening_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _, model = _widened(spark, sf_dir)
+    ended = model.select(F.col("series").alias("__s"), "last_ds")
+    step = F.datediff("ds", "last_ds").alias("step")
+    joined = out.join(ended, out["series"] == ended["__s"])
+    return joined.select("series", step, day_text("ds").alias("ds"), F.round(F.col("yhat_upper") - F.col("yhat_lower")).alias("width"))
