@@ -162,7 +162,7 @@ def numeric_drift(
     after that works on value counts, which are written out because several steps read them.
     """
     cumulated = materialize(_cumulated_sides(baseline, current, columns), "cumulated")
-    distance = _cumulative_distances(cumulated)
+    distance = cumulative_distances(cumulated)
     if edges is None:
         edges = baseline_edges(cumulated, bins)
     histogram = histogram_counts(cumulated, edges)
@@ -174,7 +174,7 @@ def distribution_distances(
 ) -> DataFrame:
     """KS and Wasserstein-1 distance per column, without histograms."""
     cumulated = materialize(_cumulated_sides(baseline, current, columns), "cumulated")
-    return _cumulative_distances(cumulated)
+    return cumulative_distances(cumulated)
 
 
 def _cumulated_sides(baseline: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -225,7 +225,8 @@ def approx_edges(baseline: DataFrame, columns: Sequence[str], bins: int = 10) ->
     return {c: sorted(set(row[c] or [])) for c in columns}
 
 
-def _cumulative_distances(cumulated: DataFrame) -> DataFrame:
+def cumulative_distances(cumulated: DataFrame) -> DataFrame:
+    """KS and Wasserstein-1 per column of running totals on both sides."""
     # the last running total is the whole
     totals = cumulated.groupBy("column").agg(
         F.max("cum_base").alias("__nb"), F.max("cum_cur").alias("__nc")

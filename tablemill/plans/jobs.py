@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tablemill.functions.vector import as_array
 from tablemill.models import classifier, kmeans, series
-from tablemill.operators import clusters, metrics, monitor, scoring
+from tablemill.operators import clusters, metrics, monitor, scoring, sketches
 from tablemill.operators.champion import DECIDING, decide
 from tablemill.operators.features import (
     NON_FEATURES,
@@ -386,6 +386,9 @@ def _evaluate(project: Project, model: str, kind: str, load: Callable, compare:
 # -- scoring and monitoring -----------------------------------------------------------------------
 
 
+SCORED = "scored_state"
+
+
 def batch_score(
     project: Project,
     table: str,
@@ -394,19 +397,88 @@ def batch_score(
     alias: str = "champion",
     now: Column | None = None,
 ) -> int:
-    """Score the feature table with the aliased version into the gold table; returns its version."""
+    """Score the whole feature table with the aliased version into the gold table; returns its version."""
+    lake, (version, stored) = project.lake, _aliased(project, model, alias)
+    newest = lake.current_version(table)
+    results = _scored(lake.read(table, newest), version, stored, alias, now)
+    _create_gold(lake, gold_table, results.schema, 1)
+    made = lake.overwrite(gold_table, results)
+    _remember(lake, gold_table, table, alias, newest, version)
+    return made
+
+
+def score_changes(
+    project: Project,
+    table: str,
+    model: str,
+    gold_table: str = "inference_results",
+    alias: str = "champion",
+    now: Column | None = None,
+    buckets: int = 1,
+) -> int:
+    """Bring the gold table up to the feature table's newest version; returns how many rows were scored.
+
+    What was scored last, feature version and model version, is kept beside the gold table. Nothing newer: no row is
+    read. The alias on another model version, or no earlier run: everything is scored. Else only rows that the
+    change feed names as new or changed are scored and merged; rows it names as deleted have no place in
+    a feature table that only takes merges, and after a full refresh everything is scored too. The predictions are
+    those of :func:`batch_score`; untouched rows keep the time they were scored at. A run cut short before it is
+    remembered is made good by the next, as a merge of the same rows changes nothing.
+    """
+    lake, (version, stored) = project.lake, _aliased(project, model, alias)
+    newest = lake.current_version(table)
+    seen = _remembered(lake, gold_table, table, alias)
+    if seen == (newest, version):
+        return 0
+    refreshed = lake.history(table).where(F.col("version").between((seen or (0, 0))[0] + 1, newest) & (F.col("operation") == "overwrite"))
+    if seen is None or seen[1] != version or not refreshed.isEmpty():
+        results = materialize(_scored(lake.read(table, newest), version, stored, alias, now), "scored")
+        _create_gold(lake, gold_table, results.schema, buckets)
+        lake.overwrite(gold_table, results)
+    else:
+        feed = lake.changes(table, seen[0], newest).where("_change_type in ('insert', 'update_postimage')")
+        changed = feed.select(*lake.read(table, newest).columns)
+        results = materialize(_scored(changed, version, stored, alias, now), "scored")
+        lake.upsert(gold_table, results)
+    _remember(lake, gold_table, table, alias, newest, version)
+    return results.count()
+
+
+def _aliased(project: Project, model: str, alias: str):
     version = project.registry.alias_version(model, alias)
     if version is None:
         raise LookupError(f"{model} has no {alias}")
-    stored = project.registry.version(model, version)
+    return version, project.registry.version(model, version)
+
+
+def _scored(features: DataFrame, version: int, stored, alias: str, now: Column | None) -> DataFrame:
     inputs = [tuple(pair) for pair in json.loads(stored.signature)]
-    rows = scoring.scoring_input(project.lake.read(table), FEATURE_KEY)
-    scored = scoring.score_model(rows, PipelineModel.load(stored.path), inputs)
-    results = scoring.gold(scored, alias, version, now)
-    project.lake.create_if_absent(
-        gold_table, results.schema, [FEATURE_KEY], properties={"quality": "gold"}
-    )
-    return project.lake.overwrite(gold_table, results)
+    rows = scoring.scoring_input(features, FEATURE_KEY)
+    return scoring.gold(scoring.score_model(rows, PipelineModel.load(stored.path), inputs), alias, version, now)
+
+
+def _create_gold(lake: Lake, name: str, schema: T.StructType, buckets: int) -> None:
+    lake.create_if_absent(name, schema, [FEATURE_KEY], buckets, properties={"quality": "gold"})
+
+
+_SCORED_KEY = ["gold", "features", "alias"]
+
+
+def _remembered(lake: Lake, gold_table: str, table: str, alias: str) -> tuple[int, int] | None:
+    """Feature and model version that the gold table was scored from, or None."""
+    if not (lake.exists(SCORED) and lake.exists(gold_table)):
+        return None
+    mine = (F.col("gold") == gold_table) & (F.col("features") == table) & (F.col("alias") == alias)
+    found = lake.read(SCORED).where(mine).select("feature_version", "model_version").first()
+    return tuple(found) if found else None
+
+
+def _remember(lake: Lake, gold_table: str, table: str, alias: str, features: int, model: int) -> None:
+    names = {"gold": gold_table, "features": table, "alias": alias}
+    numbers = {"feature_version": features, "model_version": model}
+    row = lake.spark.range(1).select(*[F.lit(v).alias(k) for k, v in names.items()], *[F.lit(v).cast("bigint").alias(k) for k, v in numbers.items()])
+    lake.create_if_absent(SCORED, row.schema, _SCORED_KEY)
+    lake.upsert(SCORED, row)
 
 
 def monitor_table(
@@ -451,3 +523,45 @@ def monitor_table(
 def _metric_upsert(lake: Lake, name: str, rows: DataFrame) -> None:
     lake.create_if_absent(name, rows.schema, ["table", "window", "column", "metric"])
     lake.upsert(name, rows)
+
+
+DAILY = "daily_profiles"
+STATE = "monitor_state"
+
+
+def monitor_changes(
+    project: Project, table: str, timestamp: str, columns: Sequence[str] | None = None, k: int = sketches.K
+) -> int:
+    """Bring the daily profiles of a keyed table up to its newest version; returns how many days were redone.
+
+    The version seen last is kept beside the profiles. Without a newer one no row is read. Else the change feed
+    tells the days that lost, gained or changed rows, and only those are read and profiled again. Profiles are
+    keyed by (table, day, column) and written before the version, so that a run cut short is made good by the next.
+    """
+    lake = project.lake
+    version = lake.current_version(table)
+    lake.create_if_absent(STATE, T._parse_datatype_string("table string, version bigint"), ["table"])
+    known = lake.read(STATE).where(F.col("table") == table).select("version").first()
+    seen = known[0] if known else 0
+    if version == seen:
+        return 0
+    days = materialize(sketches.touched_days(lake.changes(table, seen, version), timestamp), "days")
+    current = lake.read(table, version)
+    wanted = list(columns or [c for c in numeric_features(current) if c not in lake.meta(table)["keys"]])
+    rows = sketches.refreshed(current, days, timestamp, wanted, k)
+    rows = rows.select(F.lit(table).alias("table"), "*", F.lit(version).cast("bigint").alias("as_of"))
+    # a null day has a key of its own
+    rows = rows.withColumn("day", F.coalesce(F.col("day").cast("string"), F.lit("")))
+    lake.create_if_absent(DAILY, rows.schema, ["table", "day", "column"])
+    lake.upsert(DAILY, rows)
+    lake.upsert(STATE, lake.spark.range(1).select(F.lit(table).alias("table"), F.lit(version).cast("bigint").alias("version")))
+    return days.count()
+
+
+def window_drift(
+    project: Project, table: str, baseline: tuple[dt.date, dt.date], current: tuple[dt.date, dt.date]
+) -> DataFrame:
+    """Drift between two windows of days (both ends included), from daily profiles alone."""
+    daily = project.lake.read(DAILY).where(F.col("table") == table)
+    base, cur = (daily.where(F.col("day").between(str(a), str(b))) for a, b in (baseline, current))
+    return sketches.sketch_drift(base, cur)

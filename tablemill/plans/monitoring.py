@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.operators import champion, fairness, metrics, monitor, scoring
+from tablemill.operators import champion, fairness, metrics, monitor, scoring, sketches
+from tablemill.plans import jobs
 from tablemill.plans.catalog import (
     LABELLED_SQL,
     day_text,
@@ -537,3 +540,110 @@ def run_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = registry.flatten_runs(lake.read("runs"), ["model_type"], ["total"])
     history = lake.read("run_metric_history").select("run_id", "step", F.col("value").alias("half"))
     return flat.join(history, "run_id", "left")
+
+
+# -- daily sketches and incremental runs ----------------------------------------------------------
+
+_SKETCHED = ["l_quantity", "l_extendedprice"]
+_SHARES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+_RANK_ERROR = 0.02  # of ranks, well above that of the sketches
+
+
+@query(
+    "sketch_windows",
+    " UNION ALL ".join(
+        f"""SELECT year(l_shipdate)::INTEGER AS year, '{c}' AS "column", count({c}) AS n, min({c}) AS low, max({c}) AS high,
+        round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd, {len(_SHARES)}::BIGINT AS within FROM lineitem GROUP BY ALL"""
+        for c in _SKETCHED
+    ),
+)
+def sketch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years added up from daily sketches, and how many of their quantiles have the rank they claim among the rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_shipdate", *_SKETCHED)
+    daily = sketches.daily_sketches(rows, "l_shipdate", _SKETCHED)
+    whole = sketches.merged(daily.withColumn("year", F.year("day")), ["year", "column"])
+    whole = sketches.sketch_quantiles(whole, _SHARES).drop("sketch")
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in _SKETCHED]))
+    claimed = whole.select("year", "column", *_SHARES)
+    # a row per year and column
+    met = rows.select(F.year("l_shipdate").alias("year"), pairs).join(F.broadcast(claimed), ["year", "column"])
+    ranks = [f(F.col("value"), F.col(q)).cast("double").alias(f"{n}_{q}") for q in _SHARES for n, f in (("under", lambda v, q: v < q), ("upto", lambda v, q: v <= q))]
+    shares = met.groupBy("year", "column").agg(*[F.avg(r).alias(n) for r, n in zip(ranks, [f"{n}_{q}" for q in _SHARES for n in ("under", "upto")], strict=True)])
+    holds = [((F.col(f"under_{q}") <= p + _RANK_ERROR) & (F.col(f"upto_{q}") >= p - _RANK_ERROR)).cast("bigint") for q, p in _SHARES.items()]
+    checked = shares.select("year", "column", sum(holds, F.lit(0)).cast("bigint").alias("within"))
+    return whole.join(checked, ["year", "column"]).select("year", "column", "n", "low", "high", r6("mean", 4).alias("mean"), r6("sd", 4).alias("sd"), "within")
+
+
+@query(
+    "sketch_drift",
+    f"""WITH {_CDF_SQL} SELECT 'value' AS "column", count(*) FILTER (false) AS far, round(max(gap), 6) AS ks FROM f""",
+)
+def sketch_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact KS of two windows, and whether the one from daily sketches is more than four rank errors away."""
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "value")
+    daily = sketches.daily_sketches(events, "ts", ["value"], by=["event_type"])
+    sides = [daily.where(F.col("event_type") == kind) for kind in ("view", "click")]
+    near = sketches.sketch_drift(*sides).select("column", F.col("ks").alias("near"))
+    exact = _event_sides(spark, sf_dir).select("column", "ks")
+    far = (F.abs(F.col("ks") - F.col("near")) > 2 * _RANK_ERROR).cast("bigint")
+    return exact.join(near, "column").select("column", F.coalesce(far, F.lit(1)).alias("far"), r6("ks").alias("ks"))
+
+
+_LATE_SQL = """e AS (SELECT event_id, ts, CASE WHEN event_id = 7 THEN value + 1000 ELSE value END AS value FROM events)"""
+
+
+@query(
+    "monitor_increment",
+    f"""WITH {_LATE_SQL}, late AS (SELECT CAST(ts AS DATE) AS day FROM e WHERE event_id = 7)
+    SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS rows, count(value) AS n, round(sum(value), 2) AS total, min(value) AS low, max(value) AS high,
+      CASE WHEN CAST(ts AS DATE) IN (SELECT day FROM late) THEN 2 ELSE 1 END::BIGINT AS as_of
+    FROM e GROUP BY CAST(ts AS DATE)""",
+)
+def monitor_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily profiles after a first run, a run over unchanged data, and a run after one row came late."""
+    project = jobs.Project.at(new_lake(spark))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    project.lake.create_if_absent("log", events.schema, ["event_id"], buckets=8)
+    project.lake.overwrite("log", events)
+    jobs.monitor_changes(project, "log", "ts", ["value"])
+    if jobs.monitor_changes(project, "log", "ts", ["value"]):
+        raise AssertionError("a run over unchanged data profiled days")
+    project.lake.upsert("log", events.where("event_id = 7").withColumn("value", F.col("value") + 1000))
+    jobs.monitor_changes(project, "log", "ts", ["value"])
+    return project.lake.read(jobs.DAILY).select("day", "rows", "n", r6("total", 2).alias("total"), "low", "high", "as_of")
+
+
+def rule_model(project: jobs.Project, name: str, rule: str, inputs: list[tuple[str, str]]) -> int:
+    """Register a model that predicts by an SQL expression, as champion; returns its version."""
+    path = project.new_model_path(name)
+    PipelineModel([SQLTransformer(statement=f"SELECT *, CAST({rule} AS DOUBLE) AS prediction FROM __THIS__")]).save(path)
+    run = project.registry.log_run({"model_type": registry.PIPELINE_MODEL_TYPES["classification"]}, {})
+    version = project.registry.register_version(name, run, path, inputs)
+    project.registry.set_alias(name, "champion", version)
+    return version
+
+
+@query(
+    "incremental_gold",
+    """WITH f AS (SELECT o_orderkey AS id, o_custkey % 10 = 0 AS late, CASE WHEN o_custkey % 10 = 0 THEN 2 ELSE 1 END * o_totalprice AS v FROM orders)
+SELECT id, CAST(v > 150000 AS DOUBLE) AS prediction, CASE WHEN late THEN '2024-06-02' ELSE '2024-06-01' END AS scored_on,
+  'champion' AS model_version, 1::BIGINT AS resolved_version FROM f""",
+)
+def incremental_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold after a first run, a run with nothing new, and one after a tenth of the customers' orders changed."""
+    project = jobs.Project.at(new_lake(spark))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("value"))
+    project.lake.create_if_absent("o_features", orders.schema, ["id"], buckets=8)
+    project.lake.upsert("o_features", orders)
+    rule_model(project, "m", "value > 150000", [("value", "double")])
+
+    def run(day: str) -> int:
+        return jobs.score_changes(project, "o_features", "m", now=F.lit(f"{day} 12:00:00").cast("timestamp"), buckets=8)
+
+    run("2024-06-01")
+    if run("2024-06-02"):
+        raise AssertionError("a run over unchanged data scored rows")
+    project.lake.upsert("o_features", orders.where("customer % 10 = 0").withColumn("value", 2 * F.col("value")))
+    run("2024-06-02")
+    gold = project.lake.read("inference_results")
+    return gold.select("id", "prediction", day_text("inference_timestamp").alias("scored_on"), "model_version", "resolved_version")
