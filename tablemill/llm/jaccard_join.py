@@ -98,9 +98,11 @@ def _sketches(words: int, percent: int):
                 key = int(mix(np.array([sums + np.uint64(n)], dtype=np.uint64))[0] >> np.uint64(1)) if n else None
                 zone = int(np.searchsorted(found, ZONE, side="right"))
                 prefix = n - -(-percent * n // 100) + 1 if n else 0
-                out.append((row, n, zone, key, found[: max(prefix, zone)]))
-            for i in range(0, len(out), 500):
-                yield pd.DataFrame(out[i : i + 500], columns=[ROW, "n", "zone", "key", "prefix"])
+                out.append((row, n, zone, key, found[: max(prefix, zone)].copy()))
+                if len(out) == 500:
+                    yield pd.DataFrame(out, columns=[ROW, "n", "zone", "key", "prefix"])
+                    out = []
+            yield pd.DataFrame(out, columns=[ROW, "n", "zone", "key", "prefix"])
 
     return run
 
@@ -108,7 +110,9 @@ def _sketches(words: int, percent: int):
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pd.DataFrame({"key": batch["key"], "body": [pack.compress(t.encode()) for t in batch["text"]]})
+        for at in range(0, len(batch), 500):
+            part = batch.iloc[at : at + 500]
+            yield pd.DataFrame({"key": part["key"], "body": [pack.compress(t.encode()) for t in part["text"]]})
 
 
 def _measured(words: int):

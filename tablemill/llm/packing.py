@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 
 import numpy as np
@@ -28,8 +29,8 @@ from tablemill.llm.store import ROW, Workspace, numbered
 CAPACITY = 2048
 STEPS = 400
 DEALS = 64  # parts in which the pieces of one length are numbered
-CHARS = 1 << 22  # of texts encoded together
-WORDS = 1 << 20  # remembered
+CHARS = 1 << 21  # of texts encoded together
+WORDS = 1 << 19  # remembered
 STEP = 1 << 14
 
 
@@ -43,8 +44,11 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+        at = text.index('"added_tokens"')
+        self.special = [t["content"] for t in json.JSONDecoder().raw_decode(text, text.index("[", at))[0]]
         self.fast = None
         if ranks:
             with open(ranks, "rb") as lines:
@@ -54,6 +58,10 @@ class Encoder:
             self.sizes[list(table.values())] = [len(b) for b in table]
         self.forget()
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.begins = np.empty(0, "<u4"), np.zeros(1, np.int64)  # ids of known words, and where each word's begin

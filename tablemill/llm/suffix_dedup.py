@@ -124,6 +124,7 @@ def equal_neighbours(labels: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray
 
 def _chunk_rows(length: int):
     """The chunks asked for, cut out of their documents."""
+    names = [ROW, "first", "before", "core", "crowded", "lead", "bytes"]
 
     def run(batches):
         for batch in batches:
@@ -133,8 +134,10 @@ def _chunk_rows(length: int):
                 for w in wanted:
                     at, first, end = w["at"], w["at"] - w["before"], w["at"] + w["after"] + length
                     out.append((row, first, w["before"], w["core"], w["crowded"], data[at : at + 16], data[first:end]))
-            for i in range(0, len(out), 5_000):
-                yield pd.DataFrame(out[i : i + 5_000], columns=[ROW, "first", "before", "core", "crowded", "lead", "bytes"])
+                    if len(out) == 5_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
@@ -241,6 +244,8 @@ def _merged(spans, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(length: int, with_text: bool):
+    names = [ROW, *(f"_op_{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text))]
+
     def run(batches):
         for batch in batches:
             out = []
@@ -251,8 +256,10 @@ def _cut(length: int, with_text: bool):
                 rest = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
                 made = (row, len(data), int((end - start).sum()), len(start), hashlib.sha256(rest).hexdigest())
                 out.append((*made, rest.decode(errors="ignore")) if with_text else made)
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-            yield pd.DataFrame(out, columns=[ROW, *(f"_op_{c}" for c in names)])
+                if len(out) == 500:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
