@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from tablemill.session import scratch_path
 
 ROW = "_op_row"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Workspace:
     """Tables that one run of an operator writes to the shared folder (``spark.checkpoint.dir``).
 
+    A session that leaves the rows of an Arrow batch at their default gets batches of a thousand from here on.
     Each is written whole before it is read, so a lost executor costs a task, not the lineage, and
     can be dropped as soon as later tables no longer need it.
     """
@@ -26,6 +28,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.home = scratch_path(spark, label)
+        # rows hold texts: a batch of the default number of them would take tens of megabytes, several times over
+        if spark.conf.get(BATCH) == "10000":
+            spark.conf.set(BATCH, "1000")
         self.made = 0
 
     def write(self, df: DataFrame) -> DataFrame:
