@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.bytehash import Hashes
-from tablemill.llm.store import ROW, Workspace, numbered, tasks
+from tablemill.llm.store import ROW, Workspace, numbered, tasks, tidy
 
 LENGTH = 400
 SPREAD = 256
@@ -204,9 +204,11 @@ def repeated_windows(docs: DataFrame, work: Workspace, length: int, spread: int,
     found = work.write(rows.mapInPandas(_gathered(_anchor_rows(length, spread)), f"{ROW} long, at long, before short, after short, core long, chunk long"))
 
     shared = found.groupBy("core").agg(F.count("*").alias("n"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("n > 1")
-    shared = shared.select("core", (F.col("low") != F.col("high")).alias("mixed"))
+    # written, so that the files of its shuffle are gone before all anchors are shuffled
+    shared = work.write(shared.select("core", (F.col("low") != F.col("high")).alias("mixed")))
+    tidy(spark)
     kept = work.write(found.join(shared, "core"))
-    work.drop(found)
+    work.drop(found, shared)
 
     # one chunk of each kind stands for the others of its kind
     own = F.struct(ROW, "at", "before", "after")
