@@ -8,7 +8,7 @@ tile's product can be from the true one,
 
 so a pair whose upper bound lies under the query's kth lower bound is out. What survives is computed
 again from the original vectors in double precision, component after component. A tile hands on its
-best ``k`` for each query, and the tiles' lists are merged by a heap.
+best ``k`` for each query as a sorted list, and heaps merge the lists of some tiles at a time.
 
 Nothing is left to chance: the result is exact, not an estimate. The set of queries is a fixed share of
 the rows, so the work grows with queries times rows; blocks bound what a task holds.
@@ -17,6 +17,7 @@ the rows, so the work grows with queries times rows; blocks bound what a task ho
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -31,16 +32,25 @@ TILE_QUERIES = 4096
 STRIP = 256  # queries multiplied at once
 EXACT_DIM = 1024  # up to here float32 holds sums of int8 products exactly
 
-FOUND = "qblock long, qplace int, query_id long, vec_id long, score double"
+FAN_IN = 64  # tiles whose lists are merged at once
+
+FOUND = "qblock long, qplace int, query_id long, part int, vec_ids array<long>, scores array<double>"
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, without overflow or underflow of the squares."""
+    most = np.abs(x).max(axis=1)
+    most[(most == 0) | ~np.isfinite(most)] = 1.0
+    return most * np.linalg.norm(x / most[:, None], axis=1)
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, their scales, the length of each rounding error, and the length of each rounded row."""
     scale = np.abs(x).max(axis=1) / 127.0
     scale[scale == 0] = 1.0
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    codes = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
     near = codes * scale[:, None]
-    return codes, scale, np.linalg.norm(x - near, axis=1), np.linalg.norm(near, axis=1)
+    return codes, scale, lengths(x - near), lengths(near)
 
 
 def int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,44 +69,49 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def tile(queries, candidates, k: int) -> pd.DataFrame:
-    """The ``k`` best candidates of each query; both are (block, place, id, vector) arrays."""
+    """The ``k`` best candidates of each query, one sorted list a query; both are (block, place, id, vector) arrays."""
     qb, qp, qid, q = queries
     cb, cp, cid, c = candidates
     q64, c64 = q.astype(np.float64), c.astype(np.float64)
     qcode, qscale, qerror, _ = quantised(q64)
     ccode, cscale, cerror, cnear = quantised(c64)
-    qlength = np.linalg.norm(q64, axis=1)
+    qlength = lengths(q64)
     slack = 1e-9  # for the rounding of the bounds themselves
     out = []
     for at in range(0, len(q), STRIP):
         part = slice(at, at + STRIP)
         middle = int8_products(qcode[part], ccode) * qscale[part, None] * cscale
-        error = (qlength[part, None] * cerror + qerror[part, None] * cnear) * (1 + slack) + slack * np.abs(middle)
+        error = (qlength[part, None] * cerror + qerror[part, None] * cnear) * (1 + slack) + slack * np.abs(middle) + 1e-12 * qlength[part, None] * cnear
         own = (qb[part, None] == cb) & (qp[part, None] == cp)
-        low = np.where(own, -np.inf, middle - error)
+        # where doubles cannot hold the bounds nothing is known of a pair: it survives and lifts no other's bar
+        held = np.isfinite(middle) & np.isfinite(error)
+        low = np.where(own | ~held, -np.inf, middle - error)
+        high = np.where(held, middle + error, np.inf)
         kth = np.partition(low, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(low), -np.inf)
-        row, col = np.nonzero((middle + error >= kth[:, None]) & ~own)
+        row, col = np.nonzero((high >= kth[:, None]) & ~own)
         score = exact(q[part][row], c[col])
-        order = np.lexsort((cid[col], -score, row))
+        order = np.lexsort((cid[col], -score, ~np.isnan(score), row))
         row, col, score = row[order], col[order], score[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        top = rank < k
-        row, col, score = row[top] + at, col[top], score[top]
-        out.append(pd.DataFrame({"qblock": qb[row], "qplace": qp[row].astype("int32"), "query_id": qid[row], "vec_id": cid[col], "score": score}))
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col, score = row[top], col[top], score[top]
+        names, first = np.unique(row, return_index=True)
+        lists = pd.DataFrame({"qblock": qb[names + at], "qplace": qp[names + at].astype("int32"), "query_id": qid[names + at]})
+        lists["vec_ids"], lists["scores"] = np.split(cid[col], first[1:])[: len(names)], np.split(score, first[1:])[: len(names)]
+        out.append(lists)
     return pd.concat(out, ignore_index=True)
 
 
 def _side(frame: pd.DataFrame, dtype: str, chosen: bool):
-    """Blocks one under the other; of queries only the chosen places."""
+    """Blocks one under the other; those of queries hold the chosen places only."""
     block, place, ids, data = [], [], [], []
     for row in frame.to_dict("records"):
         some, matrix = unpack(row, dtype)
-        at = np.frombuffer(row["places"], dtype="<i4") if chosen else np.arange(len(some))
-        block.append(np.full(len(at), row["block"]))
-        place.append(at)
-        ids.append(some[at])
-        data.append(matrix[at])
+        block.append(np.full(len(some), row["block"]))
+        place.append(np.frombuffer(row["places"], dtype="<i4") if chosen else np.arange(len(some)))
+        ids.append(some)
+        data.append(matrix)
     return np.concatenate(block), np.concatenate(place), np.concatenate(ids), np.concatenate(data)
 
 
@@ -104,30 +119,39 @@ def _tiles(dtype: str, k: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["places"].notna()
         if asks.all() or not asks.any():
-            return pd.DataFrame(columns=["qblock", "qplace", "query_id", "vec_id", "score"])
-        return tile(_side(frame[asks], dtype, True), _side(frame[~asks], dtype, False), k)
+            return pd.DataFrame(columns=["qblock", "qplace", "query_id", "part", "vec_ids", "scores"])
+        return tile(_side(frame[asks], dtype, True), _side(frame[~asks], dtype, False), k).assign(part=frame["part"].iloc[0])
 
     return run
 
 
 def _merge(k: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Merge the tiles' sorted lists of a query with a heap."""
-        frame = frame.sort_values(["score", "vec_id"], ascending=[False, True])
-        lists = [zip(-g["score"], g["vec_id"], strict=True) for _, g in frame.groupby("tile")]
-        top = [item for item, _ in zip(heapq.merge(*lists), range(k), strict=False)]
-        return pd.DataFrame(
-            {"query_id": frame["query_id"].iloc[0], "rank": range(1, len(top) + 1), "vec_id": [v for _, v in top], "score": [-s + 0.0 for s, _ in top]}
-        )
+        """Merge the sorted lists of each query of a block with a heap; a score that is no number leads, as in SQL."""
+        out = []
+        for (qplace, query_id), lists in frame.groupby(["qplace", "query_id"], sort=False):
+            keyed = [[(not np.isnan(s), -s, v) for v, s in zip(r.vec_ids, r.scores, strict=True)] for r in lists.itertuples()]
+            top = list(itertools.islice(heapq.merge(*keyed, key=lambda hit: (hit[0], hit[1] if hit[0] else 0.0, hit[2])), k))
+            out.append((frame["qblock"].iloc[0], qplace, query_id, frame["part"].iloc[0], [v for _, _, v in top], [-s + 0.0 for _, s, _ in top]))
+        return pd.DataFrame(out, columns=["qblock", "qplace", "query_id", "part", "vec_ids", "scores"])
 
     return run
 
 
-def _places(batches, choose):
-    for batch in batches:
-        places = [np.flatnonzero(choose(np.frombuffer(ids, dtype="<i8"))).astype("<i4") for ids in batch["ids"]]
-        batch["places"] = [p.tobytes() for p in places]
-        yield batch[[len(p) > 0 for p in places]]
+def chosen_places(choose, dtype: str):
+    """Blocks cut down to the vectors whose ids are chosen, and their places in the block."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                ids, data = unpack(row, dtype)
+                at = np.flatnonzero(choose(ids)).astype("<i4")
+                if len(at):
+                    rows.append((row["block"], row["dim"], len(at), ids[at].tobytes(), data[at].tobytes(), at.tobytes()))
+            yield pd.DataFrame(rows, columns=["block", "dim", "size", "ids", "data", "places"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tile_rows: int = TILE_ROWS, tile_queries: int = TILE_QUERIES) -> DataFrame:
@@ -138,8 +162,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tile_rows: int = T
 
     Rows whose id is null, or whose vector is null, empty, all zero or holds a null or non-finite
     component, take no part. Vectors are compared with those of their own dimension. Of rows that repeat
-    an id each is a query of its own and a candidate of the others. An empty table gives an empty
-    result; columns other than vec_id and embedding are not looked at.
+    an id each is a query of its own and a candidate of the others. Components may be of any finite
+    size: a product beyond a double is infinite, and one of opposite infinities is not a number and
+    counts as greater than all numbers, as in SQL. An empty table gives an empty result; columns other
+    than vec_id and embedding are not looked at.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "neighbours")
@@ -150,7 +176,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tile_rows: int = T
     packed = work.write(blocks(rows, dtype))
 
     schema = "block long, dim int, size int, ids binary, data binary, places binary"
-    asks = packed.mapInPandas(lambda batches: _places(batches, lambda ids: ids % every == 0), schema)
+    asks = work.write(packed.mapInPandas(chosen_places(lambda ids: ids % every == 0, dtype), schema))
     shape = packed.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-shape // tile_rows))
     groups = max(1, -(-shape // every // tile_queries))
@@ -164,5 +190,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tile_rows: int = T
     left = asks.select("*", dealt(F.col("block"), groups).alias("group")).select("*", copies(parts).alias("part"))
     right = packed.select("*", F.lit(None).cast("binary").alias("places"), dealt(F.col("block"), parts).alias("part")).select("*", copies(groups).alias("group"))
     found = left.unionByName(right).groupBy("group", "part", "dim").applyInPandas(_tiles(dtype, k), FOUND)
-    found = found.select("*", F.spark_partition_id().alias("tile"))
-    return found.groupBy("qblock", "qplace").applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")
+    # the tiles' lists of a query are merged some at a time, so no group grows with the table
+    while True:
+        found = found.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("qblock", "part").applyInPandas(_merge(k), FOUND)
+        parts = -(-parts // FAN_IN)
+        if parts == 1:
+            break
+        found = work.write(found)
+    hits = found.select("query_id", F.posexplode(F.arrays_zip("vec_ids", "scores")).alias("rank", "hit"))
+    return hits.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.vec_ids").alias("vec_id"), F.col("hit.scores").alias("score"))

@@ -59,4 +59,6 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         some = np.flatnonzero(scores >= cut)
     else:
         some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+    # the least long has no negative
+    falling = ~scores[some] if scores.dtype.kind == "i" else -scores[some]
+    return some[np.lexsort((ids[some], falling))[:k]]
