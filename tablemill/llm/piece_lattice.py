@@ -1,18 +1,26 @@
-"""N-best segmentations into the pieces of a SentencePiece model, and back.
+"""N-best segmentations into the pieces of a SentencePiece model, the model's own encoding, and back.
 
 All ways to write a text as pieces form a lattice. A forward Viterbi pass gives the best score from the
 start to every place; for a search from the end backwards that is the exact cost of what is still to go,
-so A-star meets complete segmentations in the order of their scores and expands nothing it need not.
+so A-star meets complete segmentations in the order of their scores and expands nothing it need not. Of the
+pieces that end at a place the search takes the best and comes back for the next only once that is used.
 
-No piece reaches over the beginning of a word, so a text's lattice is a chain of the lattices of its words.
-Words are searched one by one, and remembered; the chain's n best follow from a second best-first search
-over how far each word departs from its best.
+A model made by merges has no probabilities: its scores are the ranks of the merges and cannot be summed.
+So pieces are scored by log probabilities over the rows given: every text is encoded by the model's own rule,
+and a grouped aggregate counts the pieces. The own encoding is returned beside the n best.
+
+No piece reaches over the beginning of a word, and none holds a letter beside a full stop or a line break, so a
+text's lattice is a chain of the lattices of such units. A task searches each different unit once while it
+remembers it; the chain's n best follow from a second
+best-first search over how far each word departs from its best.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import itertools
+import operator
 import re
 import zlib
 
@@ -21,66 +29,109 @@ import pandas as pd
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 N_BEST = 4
-CACHE = 300_000
+CACHE = 150_000  # words of a generation; two are remembered
 HELD = 1 << 20  # ids that a task holds before it gives rows away
+GRAIN = 2.0**20  # log probabilities are multiples of its inverse, so that sums are exact and ties are ties
 
 Path = tuple[float, tuple[int, ...]]
 
 
+class Remembered:
+    """Results by word, in two generations: what is asked for again outlives what is not."""
+
+    def __init__(self, make):
+        self.make, self.new, self.old = make, {}, {}
+
+    def all(self, words: list[str]) -> list:
+        """The results of words, made for those that are not remembered."""
+        if len(self.new) >= CACHE:
+            self.new, self.old = {}, self.new
+        new = self.new
+        lost = [w for w in dict.fromkeys(words) if w not in new]
+        if lost:
+            again = {w: self.old[w] for w in lost if w in self.old}
+            new.update(again)
+            fresh = [w for w in lost if w not in again]
+            new.update(zip(fresh, self.make(fresh), strict=True))
+        return [new[w] for w in words]
+
+
 class Pieces:
-    """The pieces of a model with their scores, and the search for segmentations."""
+    """The pieces of a model, and the search for segmentations by their scores: the model's if none are given."""
 
-    def __init__(self, path: str):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.scores = [model.get_score(i) for i in range(model.get_piece_size())]
+    def __init__(self, path: str, scores: list[float] | None = None):
+        model = self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.scores = [model.get_score(i) for i in range(model.get_piece_size())] if scores is None else scores
         self.texts = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes = {int(t[3:5], 16): i for i, t in enumerate(self.texts) if model.is_byte(i)}
+        self.names = {i: b for b, i in self.bytes.items()}
+        self.spelt = np.isin(np.arange(len(self.texts)), list(self.names))
         plain = [i for i in range(len(self.texts)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {self.texts[i]: i for i in plain}
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
             raise ValueError("a piece reaches over the beginning of a word")
-        self.known: dict[tuple[str, int], list[Path]] = {}
-
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each place, the pieces that end there: where they begin, their ids and score."""
-        ends: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(word) + 1)]
-        for start in range(len(word)):
-            for end in range(start + 1, min(len(word), start + self.longest) + 1):
-                piece = self.ids.get(word[start:end])
+        self.unit = units(self.ids)
+        self.words = {}
+
+    def own(self, text: str) -> np.ndarray:
+        """The model's own ids of a whole text."""
+        return np.array(self.model.encode(text, num_threads=1), dtype="<i4")
+
+    def edges(self, word: str) -> tuple[list[list], list[float]]:
+        """For each place the pieces that end there, as (score, start, ids), and the best score from the start to it."""
+        ends, forward = [[]], [0.0]
+        known, scores = self.ids, self.scores
+        for end in range(1, len(word) + 1):
+            here = []
+            for start in range(max(0, end - self.longest), end):
+                piece = known.get(word[start:end])
                 if piece is not None:
-                    ends[end].append((start, (piece,), self.scores[piece]))
-            if word[start] not in self.ids:
+                    here.append((scores[piece], start, (piece,)))
+            if word[end - 1] not in known:
                 # a character that is no piece is spelt in bytes
-                data = word[start].encode(errors="replace")
+                data = word[end - 1].encode(errors="replace")
                 spelt = tuple(self.bytes.get(b, self.unknown) for b in data)
-                ends[start + 1].append((start, spelt, sum(self.scores[i] for i in spelt)))
-        return ends
+                here.append((sum(scores[i] for i in spelt), end - 1, spelt))
+            ends.append(here)
+            forward.append(max(score + forward[start] for score, start, _ in here))
+        return ends, forward
 
     def search(self, word: str, n: int) -> list[Path]:
         """The ``n`` best segmentations of a word: scores and ids, best first, ties to smaller ids."""
-        ends = self.edges(word)
-        forward = [0.0] + [-np.inf] * len(word)
-        for end in range(1, len(word) + 1):
-            forward[end] = max((forward[start] + score for start, _, score in ends[end]), default=-np.inf)
+        ends, forward = self.edges(word)
+        ordered: list[list | None] = [None] * len(ends)
         # A place is left at most n times, for its n best ways to the word's end: the heap gives them in order,
         # equal totals from right to left and then by the piece that begins there and the rank of what follows it.
-        ways: list[list[tuple[float, tuple[int, ...], int, int]]] = [[] for _ in range(len(word) + 1)]
-        heap: list[tuple[float, int, int, int, float, tuple[int, ...], int]] = [(-forward[-1], -len(word), -1, 0, 0.0, (), len(word))]
+        ways: list[list[tuple[float, tuple[int, ...], int, int]]] = [[] for _ in ends]
+        ways[-1].append((0.0, (), len(word), 0))
+        heap: list[tuple[float, int, int, int, int, int]] = []
+
+        def offer(place: int, rank: int, nth: int) -> None:
+            """The ``nth`` best piece that ends at a place, before its way of a rank."""
+            pieces_ = ordered[place]
+            if pieces_ is None:
+                pieces_ = ordered[place] = sorted((-(forward[start] + score), -start, ids[0], score, ids) for score, start, ids in ends[place])
+            if nth < len(pieces_):
+                ahead, minus, first, _, _ = pieces_[nth]
+                heapq.heappush(heap, (ahead - ways[place][rank][0], minus, first, rank, place, nth))
+
+        if word:
+            offer(len(word), 0, 0)
         while heap and len(ways[0]) < n:
-            _, minus, _, rank, behind, piece, after = heapq.heappop(heap)
-            place = -minus
-            if len(ways[place]) >= n:
-                continue
-            ways[place].append((behind, piece, after, rank))
-            for start, ids, score in ends[place]:
-                total = behind + score
-                heapq.heappush(heap, (-(forward[start] + total), -start, ids[0], len(ways[place]) - 1, total, ids, place))
+            _, minus, _, rank, place, nth = heapq.heappop(heap)
+            offer(place, rank, nth + 1)
+            mine = ways[-minus]
+            if len(mine) < n:
+                _, _, _, score, ids = ordered[place][nth]
+                mine.append((ways[place][rank][0] + score, ids, place, rank))
+                if minus:
+                    offer(-minus, len(mine) - 1, 0)
         found: list[Path] = []
         for behind, ids, after, rank in ways[0]:
             whole = list(ids)
@@ -90,45 +141,57 @@ class Pieces:
             found.append((behind, tuple(whole)))
         return found
 
-    def word(self, word: str, n: int) -> list[Path]:
-        """As ``search``, remembered."""
-        have = self.known.get((word, n))
-        if have is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            have = self.known[word, n] = self.search(word, n)
-        return have
+    def segments(self, text: str, n: int) -> list[tuple[float, np.ndarray]]:
+        """The ``n`` best segmentations of a whole text with their scores."""
+        if n not in self.words:
+            self.words[n] = Remembered(lambda words: [_word(self.search(w, n)) for w in words])
+        words = self.words[n].all(self.unit.findall(normalised(text)))
+        best = sum(map(_SCORE, words))
+        first = _flat(list(map(_BEST, words)))
+        out = [(best, first)]
+        # a departure costs; the n cheapest words to depart in are all that n results can need
+        gaps = np.fromiter(map(_GAP, words), dtype=np.float64, count=len(words))
+        open_ = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else _least(gaps, n - 1)
+        open_ = [int(i) for i in open_ if gaps[i] < np.inf]
+        if open_:
+            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, map(_BEST, words)), dtype=np.int64, count=len(words)))))
+            lists = [words[i][3] for i in open_]
+            heap = [(0.0, (0,) * len(lists))]
+            seen = {heap[0][1]}
+            while heap and len(out) <= n:
+                cost, ranks = heapq.heappop(heap)
+                if any(ranks):
+                    parts, at = [], 0
+                    for i, paths, rank in sorted(zip(open_, lists, ranks, strict=True), key=operator.itemgetter(0)):
+                        if rank:
+                            parts += [first[at : starts[i]], np.array(paths[rank][1], dtype="<i4")]
+                            at = starts[i + 1]
+                    out.append((best - cost, np.concatenate([*parts, first[at:]])))
+                for k, paths in enumerate(lists):
+                    if ranks[k] + 1 < len(paths):
+                        after = (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :])
+                        if after not in seen:
+                            seen.add(after)
+                            heapq.heappush(heap, (cost + paths[ranks[k]][0] - paths[ranks[k] + 1][0], after))
+        return out[:n]
 
     def n_best(self, text: str, n: int = N_BEST) -> list[Path]:
         """The ``n`` best segmentations of a whole text."""
-        words = [self.word(w, n) for w in WORD.findall(normalised(text))]
-        best = sum(w[0][0] for w in words)
-        # a departure costs; the n cheapest words to depart in are all that n results can need
-        open_ = [(w[0][0] - w[1][0], i) for i, w in enumerate(words) if len(w) > 1]
-        open_ = heapq.nsmallest(max(0, n - 1), open_)
-        lists = [words[i] for _, i in open_]
-        heap = [(0.0, (0,) * len(lists))]
-        seen = {heap[0][1]}
-        out = []
-        while heap and len(out) < n:
-            cost, ranks = heapq.heappop(heap)
-            chosen = {i: ranks[k] for k, (_, i) in enumerate(open_) if ranks[k]}
-            out.append((best - cost, tuple(p for i, w in enumerate(words) for p in w[chosen.get(i, 0)][1])))
-            for k, paths in enumerate(lists):
-                if ranks[k] + 1 < len(paths):
-                    after = (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :])
-                    if after not in seen:
-                        seen.add(after)
-                        heapq.heappush(heap, (cost + paths[ranks[k]][0] - paths[ranks[k] + 1][0], after))
-        return out
+        return [(score, tuple(ids.tolist())) for score, ids in self.segments(text, n)]
+
+    def written(self, ids: np.ndarray) -> str:
+        """As ``decode``, for an array of ids."""
+        if self.spelt[ids].any():
+            return self.decode(ids.tolist())
+        text = "".join(map(self.texts.__getitem__, ids.tolist())).replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
 
     def decode(self, ids) -> str:
         """The text that ids stand for; bytes that are no character become U+FFFD."""
         out, data = [], bytearray()
-        names = {i: b for b, i in self.bytes.items()}
         for i in ids:
-            if i in names:
-                data.append(names[i])
+            if i in self.names:
+                data.append(self.names[i])
                 continue
             if data:
                 out.append(data.decode(errors="replace"))
@@ -139,40 +202,100 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def units(pieces_) -> re.Pattern:
+    """What cuts a text into words, and a word between a letter and a sign that share no piece side by side."""
+    near = {c for piece in pieces_ for a, b in zip(piece, piece[1:]) for c, other in ((a, b), (b, a)) if other.isalpha()}
+    apart = "".join(re.escape(c) for c in ".,;:!?\n\t()[]{}\"|" if c not in near)
+    if not apart:
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    letter = r"[^\W\d_]"
+    inside = f"{letter}(?![{apart}])|[{apart}](?!{letter})|(?!{letter})[^{SPACE}{apart}]"
+    return re.compile(f"{SPACE}*(?:{inside})*[^{SPACE}]|{SPACE}+")
+
+
+def _word(paths: list[Path]) -> tuple:
+    """What a chain needs of a word: cost of the first departure, score, best ids, all paths."""
+    return (paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf, paths[0][0], paths[0][1], paths if len(paths) > 1 else None)
+
+
+_GAP, _SCORE, _BEST = (operator.itemgetter(i) for i in range(3))
+
+
+def _flat(lists: list) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(lists), dtype="<i4")
+
+
+def _least(values: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least values, ties to smaller places."""
+    if k < 1:
+        return np.empty(0, dtype=np.int64)
+    some = np.flatnonzero(values <= np.partition(values, k - 1)[k - 1])
+    return some[np.argsort(values[some], kind="stable")[:k]]
+
+
 def normalised(text: str) -> str:
     """A space before the text, and spaces as a visible character. An empty text stays empty."""
     return (" " + text).replace(" ", SPACE) if text else ""
 
 
-@functools.cache
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+@functools.lru_cache(maxsize=2)
+def pieces(path: str, scores: bytes | None = None) -> Pieces:
+    return Pieces(path, None if scores is None else np.frombuffer(scores).tolist())
 
 
-def _encoded(path: str, n: int):
+def _counted(path: str):
     def run(batches):
         model = pieces(path)
+        seen = np.zeros(len(model.texts), dtype=np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                seen += np.bincount(model.own(text or ""), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"piece": at.astype("int32"), "n": seen[at]})
+
+    return run
+
+
+def log_probabilities(rows: DataFrame, model: str | None = None) -> np.ndarray:
+    """Log probability of every piece of the model in the texts of all rows, as the model itself encodes them.
+
+    Each piece counts once more than it occurs, so none is impossible. Each task hands on one row a piece;
+    what the driver gets is one number for each piece of the vocabulary.
+    """
+    path = model or public_tokenizers.path("piece_bpe_32k.model")
+    found = rows.selectExpr("cast(text as string) as text").mapInPandas(_counted(path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.ones(len(pieces(path).texts))
+    seen[found["piece"].to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=np.float64)
+    return np.rint(np.log(seen / seen.sum()) * GRAIN) / GRAIN
+
+
+def _encoded(path: str, n: int, scores: bytes | None = None):
+    def run(batches):
+        model = pieces(path, scores)
         for batch in batches:
             rest, out, first, held = batch.drop(columns=["text"]), [], 0, 0
             for at, text in enumerate(batch["text"], 1):
-                found = model.n_best(text or "", n)
-                ids = [np.array(i, dtype="<i4") for _, i in found]
-                out.append((ids, [float(s) for s, _ in found], zlib.crc32(ids[0].tobytes()), model.decode(ids[0].tolist()) == (text or "")))
-                held += sum(map(len, ids))
+                found, own = model.segments(text or "", n), model.own(text or "")
+                ids = [i for _, i in found]
+                out.append((ids, [float(s) for s, _ in found], zlib.crc32(ids[0].tobytes()), model.written(ids[0]) == (text or ""), own))
+                held += sum(map(len, ids)) + len(own)
                 if held >= HELD or at == len(batch):
                     done = rest.iloc[first:at]
-                    yield done.assign(_op_ids=[o[0] for o in out], _op_scores=[o[1] for o in out], _op_crc=[o[2] for o in out], _op_same=[o[3] for o in out])
+                    columns = zip(*out, strict=True)
+                    yield done.assign(**{c: list(v) for c, v in zip(("_op_ids", "_op_scores", "_op_crc", "_op_same", "_op_own"), columns, strict=True)})
                     out, first, held = [], at, 0
 
     return run
 
 
-def encode(rows: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFrame:
-    """Adds n_best (ids of up to ``n`` segmentations, best first), scores, ids_crc32 and round_trip.
+def encode(rows: DataFrame, n: int = N_BEST, model: str | None = None, scores: np.ndarray | None = None) -> DataFrame:
+    """Adds n_best (ids of up to ``n`` segmentations, best first), scores, ids_crc32, round_trip and own_ids.
 
     ids_crc32 is that of the best segmentation as little-endian 32-bit numbers; round_trip tells whether
-    it decodes to the text. The score of a segmentation is the sum of its pieces' scores; of equal ones
-    the smaller ids come first within a word. Characters that are no piece are spelt in bytes.
+    it decodes to the text; own_ids is the encoding by the model's own rule, which is not always among the
+    n best. A segmentation's score is the sum of its pieces' ``scores``, by default their
+    ``log_probabilities`` over all rows; of equal ones the smaller ids come first within a word.
+    Characters that are no piece are spelt in bytes.
 
     A null or empty text has one empty segmentation with score 0. Every row is looked at for itself; an
     empty table gives an empty one. Columns of the names added are replaced; names that begin with
@@ -181,16 +304,17 @@ def encode(rows: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFr
     if n < 1:
         raise ValueError("n must be positive")
     path = model or public_tokenizers.path("piece_bpe_32k.model")
-    made = {"n_best": "_op_ids", "scores": "_op_scores", "ids_crc32": "_op_crc", "round_trip": "_op_same"}
+    given = np.asarray(log_probabilities(rows, path) if scores is None else scores, dtype=np.float64).tobytes()
+    made = {"n_best": "_op_ids", "scores": "_op_scores", "ids_crc32": "_op_crc", "round_trip": "_op_same", "own_ids": "_op_own"}
     same = [c for c in rows.columns if c not in made and c != "text"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in same)
-    out = f"{kinds}{', ' if kinds else ''}_op_ids array<array<int>>, _op_scores array<double>, _op_crc long, _op_same boolean"
-    found = rows.selectExpr(*[f"`{c}`" for c in same], "cast(text as string) as text").mapInPandas(_encoded(path, n), out)
+    out = f"{kinds}{', ' if kinds else ''}_op_ids array<array<int>>, _op_scores array<double>, _op_crc long, _op_same boolean, _op_own array<int>"
+    found = rows.selectExpr(*[f"`{c}`" for c in same], "cast(text as string) as text").mapInPandas(_encoded(path, n, given), out)
     return found.withColumnsRenamed({v: k for k, v in made.items()})
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
-    """Adds text, decoded from the column ``ids``; null where that is null."""
+    """Adds text, decoded from the column ``ids``; null where that is null, whatever the other rows hold."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     same = [c for c in rows.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in same)

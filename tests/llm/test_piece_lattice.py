@@ -1,6 +1,6 @@
 import itertools
-import random
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -13,7 +13,7 @@ MODEL = piece_lattice.Pieces(PATH)
 TEXTS = ["", "a", "hello there", "  two  spaces ", "tab\tand\nline", "漢字 and 🙂🙂", "é ü ñ", "x" * 70, " ", "\x00 \x7f"]
 
 
-def all_ways(text):
+def all_ways(text, MODEL=MODEL):
     """Every segmentation of a text by trying all."""
     text = piece_lattice.normalised(text)
     ends = [[] for _ in range(len(text) + 1)]
@@ -55,19 +55,70 @@ def test_round_trip(text):
         assert MODEL.decode(ids) == text == library.decode(list(ids))
 
 
-def test_not_worse_than_the_library():
+@pytest.mark.parametrize("text", TEXTS + ["x\n\ny. Z,w", "trailing  ", "\u2581a\u2581 b", "a.b).c 1.2,x ...\n\n,é."])
+def test_units_make_up_the_text_and_no_piece_is_cut(text):
+    whole = piece_lattice.normalised(text)
+    found = MODEL.unit.findall(whole)
+    assert "".join(found) == whole and all(found)
+    cuts = {sum(map(len, found[:i])) for i in range(1, len(found))}
+    for start in range(len(whole)):
+        for end in range(start + 1, min(len(whole), start + MODEL.longest) + 1):
+            assert whole[start:end] not in MODEL.ids or not cuts & set(range(start + 1, end))
+
+
+def test_units_are_cut_at_signs():
+    assert MODEL.unit.findall("▁ends.\nThe▁x,y") == ["▁ends", ".\n", "The", "▁x", ",", "y"]
+
+
+def test_by_log_probabilities():
+    draw = np.random.default_rng(4)
+    own = piece_lattice.Pieces(PATH, (np.rint(draw.uniform(-12, -3, len(MODEL.texts)) * 2**20) / 2**20).tolist())
+    for text in ["the cat", "aaaaaaaa", "abab is", "é漢 x", "unbelieva"]:
+        wanted = all_ways(text, own)
+        found = own.n_best(text, 5)
+        assert [s for s, _ in found] == [s for s, _ in wanted[:5]]
+        assert set(found) <= set(wanted) and len(set(found)) == len(found)
+
+
+def test_words_are_remembered_in_two_generations(monkeypatch):
+    monkeypatch.setattr(piece_lattice, "CACHE", 3)
+    made = []
+    kept = piece_lattice.Remembered(lambda words: made.extend(words) or [w.upper() for w in words])
+    for _ in range(4):
+        assert kept.all(["a", "b", "a", "c"]) == ["A", "B", "A", "C"]
+    assert made == ["a", "b", "c"]
+    assert kept.all(["d", "e", "f", "a"]) == ["D", "E", "F", "A"] and kept.all(["g"]) == ["G"] and made == list("abcdefg")
+
+
+def test_probabilities_count_all_rows(spark):
+    texts = ["the cat the", None, "", "the dog 漢", "the cat the"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    seen = np.ones(len(MODEL.texts))
+    for t in texts:
+        for i in library.encode(t or ""):
+            seen[i] += 1
+    assert np.abs(piece_lattice.log_probabilities(df) - np.log(seen / seen.sum())).max() < 1e-6
+    assert np.abs(np.exp(piece_lattice.log_probabilities(df)).sum() - 1) < 1e-3
+
+
+def test_own_encoding_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    draw = random.Random(2)
-    for _ in range(40):
-        text = " ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(1, 9))) for _ in range(12))
-        ids = library.encode(text)
-        assert MODEL.n_best(text, 1)[0][0] >= sum(MODEL.scores[i] for i in ids) - 1e-6
+    rows = op8_piece_lattice(spark, "/root/testdata/sf0.01").select("doc_id", "own_ids", "round_trip", "scores").toPandas().set_index("doc_id")
+    texts = docs.toPandas().set_index("doc_id")["text"]
+    probability = piece_lattice.log_probabilities(docs)
+    assert rows["round_trip"].all() and len(rows) == len(texts)
+    for doc_id, text in texts.items():
+        ids = library.encode(text or "")
+        assert rows["own_ids"][doc_id] == ids
+        assert rows["scores"][doc_id][0] >= probability[ids].sum() - 1e-6
 
 
 def test_tables(spark):
     rows = [(1, t, "x") for t in TEXTS] + [(2, None, None), (1, TEXTS[2], "x")]
     out = piece_lattice.encode(spark.createDataFrame(rows, "conv_id long, text string, scores string"), 3)
-    assert out.columns == ["conv_id", "n_best", "scores", "ids_crc32", "round_trip"]
+    assert out.columns == ["conv_id", "n_best", "scores", "ids_crc32", "round_trip", "own_ids"]
     got = out.collect()
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
     assert all(a >= b for r in got for a, b in itertools.pairwise(r["scores"]))
@@ -79,7 +130,10 @@ def test_tables(spark):
 def test_query_encodes_documents(spark, tmp_path):
     spark.createDataFrame([(1, "hello there"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["doc_id"]: r for r in op8_piece_lattice(spark, str(tmp_path)).collect()}
-    assert [tuple(p) for p in found[1]["n_best"]] == [p for _, p in MODEL.n_best("hello there", 4)] and found[1]["round_trip"]
+    own = piece_lattice.Pieces(PATH, piece_lattice.log_probabilities(spark.read.parquet(str(tmp_path / "documents.parquet"))).tolist())
+    assert [tuple(p) for p in found[1]["n_best"]] == [p for _, p in own.n_best("hello there", 4)] and found[1]["round_trip"]
+    nulls = spark.createDataFrame([([5, 6],), (None,)], "ids array<int>")
+    assert [r["text"] is None for r in piece_lattice.decode(nulls).collect()] == [False, True]
     assert found[2]["scores"] == [0.0]
 
 
