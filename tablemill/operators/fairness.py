@@ -51,17 +51,35 @@ def fairness_gaps(metrics: DataFrame, max_gaps: Mapping[str, float] = MAX_GAPS)
     )
 
 
-def group_pairs(
-    metrics: DataFrame, max_gaps: Mapping[str, float] = MAX_GAPS, max_groups: int = 500
-) -> DataFrame:
+def against_reference(metrics: DataFrame, reference: str | None = None, max_gaps: Mapping[str, float] = MAX_GAPS) -> DataFrame:
+    """Per metric and group the difference to one reference group, and the verdict.
+
+    The reference is the group with the most rows, ties to the smaller name, unless ``reference`` names it. One row
+    per metric is joined to the report, whose length grows with the groups, not with their pairs. The group
+    null is compared but never chosen. A group the report does not have gives no rows, and neither does a metric that the reference has no value for.
+    """
+    long, limits = _long(metrics), F.create_map(*[F.lit(v) for kv in max_gaps.items() for v in kv])
+    if reference is None:
+        # one row: the largest group, with its metrics
+        held = F.struct(*[F.col(m) for m in METRICS])
+        largest = metrics.where("group is not null").agg(F.min(F.struct((-F.col("rows")).alias("n"), "group", held.alias("of"))).alias("first"))
+        base = _long(largest.select("first.group", *[F.col(f"first.of.{m}").alias(m) for m in METRICS]))
+    else:
+        base = long.where(F.col("group") == reference)
+    base = base.select("metric", F.col("group").alias("reference"), F.col("value").alias("reference_value"))
+    gap = F.col("value") - F.col("reference_value")
+    limit = limits[F.col("metric")]
+    verdict = F.when(F.abs(gap) <= limit, "Yes").when(F.abs(gap) > limit, "No")
+    both = long.join(F.broadcast(base), "metric").where(~F.col("group").eqNullSafe(F.col("reference")))
+    return both.select("metric", "group", "reference", "value", "reference_value", gap.alias("difference"), verdict.alias("acceptable"))
+
+
+def group_pairs(metrics: DataFrame, max_gaps: Mapping[str, float] = MAX_GAPS) -> DataFrame:
     """The report's pair table: each two groups once, with their difference per metric.
 
-    It pairs rows of the finished report (one per group), not data rows. More than ``max_groups``
-    groups is an error; :func:`fairness_gaps` has no such limit.
+    It pairs rows of the finished report (one per group), not data rows. With many groups
+    :func:`against_reference` and :func:`fairness_gaps` say the same without pairs.
     """
-    held = metrics.count()
-    if held > max_groups:
-        raise ValueError(f"{held} groups make too long a pair table; use fairness_gaps")
     long = _long(metrics)
     other = long.select("metric", F.col("group").alias("group_b"), F.col("value").alias("value_b"))
     limits = F.create_map(*[F.lit(v) for kv in max_gaps.items() for v in kv])

@@ -394,6 +394,20 @@ def fairness_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: r6(c) for c in ("value_a", "value_b", "difference")})
 
 
+@query(
+    "fairness_reference",
+    f"""WITH {_GROUP_SQL}, r AS (SELECT "group" AS reference FROM g WHERE "group" IS NOT NULL ORDER BY rows DESC, "group" LIMIT 1)
+SELECT a.metric, a."group", r.reference, round(a.value, 6) AS value, round(b.value, 6) AS reference_value,
+  round(a.value - b.value, 6) AS difference,
+  CASE WHEN abs(a.value - b.value) <= a.lim THEN 'Yes' WHEN a.lim IS NOT NULL THEN 'No' END AS acceptable
+FROM r JOIN m b ON b."group" = r.reference JOIN m a ON a.metric = b.metric AND a."group" IS DISTINCT FROM r.reference
+WHERE a.value IS NOT NULL AND b.value IS NOT NULL""",
+)
+def fairness_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fairness.against_reference(_groups(spark, sf_dir))
+    return out.withColumns({c: r6(c) for c in ("value", "reference_value", "difference")})
+
+
 @query(
     "training_data_summary",
     """SELECT count(*) AS rows, strftime(min(l_shipdate), '%Y-%m-%d') AS first_seen,

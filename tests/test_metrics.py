@@ -155,8 +155,24 @@ def test_groups_gaps_and_pairs(spark):
     assert gaps["fnr"]["acceptable"] is None and gaps["fnr"]["highest"] == "b"
     pairs = rows(fairness.group_pairs(table).select("metric", "group_a", "group_b"))
     assert pairs == [("accuracy", "a", "b"), ("fnr", "a", "b")]
-    with pytest.raises(ValueError):
-        fairness.group_pairs(table, max_groups=1)
+    against = fairness.against_reference(table)
+    assert rows(against.select("metric", "group", "reference", "acceptable")) == [("accuracy", "b", "a", "No"), ("fnr", "b", "a", None)]
+    assert {r["metric"]: r["difference"] for r in against.collect()} == pytest.approx({"accuracy": -1 / 6, "fnr": 0.5})
+    named = fairness.against_reference(table, "b")
+    assert rows(named.select("metric", "group", "difference")) == [("accuracy", "a", pytest.approx(1 / 6)), ("fnr", "a", -0.5)]
+    assert fairness.against_reference(table, "c").count() == 0
+
+
+def test_reference_is_the_largest_named_group(spark):
+    data = [(None, 0, 1)] * 5 + [("b", 0, 1), ("b", 0, 0), ("a", 0, 0), ("a", 0, 1), ("c", 0, 0)]
+    table = fairness.group_metrics(spark.createDataFrame(data, "g string, y int, p int"), "g", "y", "p")
+    found = fairness.against_reference(table).where("metric = 'fpr'")
+    assert rows(found.select("group", "reference", "difference")) == sorted([(None, "a", 0.5), ("b", "a", 0.0), ("c", "a", -0.5)], key=repr)
+
+
+def test_pairs_of_many_groups(spark):
+    table = fairness.group_metrics(spark.range(600).selectExpr("cast(id as string) as g", "0 as y", "0 as p"), "g", "y", "p")
+    assert fairness.group_pairs(table).where("metric = 'accuracy'").count() == 600 * 599 // 2
 
 
 def test_thresholds(spark):
