@@ -172,8 +172,8 @@ def domain_of(host: Column) -> Column:
 
 
 def markup_language(source: Column) -> Column:
-    """The language that the html element declares, without its region."""
-    return F.nullif(F.lower(F.regexp_extract(source, r"(?i)<html\b[^>]{0,1000}?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
+    """The language that the html element declares, without its region, wherever in the tag it stands; null where none is."""
+    return F.nullif(F.lower(F.regexp_extract(source, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
 
 
 def _host_priors(known: DataFrame, size: int, strength: float) -> tuple[DataFrame, list[float]]:

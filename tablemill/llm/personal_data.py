@@ -31,7 +31,7 @@ SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Tokens that may be identifiers: those with a digit or an @.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-CONTEXT = 60  # characters before a match in which its two words are looked for
+LAST_WORDS = r"^\s*+(\S++\s++\S++)"  # of a text read backwards
 
 ROUNDS = 3
 SUPPORT = 3
@@ -62,13 +62,13 @@ def _valid(kind: Column, token: Column) -> Column:
 
 
 def _matches(rows: DataFrame) -> DataFrame:
-    """Every match of a form or of TOKEN: row, kind, start, end, token and the text before it."""
+    """Every match of a form or of TOKEN: row, kind, start, end, token and the two words before it, however long."""
     text = F.col("text")
     shape = "array<struct<kind:string,gap:int,before:string,token:string>>"
     found = []
 
     def hit(kind):
-        return lambda gap, token: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("before"), token.alias("token"))
+        return lambda gap, token: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), F.reverse(F.regexp_extract(F.reverse(gap), LAST_WORDS, 1)).alias("before"), token.alias("token"))
 
     for kind, form in {**FORMS, "token": TOKEN}.items():
         pairs = F.zip_with(F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0)), hit(kind)).cast(shape)
@@ -102,9 +102,8 @@ def _clear_of(tokens: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def _pattern(before: Column) -> Column:
-    """The two words before a match, or null where there are not two in its context."""
-    words = F.regexp_extract(F.lower(before), r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
-    return F.nullif(F.regexp_replace(words, r"\s+", " "), F.lit(""))
+    """The two words before a match, or null where there are not two."""
+    return F.nullif(F.regexp_replace(F.lower(before), r"\s+", " "), F.lit(""))
 
 
 def discovered(base: DataFrame, tokens: DataFrame, work: Workspace, rounds: int, support: int, confidence: float) -> DataFrame:
@@ -161,8 +160,10 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confiden
     """Adds n_email, n_ip, n_card, n_phone and base (spans told by form), and spans (all of them).
 
     Spans are written kind:start:end, by start and then kind, joined by commas. A null or empty text has
-    none. Spans of different kinds may overlap; discovered ones touch no base span. Rows that repeat are
-    each looked at; an empty table gives an empty one. Columns of the names added are replaced, and names
+    none. Spans of different kinds may overlap; discovered ones touch no base span. A pattern is the two
+    words before a value, however long they are; a value that no form covers must have an @ inside or six
+    digits to be looked at, since shorter numbers are years, counts and prices. Rows that repeat are each
+    looked at; an empty table gives an empty one. Columns of the names added are replaced, and names
     that begin with ``_op_`` are the operator's own.
     """
     work = Workspace(docs.sparkSession, "personal")

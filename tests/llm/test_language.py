@@ -42,6 +42,9 @@ def test_addresses(spark):
         language.host_of(language.F.lit("https://u@Www.Example.co.uk:80/a?b")).alias("h"), language.markup_language(language.F.lit("<!doctype html><HTML class=x lang='pt-BR'>")).alias("m")
     )
     assert tuple(row.first()) == ("www.example.co.uk", "pt")
+    far = f"<html data-x='{'y' * 5000}' lang=sv><p>"
+    declared = spark.createDataFrame([(far,), ("<html" * 3000,), ("<html><p lang=de>",), (None,)], "h string").select(language.markup_language(language.F.col("h")))
+    assert [r[0] for r in declared.collect()] == ["sv", None, None, None]
 
 
 def test_empty_and_unlabelled(spark):

@@ -46,6 +46,15 @@ def test_base_as_by_hand(spark):
             assert found[i][f"n_{kind}"] == sum(w.startswith(kind) for w in wanted)
 
 
+def test_long_words_are_context_too(spark):
+    words = "c" * 70 + " " + "d" * 90
+    texts = [f"well then {words} +1 (017) 555-77{i:02d} it" for i in range(12)] + [f"now {words} 555-0199-882 it", f"now e{words} 555-0199-883 it"]
+    rows = [(i, t, "a", "b") for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["spans"] for r in personal_data.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    start = len(f"now {words} ")
+    assert found[12] == f"phone:{start}:{start + 12}" and found[13] == ""
+
+
 @pytest.mark.parametrize("extra", ["555-0199-882", "(5550199882)"])
 def test_context_gives_away(spark, extra):
     said = [f"well then, call me on +1 (017) 555-77{i:02d} or leave it" for i in range(12)]
