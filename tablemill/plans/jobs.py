@@ -33,6 +33,7 @@ from tablemill.operators.features import (
 )
 from tablemill.operators.lookup import Lookup, training_set
 from tablemill.session import materialize
+from tablemill.sources.files import MISFITS, settled_schema
 from tablemill.sources.lake import Lake
 from tablemill.sources.registry import PIPELINE_MODEL_TYPES, Registry
 from tablemill.streaming.ingest import bronze, silver
@@ -77,7 +78,7 @@ class Promotion:
 def ingest(
     project: Project,
     source: str,
-    schema: T.StructType,
+    schema: T.StructType | None = None,
     raw: str = "raw_data",
     cleaned: str = "cleaned_data",
     max_files_per_trigger: int | None = None,
@@ -85,17 +86,27 @@ def ingest(
 ) -> None:
     """Drain new CSV files below ``source`` into the raw table, and that into the cleaned table.
 
-    ``cleaning`` goes to :func:`tablemill.streaming.ingest.clean_stream`. A repeated call takes up
-    the files that have arrived since.
+    Without ``schema`` it is inferred on the first call, kept beside the checkpoint and widened by
+    columns that later files add on the right. Values that do not fit are kept in the raw table's
+    ``_misfits`` column; the cleaned table has none. ``cleaning`` goes to
+    :func:`tablemill.streaming.ingest.clean_stream`. A repeated call takes up the files that have
+    arrived since.
     """
     lake = project.lake
+    if schema is None:
+        schema = settled_schema(lake.spark, source, lake.checkpoint_path(raw) + "-schema")
+    kept = T.StructType([*schema.fields, T.StructField(MISFITS, T.MapType(T.StringType(), T.StringType()))])
     tidy = T.StructType([*schema.fields, T.StructField("processed_timestamp", T.TimestampType())])
-    lake.create_if_absent(raw, schema, comment="rows as they came", properties={"quality": "bronze"}, stream=True)
+    lake.create_if_absent(raw, kept, comment="rows as they came", properties={"quality": "bronze"}, stream=True)
     lake.create_if_absent(
         cleaned, tidy, comment="valid rows, one per key", properties={"quality": "silver"}, stream=True
     )
+    lake.widen(raw, kept)
+    lake.widen(cleaned, tidy)
     raw_path = lake.stream_path(raw)
-    bronze(lake.spark, source, raw_path, lake.checkpoint_path(raw), schema, max_files_per_trigger)
+    bronze(
+        lake.spark, source, raw_path, lake.checkpoint_path(raw), schema, max_files_per_trigger, keep_misfits=True
+    )
     silver(
         lake.spark,
         raw_path,
@@ -134,12 +145,18 @@ def train_classification(
     target: str = "target",
     num_trees: int = classifier.NUM_TREES,
     max_depth: int = 30,
+    max_rows: int = classifier.MAX_ROWS,
 ) -> int:
-    """Fit on 80 % of the labelled rows, measure on the rest, register; returns the version."""
+    """Fit on 80 % of the labelled rows, measure on the rest, register; returns the version.
+
+    Of more than ``max_rows`` labelled rows about that many are fitted on, chosen by their key.
+    """
     frame = _frame(project, labels.select(FEATURE_KEY, target), table, target)
     inputs = numeric_features(frame, [*NON_FEATURES, target])
     train, test = split_train_test(frame.dropna(subset=[target]), FEATURE_KEY)
-    fitted = classifier.fit(train, target, inputs, num_trees, max_depth=max_depth)
+    fitted = classifier.fit(
+        train, target, inputs, num_trees, max_depth=max_depth, keys=[FEATURE_KEY], max_rows=max_rows
+    )
     predicted = materialize(
         classifier.predict(test, fitted).select(target, "prediction", "score"), "predicted"
     )
@@ -194,14 +211,14 @@ def train_clustering(
     k: int = kmeans.CLUSTERS,
     restarts: int = kmeans.RESTARTS,
     elbow: Sequence[int] = kmeans.ELBOW,
-    silhouette: str = "exact",
+    silhouette: str = "squared",
 ) -> int:
     """Elbow curve, best KMeans fit and its quality, registered; returns the version.
 
-    ``silhouette="squared"`` takes the linear-time form, for tables whose square is out of reach.
+    The silhouette takes squared distances, in time linear in the rows; ``silhouette="exact"`` takes plain
+    distances and compares all rows with each other.
     """
-    entities = project.lake.read(table).select(FEATURE_KEY)
-    frame = _frame(project, entities, table, None)
+    frame = project.lake.read(table)
     inputs = numeric_features(frame)
     before = kmeans.preprocess(frame, inputs)
     with kmeans.held_vectors(before.transform(frame)) as vectors:
@@ -230,15 +247,14 @@ def _cluster_metrics(
 
 
 def evaluate_clustering(
-    project: Project, table: str, model: str, silhouette: str = "exact", refit: bool = False
+    project: Project, table: str, model: str, silhouette: str = "squared", refit: bool = False
 ) -> Promotion:
     """Challenger against champion by silhouette.
 
     Rows are scaled with each model's saved statistics; ``refit=True`` scales them anew on the
     evaluation rows. Inertia is the value from training.
     """
-    entities = project.lake.read(table).select(FEATURE_KEY)
-    frame = _frame(project, entities, table, None)
+    frame = project.lake.read(table)
     refit_on = numeric_features(frame) if refit else None
 
     def compare(candidates: dict[str, PipelineModel]) -> dict[str, dict[str, float]]:

@@ -17,6 +17,7 @@ from tablemill.operators.features import (
     without,
 )
 from tablemill.operators.lookup import Lookup, asof_lookup, training_set
+from tablemill.plans import jobs
 from tablemill.plans.catalog import (
     DEDUP_SQL,
     RAW_OUT_SQL,
@@ -30,7 +31,7 @@ from tablemill.plans.catalog import (
     table,
 )
 from tablemill.session import scratch_path
-from tablemill.sources.files import stream_parquet
+from tablemill.sources.files import MISFITS, stream_parquet
 from tablemill.streaming.ingest import INGEST_RULES, append_to, bronze, drain, silver, upsert_stream
 from tablemill.streaming.windows import daily_windows
 
@@ -475,6 +476,31 @@ def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_out(spark.read.schema(schema).parquet(path))
 
 
+@query(
+    "ingest_misfits",
+    f"""WITH {RAW_SQL}, late AS (SELECT *, category = 'R' AS late, category = 'R' AND value_2 >= 0.05 AS odd FROM raw)
+SELECT id, value_1, CASE WHEN NOT odd THEN value_2 END AS value_2, category, CASE WHEN late THEN id % 7 END AS lot,
+  CASE WHEN odd THEN 'value_2' END AS misfit, CASE WHEN odd THEN 'high' END AS kept
+FROM late""",
+)
+def ingest_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw table after two runs of the ingestion job, types inferred by the first.
+
+    The files of the second run add a column and hold values that do not parse.
+    """
+    rows, odd = raw_rows(spark, sf_dir), F.col("value_2") >= 0.05
+    late = F.col("category") == "R"
+    source, project = scratch_path(spark, "csv"), jobs.Project.at(new_lake(spark))
+    rows.filter(~late).write.option("header", True).csv(f"{source}/1")
+    jobs.ingest(project, f"{source}/*")
+    wider = rows.filter(late).withColumn("lot", F.col("id") % 7)
+    wider = wider.withColumn("value_2", F.when(odd, "high").otherwise(F.col("value_2").cast("string")))
+    wider.write.option("header", True).csv(f"{source}/2")
+    jobs.ingest(project, f"{source}/*")
+    raw = project.lake.read("raw_data").select("id", "value_1", "value_2", "category", "lot", MISFITS)
+    return raw.select("*", F.explode_outer(MISFITS).alias("misfit", "kept")).drop(MISFITS)
+
+
 @query("stream_ingest_clean", f"WITH {RAW_SQL} SELECT DISTINCT id FROM raw WHERE {VALID_SQL}")
 def stream_ingest_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV to raw to cleaned table; which copy of a key survives depends on arrival, the keys do not."""

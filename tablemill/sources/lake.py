@@ -1,10 +1,11 @@
 """Keyed tables over parquet folders, named ``catalog.schema.table``.
 
-A table is a folder with three parts: ``meta`` (schema, key, settings; written once), ``data``
+A table is a folder with three parts: ``meta`` (schema, key, settings; a line per change), ``data``
 (one sub-folder per write, never changed afterwards) and ``log`` (one row per commit that says, as JSON,
 which sub-folder holds which key bucket). A reader takes the newest row of the log, so a write
-becomes visible in one step, when its log row does, and old versions stay readable. One writer per
-table at a time.
+becomes visible in one step, when its log row does, and old versions stay readable. A version's log row
+is made by one writer only: of several appends at once all are kept, one after the other; of several
+other writes at once one is, and the rest raise :class:`Conflict`.
 """
 
 from __future__ import annotations
@@ -22,11 +23,16 @@ from pyspark.sql import types as T
 from tablemill.operators.changes import change_feed
 from tablemill.operators.quality import require_unique
 from tablemill.session import materialize, one_row
+from tablemill.sources.publish import publish
 
 BUCKET = "__bucket"
 LOG_SCHEMA = "version bigint, operation string, writer string, batch_id bigint, parts string"
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the table since it was read; nothing was written, start again."""
+
+
 @dataclass(frozen=True)
 class Commit:
     """A version and the data folder of each of its buckets."""
@@ -80,6 +86,7 @@ class Lake:
             "comment": comment,
             "stream": stream,
             "properties": dict(properties or {}),
+            "revision": 1,
         }
         one_row(self.spark, value=json.dumps(meta)).write.mode("errorifexists").text(
             self.path(name) + "/meta"
@@ -89,6 +96,21 @@ class Lake:
         )
         return True
 
+    def widen(self, name: str, schema: T.StructType) -> bool:
+        """Give a stream table further columns, null in the rows it holds; False when it has them all."""
+        meta = self.meta(name)
+        if not meta["stream"]:
+            raise ValueError(f"{name} is no stream table")
+        have = set(T.StructType.fromJson(meta["schema"]).fieldNames())
+        if have >= set(schema.fieldNames()):
+            return False
+        if not have <= set(schema.fieldNames()):
+            raise ValueError(f"columns missing: {sorted(have - set(schema.fieldNames()))}")
+        wider = {**meta, "schema": schema.jsonValue(), "revision": meta.get("revision", 1) + 1}
+        one_row(self.spark, value=json.dumps(wider)).write.mode("append").text(self.path(name) + "/meta")
+        self._metas.pop(name, None)
+        return True
+
     def exists(self, name: str) -> bool:
         try:
             self.spark.read.schema("value string").text(self.path(name) + "/meta")
@@ -97,14 +119,15 @@ class Lake:
         return True
 
     def meta(self, name: str) -> dict:
-        # written once and never changed, so it may be kept
+        # only a stream table's columns ever change, by widen
         if name not in self._metas:
             self._metas[name] = self._read_meta(name)
         return self._metas[name]
 
     def _read_meta(self, name: str) -> dict:
-        rows = self.spark.read.schema("value string").text(self.path(name) + "/meta").take(1)
-        return json.loads(rows[0][0])
+        lines = self.spark.read.schema("value string").text(self.path(name) + "/meta")
+        newest = lines.orderBy(F.get_json_object("value", "$.revision").cast("int").desc_nulls_last())
+        return json.loads(newest.take(1)[0][0])
 
     def tables(self) -> DataFrame:
         """``(table, comment)`` of every table created below this schema."""
@@ -115,7 +138,8 @@ class Lake:
     def history(self, name: str) -> DataFrame:
         """The commit log; empty before the first write."""
         try:
-            return self.spark.read.schema(LOG_SCHEMA).parquet(self.path(name) + "/log")
+            log = self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", True)
+            return log.parquet(self.path(name) + "/log")
         except AnalysisException:
             return self.spark.createDataFrame([], LOG_SCHEMA)
 
@@ -182,15 +206,21 @@ class Lake:
         self, name: str, df: DataFrame, writer: str = "batch", batch_id: int | None = None
     ) -> int:
         """Add rows to a table without a key."""
-        meta, commit = self.meta(name), self._commit(name, None)
+        meta = self.meta(name)
         if meta["keys"]:
             raise ValueError("a keyed table takes upserts, not appends")
         if self._seen(name, writer, batch_id):
-            return commit.version
+            return self.current_version(name)
         folder, _ = self._write(name, meta, self._shaped(meta, df))
-        kept = dict(commit.parts) if commit else {}
-        kept[len(kept)] = folder
-        return self._log(name, commit, "append", writer, batch_id, kept)
+        while True:
+            commit = self._commit(name, None)
+            kept = dict(commit.parts) if commit else {}
+            kept[len(kept)] = folder
+            try:
+                return self._log(name, commit, "append", writer, batch_id, kept)
+            except Conflict:
+                if self._seen(name, writer, batch_id):
+                    return self.current_version(name)
 
     def upsert(
         self, name: str, df: DataFrame, writer: str = "batch", batch_id: int | None = None
@@ -306,5 +336,6 @@ class Lake:
             batch_id=F.lit(batch_id).cast("bigint"),
             parts=json.dumps(parts),
         )
-        row.write.mode("append").parquet(self.path(name) + "/log")
+        if not publish(row, f"{self.path(name)}/log/{version}"):
+            raise Conflict(f"{name} has got version {version} from another writer")
         return version

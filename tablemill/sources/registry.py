@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.session import one_row
 from tablemill.sources.lake import Lake
+from tablemill.sources.publish import publish
 
 # The run parameter that tells which pipeline made a version, per kind of model.
 PIPELINE_MODEL_TYPES = {
@@ -34,8 +36,8 @@ class Registry:
     """The four tables beside those of a :class:`Lake`, created on first use.
 
     Each append is a folder of its own, so jobs that run side by side lose nothing of each other's; a
-    table is all finished folders. Version numbers count up from what is there: train one model in one
-    job at a time.
+    table is all finished folders. A version's folder is named by its number and made by one job only,
+    so jobs that train one model side by side get different numbers.
     """
 
     def __init__(self, lake: Lake) -> None:
@@ -64,15 +66,11 @@ class Registry:
         """Record a run; ``stepped`` holds metrics with a step, such as an elbow curve."""
         run_id = run_id or uuid.uuid4().hex
         spark = self.lake.spark
-        self._append(
-            "runs",
-            one_row(
-                spark,
-                run_id=run_id,
-                params=_map({k: str(v) for k, v in params.items()}, "string"),
-                metrics=_map({k: float(v) for k, v in metrics.items()}, "double"),
-                logged_at=F.current_timestamp(),
-            ),
+        run = one_row(
+            spark,
+            run_id=run_id,
+            params=_map({k: str(v) for k, v in params.items()}, "string"),
+            metrics=_map({k: float(v) for k, v in metrics.items()}, "double"),
         )
         points = [
             F.struct(
@@ -83,30 +81,42 @@ class Registry:
             for key, series in (stepped or {}).items()
             for step, value in series
         ]
+        history = None
         if points:
-            history = one_row(spark, run_id=run_id, points=F.array(*points))
-            self._append("run_metric_history", history.select("run_id", F.inline("points")))
+            history = one_row(spark, run_id=run_id, points=F.array(*points)).select("run_id", F.inline("points"))
+        self.log_runs(run, history)
         return run_id
 
+    def log_runs(self, runs: DataFrame, history: DataFrame | None = None) -> None:
+        """Record many runs at once: ``(run_id, params, metrics)``, and ``(run_id, key, step, value)``."""
+        stamped = runs.withColumn("logged_at", F.current_timestamp())
+        self._append("runs", stamped.select("run_id", "params", "metrics", "logged_at"))
+        if history is not None:
+            self._append("run_metric_history", history.select("run_id", "key", "step", "value"))
+
     # -- versions and aliases -----------------------------------------------------------------
 
     def register_version(
         self, model: str, run_id: str, path: str, inputs: Sequence[tuple[str, str]] = ()
     ) -> int:
-        """Add the next version of ``model``; versions count up from 1."""
-        versions = self.table("model_versions").filter(F.col("model") == model)
-        version = (versions.agg(F.max("version")).first()[0] or 0) + 1
-        row = one_row(
-            self.lake.spark,
-            model=model,
-            version=F.lit(version).cast("bigint"),
-            run_id=run_id,
-            path=path,
-            signature=json.dumps(list(inputs)),
-            registered_at=F.current_timestamp(),
-        )
-        self._append("model_versions", row)
-        return version
+        """Add the next version of ``model``; versions count up from 1, each given once."""
+        mine = self.table("model_versions").filter(F.col("model") == model)
+        home = f"{self.home}/model_versions/model-{quote(model, safe='')}"
+        while True:
+            version = (mine.agg(F.max("version")).first()[0] or 0) + 1
+            row = one_row(
+                self.lake.spark,
+                model=model,
+                version=F.lit(version).cast("bigint"),
+                run_id=run_id,
+                path=path,
+                signature=json.dumps(list(inputs)),
+                registered_at=F.current_timestamp(),
+            )
+            # another job may have taken the number since
+            if publish(row, f"{home}/{version}"):
+                return version
+            mine = self.table("model_versions").filter(F.col("model") == model)
 
     def set_alias(self, model: str, alias: str, version: int) -> None:
         row = one_row(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tablemill.operators.changes import change_feed
 from tablemill.sources.files import list_tables
+from tablemill.sources.lake import Conflict
 from tablemill.sources.registry import Registry
 
 DDL = "id int, v double"
@@ -132,3 +133,33 @@ def test_runs_of_parallel_jobs_are_all_kept(lake):
     with ThreadPoolExecutor(3) as pool:
         logged = list(pool.map(lambda i: registry.log_run({"i": i}, {"v": i}), range(30)))
     assert sorted(r["run_id"] for r in registry.table("runs").collect()) == sorted(logged)
+
+
+def test_parallel_registrations_get_different_numbers(lake):
+    registry = Registry(lake)
+    with ThreadPoolExecutor(3) as pool:
+        made = list(pool.map(lambda i: registry.register_version("a b/%", f"r{i}", f"p{i}"), range(30)))
+    assert sorted(made) == list(range(1, 31))
+    stored = {r["version"]: r["path"] for r in registry.table("model_versions").collect()}
+    assert stored == {version: f"p{i}" for i, version in enumerate(made)}
+
+
+def test_parallel_appends_are_all_kept(lake, spark):
+    lake.create_if_absent("log", spark.range(1).schema)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: lake.append("log", spark.range(i, i + 1), f"w{i}", 0), range(12)))
+    assert sorted(r["id"] for r in lake.read("log").collect()) == list(range(12))
+    assert lake.current_version("log") == 12
+    lake.append("log", spark.range(1), "w3", 0)
+    assert lake.current_version("log") == 12
+
+
+def test_second_writer_of_a_keyed_table_is_refused(keyed, spark, monkeypatch):
+    stale, before = keyed._commit("t", None), rows(keyed.read("t"))
+    update = keyed.read("t").limit(1)
+    keyed.upsert("t", update)
+    monkeypatch.setattr(type(keyed), "_commit", lambda self, name, version: stale)
+    with pytest.raises(Conflict):
+        keyed.upsert("t", update)
+    monkeypatch.undo()
+    assert rows(keyed.read("t")) == before

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tablemill.operators.features import engineer_features
-from tablemill.sources.files import infer_csv_schema, read_csv, stream_parquet
-from tablemill.streaming.ingest import append_to, bronze, clean_stream, drain, silver, upsert_stream
+from tablemill.plans import jobs
+from tablemill.sources.files import LINE, MISFITS, infer_csv_schema, read_csv, read_csv_kept, settled_schema, stream_parquet
+from tablemill.sources.lake import Lake
+from tablemill.streaming.ingest import append_to, bronze, clean_stream, dedup_stream, drain, silver, upsert_stream
 from tablemill.streaming.windows import daily_windows
 
 HEADER = "id,value_1,value_2,value_3,category,event_timestamp\n"
@@ -128,3 +130,60 @@ def test_closed_days_only(spark, tmp_path):
     drain(append_to(windows, str(tmp_path / "out"), str(tmp_path / "c")))
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("m", "rows")) == [("m", 2)]
     assert daily_windows(df, "t", "p", "m").count() == 2
+
+
+def test_values_that_do_not_fit_are_kept(spark, tmp_path):
+    lines = ["1,2.5,2024-01-01 00:00:00,x", "1.5,two,yesterday,", ",,,", "4", "5,1.0,2024-01-02 00:00:00,y,more,still", "6,1.0,,z,"]
+    (tmp_path / "a.csv").write_text("id,v,at,s\n" + "\n".join(lines) + "\n")
+    out = read_csv_kept(spark, str(tmp_path), spark.createDataFrame([], "id int, v double, at timestamp, s string").schema)
+    found = {r["id"]: (r["v"], r["s"], r[MISFITS]) for r in out.filter("id IS NOT NULL").collect()}
+    assert found == {
+        1: (2.5, "x", None),
+        4: (None, None, None),
+        5: (1.0, "y", {LINE: lines[4]}),
+        6: (1.0, "z", None),
+    }
+    odd = [r[MISFITS] for r in out.filter("id IS NULL").collect()]
+    assert {"id": "1.5", "v": "two", "at": "yesterday"} in odd and None in odd and len(odd) == 2
+
+
+def test_schema_is_inferred_once_and_widened(spark, tmp_path):
+    made = jobs.Project.at(Lake(spark, str(tmp_path / "lake")))
+    files = tmp_path / "in"
+    files.mkdir()
+
+    def run(name, *lines):
+        (files / name).write_text("\n".join(lines) + "\n")
+        jobs.ingest(made, str(files))
+        return {r["id"]: r for r in made.lake.read("raw_data").collect()}
+
+    stamp = "2024-01-01 00:00:00"
+    assert run("1.csv", "id,event_timestamp,n", f"1,{stamp},7")[1]["n"] == 7
+    # a type that would be inferred otherwise today, and no new column
+    found = run("2.csv", "id,event_timestamp,n", f"2,{stamp},many")
+    assert found[2]["n"] is None and found[2][MISFITS] == {"n": "many"} and found[1][MISFITS] is None
+    found = run("3.csv", '"id","event_timestamp","n","share"', f"3,{stamp},1,0.5")
+    assert found[3]["share"] == 0.5 and found[1]["share"] is None and found[3][MISFITS] is None
+    # a late file of the old form, and nothing new
+    found = run("4.csv", "id,event_timestamp,n", f"4,{stamp},4", f"3,{stamp},9")
+    assert found[4]["n"] == 4 and found[4][MISFITS] is None
+    jobs.ingest(made, str(files))
+    assert made.lake.read("raw_data").count() == 5
+    cleaned = made.lake.read("cleaned_data")
+    assert rows(cleaned.select("id", "share")) == [(1, None), (2, None), (3, 0.5), (4, None)]
+    home = made.lake.checkpoint_path("raw_data") + "-schema"
+    assert settled_schema(spark, str(files), home).simpleString() == "struct<id:int,event_timestamp:timestamp,n:int,share:double>"
+
+
+@pytest.mark.parametrize("watermark", [None, ("t", "1 hour")])
+def test_exact_copies_are_spread_by_their_place(spark, tmp_path, watermark):
+    df = spark.range(3000).select(F.lit(1).alias("id"), F.lit(dt.datetime(2024, 1, 1)).alias("t"))
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = stream_parquet(spark, str(tmp_path / "in"), df.schema, place="p")
+    salt = F.pmod(F.xxhash64("p"), F.lit(8))
+    batch = spark.read.parquet(str(tmp_path / "in")).select(F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("p"))
+    assert batch.select(salt).distinct().count() == 8
+    once = dedup_stream(stream, ["id"], watermark, place="p")
+    assert once.columns == df.columns
+    drain(append_to(once, str(tmp_path / "out"), str(tmp_path / "c")))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
