@@ -25,6 +25,10 @@ ELBOW = range(2, 11)
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 
+#: Passes every restart gets, and how many restarts of each k then run to their end.
+FIRST_PASSES = 5
+FINALISTS = 3
+
 
 def scaling_stages(scaler: Scaler) -> list:
     """Zero-fill and standardise as saved pipeline stages, so scoring repeats the training scale."""
@@ -62,30 +66,49 @@ def stopping_distance(vectors: DataFrame) -> float:
     return float(np.sqrt(TOLERANCE * np.mean(spread.toArray()))) if spread is not None else 0.0
 
 
-def best_of(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, threads: int = 8) -> KMeansModel:
+def best_of(
+    vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, threads: int = 8, finalists: int = FINALISTS
+) -> KMeansModel:
     """The fit with the lowest training cost over consecutive seeds; ties go to the first."""
-    return best_per_k(vectors, [k], restarts, seed, threads)[k]
+    return best_per_k(vectors, [k], restarts, seed, threads, finalists)[k]
 
 
 def best_per_k(
-    vectors: DataFrame, ks: Iterable[int], restarts: int = RESTARTS, seed: int = SEED, threads: int = 8
+    vectors: DataFrame,
+    ks: Iterable[int],
+    restarts: int = RESTARTS,
+    seed: int = SEED,
+    threads: int = 8,
+    finalists: int = FINALISTS,
 ) -> dict[int, KMeansModel]:
-    """Best fit for every k. Fits are Spark jobs; a few run side by side to fill the cluster."""
-    grid = [(k, seed + i) for k in ks for i in range(restarts)]
+    """Best fit for every k. Fits are Spark jobs; a few run side by side to fill the cluster.
+
+    Every restart makes ``FIRST_PASSES`` passes; the ``finalists`` with the lowest cost of each k then run
+    until they stop moving. ``finalists=restarts`` runs all of them to the end.
+    """
+    ks, seeds = list(ks), [seed + i for i in range(restarts)]
     tolerance = stopping_distance(vectors)
 
-    def one(task: tuple[int, int]) -> tuple[int, KMeansModel, float]:
-        k, s = task
-        settings = KMeans(k=k, seed=s, maxIter=MAX_ITERATIONS, tol=tolerance, featuresCol="features")
+    def one(task: tuple[int, int, int]) -> tuple[float, int, KMeansModel]:
+        k, s, passes = task
+        settings = KMeans(k=k, seed=s, maxIter=passes, tol=tolerance, featuresCol="features")
         model = settings.fit(vectors)
-        return k, model, model.summary.trainingCost
+        return model.summary.trainingCost, s, model
 
-    best: dict[int, tuple[float, KMeansModel]] = {}
+    run = inheritable_thread_target(vectors.sparkSession)(one)
     with ThreadPoolExecutor(threads) as pool:
-        for k, model, cost in pool.map(inheritable_thread_target(vectors.sparkSession)(one), grid):
-            if k not in best or cost < best[k][0]:
-                best[k] = (cost, model)
-    return {k: model for k, (_, model) in best.items()}
+        chosen = {k: seeds for k in ks}
+        if finalists < restarts:
+            grid = [(k, s, FIRST_PASSES) for k in ks for s in seeds]
+            costs = {k: [] for k in ks}
+            for (k, _, _), (cost, s, _) in zip(grid, pool.map(run, grid)):
+                costs[k].append((cost, s))
+            chosen = {k: [s for _, s in sorted(found)[:finalists]] for k, found in costs.items()}
+        grid = [(k, s, MAX_ITERATIONS) for k in ks for s in sorted(chosen[k])]
+        best: dict[int, tuple[float, int, KMeansModel]] = {}
+        for (k, _, _), found in zip(grid, pool.map(run, grid)):
+            best[k] = min(best.get(k, found), found, key=lambda f: f[:2])
+    return {k: model for k, (_, _, model) in best.items()}
 
 
 def elbow_curve(

@@ -6,14 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.functions.vector import MAX_MODEL_VALUES, as_vector, check_model_size, matrix, with_nearest
 from tablemill.operators.joins import null_safe_join
-from tablemill.session import materialize
+from tablemill.session import materialize, one_row
 
 
 def assign_clusters(df: DataFrame, vector: str, centroids: Sequence[Sequence[float]]) -> DataFrame:
@@ -86,43 +89,19 @@ def davies_bouldin(df: DataFrame, vector: str, cluster: str) -> DataFrame:
 
 
 def silhouette_squared(df: DataFrame, vector: str, cluster: str) -> DataFrame:
-    """Silhouette on squared Euclidean distance, one pass over the rows.
+    """Silhouette on squared Euclidean distance, in time linear in the rows.
 
-    The mean squared distance to a cluster follows from its size, mean and mean squared norm, so
-    the cost is rows x clusters. This is another number than :func:`silhouette_exact`.
+    This is another number than :func:`silhouette_exact`.
     """
-    vectors = df.select(F.col(cluster).alias("cluster"), as_vector(vector).alias("__v"))
-    summary = Summarizer.metrics("mean", "count", "normL2").summary(F.col("__v")).alias("__s")
-    rows = (
-        vectors.groupBy("cluster")
-        .agg(summary)
-        .select(
-            "cluster",
-            F.col("__s.count").alias("n"),
-            vector_to_array("__s.mean").alias("mean"),
-            vector_to_array("__s.normL2").alias("norm"),
-        )
-    )
-    held = _collect_model(rows)
-    if len(held) < 2:
+    rows = df.select(as_vector(vector).alias("features"), F.col(cluster).alias("cluster"))
+    if rows.select("cluster").distinct().limit(2).count() < 2:
         raise ValueError("silhouette needs at least two clusters")
-    number = {r["cluster"]: i for i, r in enumerate(held)}
-    sizes = np.asarray([r["n"] for r in held], dtype=np.float64)
-    means = check_model_size([r["mean"] for r in held])
-    square = np.asarray([(np.asarray(r["norm"]) ** 2).sum() for r in held]) / sizes
-    shared = df.sparkSession.sparkContext.broadcast((number, sizes, means, square))
-
-    @F.pandas_udf("double")
-    def score(column: pd.Series, owner: pd.Series) -> pd.Series:
-        if column.empty:
-            return pd.Series([], dtype="float64")
-        ids, n, centre, mean_square = shared.value
-        x = matrix(column)
-        mean_gap = (x * x).sum(axis=1)[:, None] + mean_square[None, :] - 2 * x @ centre.T
-        return pd.Series(_silhouette(mean_gap * n, np.asarray([ids[c] for c in owner]), n))
-
-    scored = df.select(score(F.col(vector).cast("array<double>"), F.col(cluster)).alias("s"))
-    return scored.agg(F.avg("s").alias("silhouette_squared"))
+    number = F.col("cluster").cast("double")
+    if not isinstance(rows.schema["cluster"].dataType, T.NumericType):
+        rows = StringIndexer(inputCol="cluster", outputCol="number").fit(rows).transform(rows)
+        number = F.col("number")
+    found = ClusteringEvaluator().evaluate(rows.select("features", number.alias("prediction")))
+    return one_row(df.sparkSession, silhouette_squared=found)
 
 
 def silhouette_exact(

@@ -134,8 +134,9 @@ def describe_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
     """Count and share per target value, ordered by the value."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    share = F.try_divide(F.col("count").cast("double"), F.lit(float(total)))
+    # the total is one row, made from the same counts: the plan reuses their shuffle
+    total = counts.agg(F.sum("count").cast("double").alias("total"))
+    share = F.try_divide(F.col("count").cast("double"), total.scalar())
     return counts.withColumn("share", share).orderBy(target)
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.functions.vector import as_vector
+from tablemill.functions.vector import as_vector, with_nearest
 from tablemill.models import classifier, intervals, kmeans, series, trend
 from tablemill.operators import clusters, metrics
 from tablemill.operators.features import split_train_test
@@ -220,6 +220,38 @@ def forest_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "label", "prediction", "score")
 
 
+@query(
+    "forest_facts",
+    f"""WITH {LABELLED_SQL} SELECT doc_id, 1 AS known_class, 1 AS share, 1 AS agree
+FROM labelled WHERE (doc_id * 2654435761) % 4294967296 < 858993459""",
+)
+def forest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out rows: a known class, a score from 0 to 1, and the class the score speaks for."""
+    rows = labelled_documents(spark, sf_dir).select(
+        "doc_id", "n_chars", F.col("score").alias("remainder"), "toxic", "label"
+    )
+    train, test = split_train_test(rows, "doc_id")
+    model = classifier.fit(train, "label", ["n_chars", "remainder", "toxic"], 20, keys=["doc_id"])
+    out, agree = classifier.predict(test, model), (F.col("score") - 0.5) * (F.col("prediction") - 0.5) >= 0
+    facts = {"known_class": F.col("prediction").isin(0.0, 1.0), "share": F.col("score").between(0, 1), "agree": agree}
+    return out.select("doc_id", *[fact.cast("int").alias(name) for name, fact in facts.items()])
+
+
+@query("kmeans_facts", "SELECT vec_id, 1 AS known_cluster, 1 AS nearest FROM embeddings")
+def kmeans_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row in one of the clusters, and in the one whose centre is nearest."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", as_vector("embedding").alias("features"), "embedding")
+    with kmeans.held_vectors(rows) as vectors:
+        model = kmeans.best_of(vectors, kmeans.CLUSTERS, restarts=3)
+    centres = [list(map(float, c)) for c in model.clusterCenters()]
+    out = with_nearest(model.transform(rows).select("vec_id", "embedding", "prediction"), "embedding", centres)
+    return out.select(
+        "vec_id",
+        F.col("prediction").between(0, kmeans.CLUSTERS - 1).cast("int").alias("known_cluster"),
+        (F.col("prediction") == F.col("cluster")).cast("int").alias("nearest"),
+    )
+
+
 # -- series ---------------------------------------------------------------------------------------
 
 HORIZON = 30

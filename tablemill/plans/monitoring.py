@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.operators import champion, fairness, metrics, monitor, scoring, sketches
+from tablemill.models import kmeans
+from tablemill.operators import champion, fairness, metrics, monitor, quality, scoring, sketches
 from tablemill.plans import jobs
 from tablemill.plans.catalog import (
     LABELLED_SQL,
+    RAW_SQL,
     day_text,
     labelled_documents,
     new_lake,
     query,
     r6,
+    raw_rows,
     table,
 )
 from tablemill.plans.evaluation import f1_sql
+from tablemill.session import materialize
 from tablemill.sources import registry
+from tablemill.streaming.ingest import INGEST_RULES
 
 # -- scoring --------------------------------------------------------------------------------------
 
@@ -421,14 +430,19 @@ def training_data_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "performance_vs_threshold",
     f"""WITH {LABELLED_SQL}, {f1_sql('prediction')},
+s AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM labelled GROUP BY score),
+c AS (SELECT p, n, sum(n) OVER (ORDER BY score) - n AS below FROM s),
 t AS (SELECT 'accuracy' AS metric, accuracy AS value, 0.6::DOUBLE AS threshold FROM scores
-  UNION ALL SELECT 'f1_score', f1_score, 0.6::DOUBLE FROM scores)
+  UNION ALL SELECT 'f1_score', f1_score, 0.6::DOUBLE FROM scores
+  UNION ALL SELECT 'roc_auc', sum(p * (below + n / 2.0::DOUBLE)) / (CAST(sum(p) AS DOUBLE) * sum(n)), 0.5::DOUBLE FROM c)
 SELECT metric, round(value, 6) AS value, threshold, CAST(value >= threshold AS INTEGER) AS met FROM t""",
 )
 def performance_vs_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = metrics.confusion_matrix(labelled_documents(spark, sf_dir), "label", "prediction")
-    scores = metrics.classification_scores(matrix)
-    out = fairness.performance_vs_threshold(scores, {"accuracy": 0.6, "f1_score": 0.6})
+    rows = labelled_documents(spark, sf_dir)
+    scores = metrics.classification_scores(metrics.confusion_matrix(rows, "label", "prediction"))
+    # one row beside one row
+    scores = scores.withColumn("roc_auc", metrics.roc_auc(rows, "label", "score").select("roc_auc").scalar())
+    out = fairness.performance_vs_threshold(scores, {"accuracy": 0.6, "f1_score": 0.6, "roc_auc": 0.5})
     return out.withColumns({"value": r6("value"), "met": F.col("met").cast("int")})
 
 
@@ -536,8 +550,8 @@ def promotion_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders""",
 )
 def run_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs and a stepped metric appended in two writes each, read back as columns."""
-    lake = new_lake(spark)
+    """Runs and a stepped metric recorded in two parts, read back as columns."""
+    records = registry.Registry(new_lake(spark))
     runs, _ = _runs(spark, sf_dir)
     steps = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("run_id"),
@@ -545,17 +559,147 @@ def run_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.year("o_orderdate").cast("bigint").alias("step"),
         (F.col("o_totalprice") / 2).alias("value"),
     )
-    lake.create_if_absent("runs", runs.schema)
-    lake.create_if_absent("run_metric_history", steps.schema)
     for early in (True, False):
-        mine = (F.col("step") < 1998) == early
-        lake.append("run_metric_history", steps.filter(mine))
-        lake.append("runs", runs.filter((F.col("metrics")["total"] < 250000) == early))
-    flat = registry.flatten_runs(lake.read("runs"), ["model_type"], ["total"])
-    history = lake.read("run_metric_history").select("run_id", "step", F.col("value").alias("half"))
+        records.log_runs(
+            runs.filter((F.col("metrics")["total"] < 250000) == early), steps.filter((F.col("step") < 1998) == early)
+        )
+    flat = registry.flatten_runs(records.table("runs"), ["model_type"], ["total"])
+    history = records.table("run_metric_history").select("run_id", "step", F.col("value").alias("half"))
     return flat.join(history, "run_id", "left")
 
 
+@query(
+    "registry_parallel",
+    """WITH y AS (SELECT o_orderstatus AS model, year(o_orderdate) AS step, sum(o_totalprice) AS total FROM orders GROUP BY ALL),
+t AS (SELECT model, count(*) AS steps, round(sum(total), 2) AS total, max(step) AS last FROM y GROUP BY model)
+SELECT model, CAST(3 AS BIGINT) AS versions, CAST(3 AS BIGINT) AS newest, CAST(3 AS BIGINT) AS runs, 3 * steps AS points,
+  total, CAST(2 AS BIGINT) AS champion, model || '-model' AS path, CAST(3 AS BIGINT) AS challenger FROM t""",
+)
+def registry_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three registrations at once of a model per order status: runs, stepped metrics, versions, alias, look-up."""
+    records = registry.Registry(new_lake(spark))
+    yearly = (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderstatus").alias("model"), F.year("o_orderdate").alias("step"))
+        .agg(F.sum("o_totalprice").alias("total"))
+    )
+    curves: dict[str, list] = {}
+    for row in yearly.orderBy("step").collect():  # statuses x years
+        curves.setdefault(row["model"], []).append((row["step"], row["total"]))
+
+    def train(model: str) -> int:
+        total = sum(value for _, value in curves[model])
+        run = records.log_run({"model_type": "KMeans"}, {"total": total}, {"yearly": curves[model]})
+        return records.register_version(model, run, f"{model}-model")
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(inheritable_thread_target(spark)(train), [m for m in curves for _ in range(3)]))
+    found = []
+    for model in curves:
+        records.set_alias(model, "champion", 1)
+        records.set_alias(model, "champion", 2)
+        aliased = records.alias_version(model)
+        found.append((model, aliased, records.version(model, aliased).path, records.challenger(model, "KMeans")))
+    loaded = spark.createDataFrame(found, "model string, champion bigint, path string, challenger bigint")
+    versions = records.table("model_versions").select("model", "version", "run_id")
+    points = records.table("run_metric_history").groupBy("run_id").agg(F.count("step").alias("points"))
+    runs = registry.flatten_runs(records.table("runs"), [], ["total"])
+    counted = versions.join(runs, "run_id").join(points, "run_id").groupBy("model").agg(
+        F.count_distinct("version").alias("versions"),
+        F.max("version").alias("newest"),
+        F.count_distinct("run_id").alias("runs"),
+        F.sum("points").alias("points"),
+        r6(F.max("total"), 2).alias("total"),
+    )
+    return counted.join(loaded, "model")
+
+
+# -- jobs from end to end -------------------------------------------------------------------------
+
+_VALID_IDS_SQL = f"""{RAW_SQL}, valid AS (SELECT DISTINCT id FROM raw WHERE id IS NOT NULL AND event_timestamp IS NOT NULL)"""
+
+
+def _feature_project(spark: SparkSession, sf_dir: str) -> tuple[jobs.Project, DataFrame]:
+    """A project whose ``features`` come from the valid raw rows, and those rows."""
+    cleaned = quality.clean(raw_rows(spark, sf_dir), ["id"], INGEST_RULES, sequence="validate_first")
+    cleaned = materialize(cleaned, "cleaned")
+    project = jobs.Project.at(new_lake(spark))
+    jobs.build_features(project, cleaned, "features", buckets=2)
+    return project, cleaned
+
+
+@query(
+    "job_scored",
+    f"""WITH {_VALID_IDS_SQL} SELECT id, 1 AS known_class, 1 AS stamped, 'champion' AS model_version,
+  CAST(1 AS BIGINT) AS resolved_version, 'feature_1:double,feature_2:double,feature_3:int' AS inputs, 1 AS promoted FROM valid""",
+)
+def job_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, training, promotion and scoring in turn: one stamped prediction per input row."""
+    project, cleaned = _feature_project(spark, sf_dir)
+    labels = cleaned.select("id", (F.col("value_1") > 30000).cast("int").alias("target"))
+    version = jobs.train_classification(project, labels, "features", "large", num_trees=10, max_depth=8)
+    promotion = jobs.evaluate_classification(project, labels, "features", "large")
+    jobs.batch_score(project, "features", "large")
+    scored = project.lake.read("inference_results")
+    quality.check_scored(project.lake.read("features"), scored)
+    inputs = json.loads(project.registry.version("large", version).signature)
+    return scored.select(
+        "id",
+        F.col("prediction").isin(0.0, 1.0).cast("int").alias("known_class"),
+        F.col("inference_timestamp").isNotNull().cast("int").alias("stamped"),
+        "model_version",
+        "resolved_version",
+        F.lit(",".join(f"{name}:{kind}" for name, kind in inputs)).alias("inputs"),
+        F.lit(int(promotion.promoted)).alias("promoted"),
+    )
+
+
+@query(
+    "job_clusters",
+    f"""WITH {_VALID_IDS_SQL} SELECT k, 1 AS falls, n.rows, 3 AS n_clusters, 1 AS silhouette_in_range
+FROM (VALUES (2), (3), (4)) AS t(k), (SELECT count(*) AS rows FROM valid) n""",
+)
+def job_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustering job: inertia that falls with the clusters, as many clusters as asked for, every row in one."""
+    project, _ = _feature_project(spark, sf_dir)
+    version = jobs.train_clustering(project, "features", "groups", k=3, restarts=2, elbow=[2, 3, 4])
+    stored = project.registry.version("groups", version)
+    assigned = kmeans.predict(project.lake.read("features"), PipelineModel.load(stored.path))
+    known = assigned.agg(F.count_if(F.col("cluster").between(0, 2)).alias("rows"))
+    run = project.registry.table("runs").filter(F.col("run_id") == stored.run_id)
+    metric, points = F.col("metrics"), project.registry.table("run_metric_history").filter(F.col("run_id") == stored.run_id)
+    facts = run.select(
+        metric["n_clusters"].cast("int").alias("n_clusters"),
+        metric["silhouette_score"].between(-1, 1).cast("int").alias("silhouette_in_range"),
+    )
+    # a handful of steps
+    before = F.lag("value").over(Window.orderBy("step"))
+    falls = F.coalesce(F.col("value") <= before, F.lit(True)).cast("int")
+    return points.select(
+        F.col("step").cast("int").alias("k"),
+        falls.alias("falls"),
+        known.scalar().alias("rows"),
+        facts.select("n_clusters").scalar().alias("n_clusters"),
+        facts.select("silhouette_in_range").scalar().alias("silhouette_in_range"),
+    )
+
+
+_REPORTED = {"l_orderkey": "bigint", "l_linenumber": "int", "l_extendedprice": "double", "l_returnflag": "string", "l_shipdate": "timestamp_ntz"}
+
+
+@query(
+    "schema_report",
+    "\nUNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", '{kind}' AS type, count(*) - count({c}) AS nulls FROM lineitem"
+        for i, (c, kind) in enumerate(_REPORTED.items())
+    ),
+)
+def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, type and nulls of each column."""
+    rows = table(spark, sf_dir, "lineitem").select(*_REPORTED)
+    return quality.schema_rows(rows).drop("nullable").join(quality.null_counts(rows), "column")
+
+
 # -- daily sketches and incremental runs ----------------------------------------------------------
 
 _SKETCHED = ["l_quantity", "l_extendedprice"]

@@ -6,8 +6,9 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import DATA, rows
 from tablemill.functions.vector import as_vector
+from tablemill.models import classifier, kmeans
 from tablemill.operators import champion, clusters, fairness, metrics
 
 
@@ -179,3 +180,32 @@ def test_thresholds(spark):
     scores = spark.createDataFrame([(0.7, float("nan"))], "accuracy double, roc_auc double")
     out = fairness.performance_vs_threshold(scores, {"accuracy": 0.7, "roc_auc": 0.5})
     assert [r["met"] for r in out.orderBy("metric").collect()] == [True, False]
+
+
+def test_squared_silhouette_of_named_clusters(points):
+    _, _, df = points
+    named = df.withColumn("c", F.concat(F.lit("group "), "c"))
+    plain = clusters.silhouette_squared(df, "v", "c").first()[0]
+    assert clusters.silhouette_squared(named, "v", "c").first()[0] == pytest.approx(plain, abs=1e-12)
+
+
+def test_restarts_dropped_early_cost_little(spark):
+    frame = spark.read.parquet(f"{DATA}/embeddings.parquet").select(as_vector("embedding").alias("features"))
+    with kmeans.held_vectors(frame) as vectors:
+        early = kmeans.best_per_k(vectors, [3, 6], restarts=5)
+        whole = kmeans.best_per_k(vectors, [3, 6], restarts=5, finalists=5)
+    for k in (3, 6):
+        assert early[k].summary.trainingCost <= 1.01 * whole[k].summary.trainingCost
+
+
+def test_forest_is_the_same_however_rows_lie(spark):
+    df = spark.range(3000).select("id", F.pmod(F.hash("id"), F.lit(100)).alias("x"), (F.col("id") % 7).alias("y"))
+    df = df.withColumn("label", (F.col("x") + F.col("y") > 50).cast("int"))
+
+    def trees(frame, **options):
+        return classifier.fit(frame, "label", ["x", "y"], 5, keys=["id"], **options).stages[-1].toDebugString.split("\n", 1)[1]
+
+    assert trees(df.repartition(3)) == trees(df.orderBy(F.desc("x")).coalesce(1))
+    assert trees(df.repartition(5), max_rows=500) == trees(df, max_rows=500)
+    kept = classifier.fit_rows(df, "label", ["id"], 500).count()
+    assert 400 < kept < 600 and classifier.fit_rows(df, "label", ["id"]).count() == 3000
