@@ -26,8 +26,9 @@ def daily_index(
 ) -> DataFrame:
     """Give the rows, in ``order``, consecutive days of which the last is ``end``.
 
-    ``order`` must be unique per series. Works without a key and on a series that holds most rows. A series
-    that would begin before the year 1 is an error.
+    ``order`` must be unique per series. Works without a key and on a series that holds most rows. A long
+    series begins before the year 1: Spark holds such days (years 0, -1, ...), Python's ``date`` does not, so
+    they cannot be collected as dates. A series beyond Spark's days is an error.
     """
     numbered = row_numbers(df, order, keys, "__rn")
     if keys:
@@ -37,7 +38,7 @@ def daily_index(
         size = numbered.agg(F.max("__rn")).first()[0] or 0
         numbered = numbered.withColumn("__n", F.lit(size))
     back = F.col("__n") - F.col("__rn")
-    room = end.toordinal() - dt.date.min.toordinal()
+    room = (1 << 31) - 1
     back = F.when(back <= room, back.cast("int")).otherwise(F.raise_error(F.lit(f"a series has more than {room + 1} days")))
     return numbered.withColumn(name, F.date_sub(F.lit(end), back)).select(*df.columns, name)
 

@@ -42,7 +42,11 @@ def r6(column: Column | str, digits: int = 6) -> Column:
 
 
 def day_text(column: Column | str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd")
+    """As ``strftime('%Y-%m-%d')`` in SQL: years from 0 to 9999 have four digits, others their sign and as many as they need."""
+    year = F.year(column)
+    rest = [F.lpad(part(column).cast("string"), 2, "0") for part in (F.month, F.dayofmonth)]
+    other = F.when(year == 0, "0000").otherwise(year.cast("string"))
+    return F.when(year.between(1, 9999), F.date_format(column, "yyyy-MM-dd")).when(year.isNotNull(), F.concat_ws("-", other, *rest))
 
 
 # -- inputs ---------------------------------------------------------------------------------------

@@ -1,10 +1,12 @@
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from tablemill.models import series
+from tablemill.plans.catalog import day_text
 
 DAY = dt.date(2023, 1, 1)
 
@@ -20,6 +22,18 @@ def test_daily_index_ends_on_the_given_day(spark):
     assert rows(out) == [(1, dt.date(2024, 2, 28)), (2, dt.date(2024, 2, 29)), (3, dt.date(2024, 3, 1))]
 
 
+def test_daily_index_goes_back_before_the_year_1(spark):
+    df = spark.range(0, 800_000, 1, 4).selectExpr("id as o", "'a' as k")
+    for keys in ([], ["k"]):
+        out = series.daily_index(df, ["o"], dt.date(2024, 12, 31), keys).withColumn("day", day_text("ds"))
+        found = {r["o"]: r["day"] for r in out.filter("o in (0, 60748, 60749, 60750, 799999)").drop("ds").collect()}
+        sql = "select strftime(DATE '2024-12-31' - (799999 - {}), '%Y-%m-%d')"
+        assert found == {o: duckdb.sql(sql.format(o)).fetchall()[0][0] for o in found} and len(found) == 5
+        assert out.agg(F.countDistinct("ds"), F.datediff(F.max("ds"), F.min("ds"))).first()[:] == (800_000, 799_999)
+    texts = spark.sql("select explode(array(date_add(DATE '9999-12-31', 1), null, DATE '0012-01-02')) as d").select(day_text("d"))
+    assert [r[0] for r in texts.collect()] == ["10000-01-01", None, "0012-01-02"]
+
+
 def test_holdout_needs_a_training_row(spark):
     df = daily(spark, 5, float)
     for keys in ([], ["series"]):
