@@ -18,8 +18,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go; texts in a language that no row is labelled with stay."""
-    return language.accepted(docs, declared=None, unknown="unknown")
+    """Documents without letters go; ``lang`` becomes the language found, by which sequences are packed.
+
+    Texts in a language that no row is labelled with stay, as ``unknown``.
+    """
+    found = language.identify(docs, declared=None, unknown="unknown").where("accepted")
+    return found.select(*[F.col("language").alias(c) if c == "lang" else c for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +47,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
-    return packing.pack(docs, with_ids=False)
+    """Token pieces and their places in sequences, each of one language."""
+    return packing.pack(docs, with_ids=False, by="lang")
 
 
 STAGES = [

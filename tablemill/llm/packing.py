@@ -147,12 +147,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, ranks: str | None, capacity: int, with_ids: bool):
-    names = [ROW, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    names = [ROW, "part", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches):
         encode = encoder(path, ranks)
         for batch in batches:
-            rows, texts = batch[ROW].tolist(), [t or "" for t in batch["text"]]
+            rows, parts, texts = batch[ROW].tolist(), batch["part"].tolist(), [t or "" for t in batch["text"]]
             # texts of some CHARS characters together, a longer one alone
             turn = np.cumsum([len(t) for t in texts]) // CHARS
             for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(turn)) + 1):
@@ -161,7 +161,7 @@ def _pieces(path: str, ranks: str | None, capacity: int, with_ids: bool):
                     row, data = rows[i], found.astype("<u4").tobytes() + bytes(4)  # id 0 ends it
                     for number, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                         piece = data[4 * start : 4 * (start + length)]
-                        made = (row, number, start, length, zlib.crc32(piece), *[np.frombuffer(piece, "<i4")] * with_ids)
+                        made = (row, parts[i], number, start, length, zlib.crc32(piece), *[np.frombuffer(piece, "<i4")] * with_ids)
                         for column, value in zip(columns, made, strict=True):
                             column.append(value)
                 yield pd.DataFrame(dict(zip(names, columns, strict=True)))
@@ -283,11 +283,10 @@ def plan(histogram: np.ndarray, capacity: int, steps: int = STEPS) -> list[tuple
     return out + best_fit(left, capacity)
 
 
-def places(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each length: first number, first sequence and offset of every range of its places."""
+def places(planned: list[tuple[tuple[int, ...], int]], capacity: int, sequence: int = 0) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each length: first number, first sequence and offset of every range of its places; sequences count on from ``sequence``."""
     ranges: dict[int, list[tuple[int, int, int]]] = {}
     taken = np.zeros(capacity + 1, dtype=np.int64)
-    sequence = 0
     for pattern, times in planned:
         offset = 0
         for length in pattern:
@@ -298,29 +297,31 @@ def places(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[in
     return {length: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for length, r in ranges.items()}
 
 
-def _placed(where: dict[int, tuple[np.ndarray, ...]]):
+def _placed(where: dict[str, dict[int, tuple[np.ndarray, ...]]]):
     def run(batches):
         for batch in batches:
             sequence = np.zeros(len(batch), dtype=np.int64)
             offset = np.zeros(len(batch), dtype=np.int64)
-            length, number = batch["length"].to_numpy(), batch["number"].to_numpy()
-            for one in np.unique(length):
-                first, at, shift = where[int(one)]
-                mine = length == one
+            number = batch["number"].to_numpy()
+            for (part, one), mine in batch.groupby(["part", "length"]).indices.items():
+                first, at, shift = where[part][int(one)]
                 of = np.searchsorted(first, number[mine], side="right") - 1
                 sequence[mine] = at[of] + number[mine] - first[of]
                 offset[mine] = shift[of]
-            yield batch.drop(columns="number").assign(sequence_id=sequence, offset=offset)
+            yield batch.drop(columns=["part", "number"]).assign(sequence_id=sequence, offset=offset)
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = True, steps: int = STEPS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = True, steps: int = STEPS, by: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, asked for, ids.
 
     A document is its text's ids and then id 0. Documents longer than ``capacity`` are cut into pieces of
     that many, the first of which may be shorter. Sequences hold ``capacity`` ids at most, without gaps.
 
+    ``by`` names a column, of which documents of one sequence have the same value (nulls are one value).
+    The driver plans for each value in turn, from one histogram, so there should be few: languages, not hosts.
+
     A null text counts as empty, so it is one piece with id 0 alone; null and repeated ids are carried
     along; an empty table gives an empty result; other columns are not looked at.
     """
@@ -330,25 +331,30 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     ranks = None if tokenizer else public_tokenizers.path("byte_bpe_50k.tiktoken")
     work = Workspace(spark, "packed")
-    kinds = f"{ROW} long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kinds = f"{ROW} long, part string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     docs = numbered(docs, work)
-    rows = docs.select(ROW, F.col("text").cast("string").alias("text"))
+    part = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
+    rows = docs.select(ROW, part.alias("part"), F.col("text").cast("string").alias("text"))
     cuts = rows.mapInPandas(_pieces(path, ranks, capacity, with_ids), kinds)
     named = work.write(cuts.withColumn("deal", F.pmod(F.xxhash64(ROW, "piece"), F.lit(DEALS)).cast("int")))
 
-    # at most ``capacity`` rows
-    counts = {r["length"]: r["count"] for r in named.groupBy("length").count().collect()}
-    histogram = np.zeros(capacity + 1, dtype=np.int64)
-    histogram[list(counts)] = list(counts.values())
-    where = places(plan(histogram, capacity, steps), capacity)
+    # at most ``capacity`` rows of a part
+    counts: dict[str, np.ndarray] = {}
+    for r in named.groupBy("part", "length").count().collect():
+        counts.setdefault(r["part"], np.zeros(capacity + 1, dtype=np.int64))[r["length"]] = r["count"]
+    where, begun = {}, 0
+    for name in sorted(counts):
+        planned = plan(counts[name], capacity, steps)
+        where[name] = places(planned, capacity, begun)
+        begun += sum(times for _, times in planned)
 
     # numbers among the pieces of a length: where a deal begins, and the place in it
-    deals = named.groupBy("length", "deal").count()
-    earlier = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
+    deals = named.groupBy("part", "length", "deal").count()
+    earlier = Window.partitionBy("part", "length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     begins = deals.withColumn("begin", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("length", "deal").orderBy(ROW, "piece")) - 1
-    keys = named.drop("ids").withColumn("inside", inside).join(begins.select("length", "deal", "begin"), ["length", "deal"])
-    numbers = keys.select(ROW, "piece", "start", "length", "ids_crc32", (F.col("begin") + F.col("inside")).alias("number"))
+    inside = F.row_number().over(Window.partitionBy("part", "length", "deal").orderBy(ROW, "piece")) - 1
+    keys = named.drop("ids").withColumn("inside", inside).join(begins.select("part", "length", "deal", "begin"), ["part", "length", "deal"])
+    numbers = keys.select(ROW, "part", "piece", "start", "length", "ids_crc32", (F.col("begin") + F.col("inside")).alias("number"))
     put = numbers.mapInPandas(_placed(where), f"{ROW} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     out = docs.select(ROW, "doc_id").join(put, ROW)
     if with_ids:

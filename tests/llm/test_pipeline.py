@@ -56,3 +56,19 @@ def test_unlabelled_language_stays(spark, tmp_path):
     docs.unionByName(more).write.parquet(str(tmp_path / "t"))
     kept = corpus_pipeline.identify_language(spark, spark.read.parquet(str(tmp_path / "t")), DATA)
     assert kept.where("doc_id = -1").count() == 1
+
+
+def test_language_found_decides_what_is_packed_together(spark, tmp_path):
+    words = {"en": "the house and the garden are here with them", "de": "das Haus und der Garten sind hier mit ihnen"}
+    # every second row has no label
+    rows = [(100 * i + j, f"{words[name]} {'abcdefghij'[j]}", [name, None][j % 2], "s", 1) for i, name in enumerate(words) for j in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "t"))
+    found = corpus_pipeline.identify_language(spark, spark.read.parquet(str(tmp_path / "t")), DATA)
+    found.write.parquet(str(tmp_path / "found"))
+    spoken = spark.read.parquet(str(tmp_path / "found"))
+    assert {r["doc_id"]: r["lang"] for r in spoken.collect()} == {100 * i + j: name for i, name in enumerate(words) for j in range(10)}
+    packed = corpus_pipeline.pack_sequences(spark, spoken, DATA).collect()
+    tongues = {}
+    for r in packed:
+        tongues.setdefault(r["sequence_id"], set()).add(r["doc_id"] // 100)
+    assert len(packed) == 20 and sorted(map(tuple, tongues.values())) == [(0,), (1,)]
