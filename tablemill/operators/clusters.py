@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,6 +20,11 @@ from tablemill.operators.joins import null_safe_join
 from tablemill.session import materialize, one_row
 
 
+TILE_BLOCKS = 8
+TILE_BYTES = 1 << 24  # of the vectors of a tile, unless one block is larger
+STRIP_ROWS = 256
+
+
 def assign_clusters(df: DataFrame, vector: str, centroids: Sequence[Sequence[float]]) -> DataFrame:
     """Add the nearest centroid ``cluster`` and the squared distance ``d2``."""
     return with_nearest(df, vector, centroids)
@@ -112,8 +118,9 @@ def silhouette_exact(
     a = mean distance to the rest of the own cluster, b = least mean distance to another cluster,
     (b - a) / max(a, b), 0 for a lone row. Every row must be measured against every other, so the
     work grows with the square of the rows; :func:`silhouette_squared` is linear. Rows are packed
-    into blocks of ``block_rows`` and each pair of blocks is one matrix product in one task. No
-    pair of rows is ever written out: a pair of blocks gives one sum per row and cluster.
+    into blocks of ``block_rows``, and a task measures the blocks of a tile against those of another, a
+    strip of rows against a block at a time. No pair of rows is ever written out: a pair of tiles gives
+    one sum per row and cluster.
     """
     spark = df.sparkSession
     counted = materialize(
@@ -142,37 +149,36 @@ def silhouette_exact(
         ),
         "dealt",
     )
-    packed = materialize(
-        dealt.groupBy("block").agg(F.collect_list(F.struct("v", "c")).alias("items")), "blocks"
-    )
-
-    def sums(batches):
-        for batch in batches:
-            for left, right, mine in zip(batch["left"], batch["right"], batch["block"]):
-                x, y = _unpack(left), _unpack(right)
-                member = np.zeros((len(y[0]), n_clusters))
-                member[np.arange(len(y[0])), y[1]] = 1.0
-                total = _distances(x[0], y[0]) @ member
-                yield pd.DataFrame(
-                    {
-                        "block": np.int32(mine),
-                        "row": np.arange(len(x[0]), dtype="int32"),
-                        "own": x[1].astype("int32"),
-                        "total": list(total),
-                    }
-                )
-
-    # every block meets every block through an equi-join on the partner's number
-    partners = packed.select(
-        "block",
-        F.col("items").alias("left"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("partner"),
-    )
-    met = partners.join(
-        packed.select(F.col("block").alias("partner"), F.col("items").alias("right")), "partner"
-    )
-    per_block = met.select("block", "left", "right").mapInPandas(
-        sums, "block int, row int, own int, total array<double>"
+    packed = materialize(dealt.groupBy("block").applyInPandas(_pack, "block int, rows int, data binary, owners binary"), "blocks")
+    widest = packed.agg(F.max(F.octet_length("data"))).first()[0]
+    # small tiles for few rows, so that all cores have some pairs of tiles
+    spread = math.isqrt(4 * spark.sparkContext.defaultParallelism)
+    side = max(1, min(TILE_BLOCKS, TILE_BYTES // max(1, widest), blocks // spread))
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        partners = [_unpack(*items) for items in zip(right["rows"], right["data"], right["owners"])]
+        for mine, *items in zip(left["block"], left["rows"], left["data"], left["owners"]):
+            x, own = _unpack(*items)
+            total = np.zeros((len(x), n_clusters))
+            for y, owners in partners:
+                member = np.zeros((len(y), n_clusters))
+                member[np.arange(len(y)), owners] = 1.0
+                for at in range(0, len(x), STRIP_ROWS):
+                    total[at : at + STRIP_ROWS] += _distances(x[at : at + STRIP_ROWS], y) @ member
+            row = np.arange(len(x), dtype="int32")
+            found.append(pd.DataFrame({"block": np.int32(mine), "row": row, "own": own.astype("int32"), "total": list(total)}))
+        return pd.concat(found) if found else pd.DataFrame({"block": [], "row": [], "own": [], "total": []})
+
+    # every block meets every block: those of a tile and those of another in one task
+    tiles = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // side)))
+    tile = F.floor(F.col("block") / side).cast("int")
+    lefts = packed.select("*", tile.alias("tile"), tiles.alias("partner"))
+    rights = packed.select("*", tile.alias("partner"), tiles.alias("tile"))
+    per_block = (
+        lefts.groupBy("tile", "partner")
+        .cogroup(rights.groupBy("tile", "partner"))
+        .applyInPandas(sums, "block int, row int, own int, total array<double>")
     )
     vector_sum = Summarizer.metrics("sum").summary(as_vector("total"))
     totals = per_block.groupBy("block", "row", "own").agg(vector_to_array(vector_sum.getField("sum")).alias("total"))
@@ -199,11 +205,14 @@ def _silhouette(total: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.nda
     return np.where((rest > 0) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
 
 
-def _unpack(items) -> tuple[np.ndarray, np.ndarray]:
-    return (
-        np.asarray([i["v"].tolist() if hasattr(i["v"], "tolist") else i["v"] for i in items], dtype=np.float64),
-        np.asarray([i["c"] for i in items], dtype=np.int64),
-    )
+def _pack(items: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block in one row."""
+    data, owners = matrix(items["v"]), items["c"].to_numpy(dtype=np.int32)
+    return pd.DataFrame({"block": [items["block"].iloc[0]], "rows": [len(items)], "data": [data.tobytes()], "owners": [owners.tobytes()]})
+
+
+def _unpack(rows: int, data: bytes, owners: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(data, dtype=np.float64).reshape(rows, -1), np.frombuffer(owners, dtype=np.int32)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:

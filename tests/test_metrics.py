@@ -111,6 +111,18 @@ def test_silhouette_by_blocks_equals_brute_force(points, block_rows):
     assert found == pytest.approx(brute_silhouette(x, c, 1), abs=1e-9)
 
 
+def test_silhouette_tasks_hold_two_tiles(points, monkeypatch):
+    """Blocks travel as one value each, and a task gets those of two tiles, whatever the number of blocks."""
+    x, c, df = points
+    monkeypatch.setattr(clusters, "TILE_BYTES", 2 * 17 * 4 * 8)
+    monkeypatch.setattr(clusters, "STRIP_ROWS", 5)
+    found = clusters.silhouette_exact(df, "v", "c", 17)
+    assert found.first()[0] == pytest.approx(brute_silhouette(x, c, 1), abs=1e-9)
+    # 240 rows in 15 blocks are met by at most as many partial sums a row as there are tiles
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "items" not in plan
+
+
 def test_squared_silhouette_equals_brute_force_and_the_evaluator(points):
     x, c, df = points
     found = clusters.silhouette_squared(df, "v", "c").first()[0]
