@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.bytehash import Hashes, mix
 from tablemill.llm.components import components
-from tablemill.llm.store import ROW, Workspace, numbered, tidy
+from tablemill.llm.store import ROW, Workspace, lean, numbered, tidy
 
 WORDS = 5
 PERCENT = 75
@@ -137,7 +137,7 @@ def _measure(pairs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
     """Pairs (a, b) with the sizes of their intersection and of both sets."""
     left = pairs.join(bodies.withColumnRenamed("key", "a").withColumnRenamed("body", "body_a"), "a")
     both = left.join(bodies.withColumnRenamed("key", "b").withColumnRenamed("body", "body_b"), "b")
-    return both.select("a", "b", "body_a", "body_b").mapInPandas(_measured(words), "a long, b long, both long, n_a long, n_b long")
+    return both.select("a", "b", "body_a", "body_b").mapInPandas(lean("join", _measured(words)), "a long, b long, both long, n_a long, n_b long")
 
 
 def _links(measured: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _pivot():
 def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs``, which are numbered, with set size and class, and the components of linked classes (node, label)."""
     rows = docs.select(ROW, F.col("text").cast("string").alias("text"))
-    sketches = work.write(rows.mapInPandas(_sketches(words, percent), f"{ROW} long, n int, zone int, key long, prefix array<long>"))
+    sketches = work.write(rows.mapInPandas(lean("join", _sketches(words, percent)), f"{ROW} long, n int, zone int, key long, prefix array<long>"))
     members = work.write(sketches.select(ROW, "n", "key"))
     classes = sketches.where("n > 0").groupBy("key").agg(F.min(ROW).alias(ROW), F.min("n").alias("n"), F.min("zone").alias("zone"), F.count("*").alias("copies"))
     classes = work.write(classes)
@@ -277,7 +277,7 @@ def classes_and_links(docs: DataFrame, work: Workspace, words: int, percent: int
 
     # only texts that meet another are measured
     some = met.select("key").distinct().join(classes, "key").select("key", ROW)
-    bodies = work.write(rows.join(some, ROW).select("key", "text").mapInPandas(_packed, "key long, body binary"))
+    bodies = work.write(rows.join(some, ROW).select("key", "text").mapInPandas(lean("join", _packed), "key long, body binary"))
     tidy(docs.sparkSession)
 
     pivots = met.groupBy("region").agg(_pivot())

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.store import ROW, Workspace, numbered
+from tablemill.llm.store import ROW, Workspace, lean, numbered
 
 BITS = 16
 SAMPLE_ROWS = 2_000  # labelled rows a language's model is fitted on at most
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     if not names:
         return Model([], None)
     chosen = named.join(last, "label").where(rank <= F.col("last")).select("label", "text")
-    counts = chosen.mapInPandas(_counted, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInPandas(lean("language", _counted), "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     return Model(names, work.write(counts), ranked)
 
 
@@ -236,7 +236,7 @@ def identify(
     rows = numbers.select(ROW, F.col("text").cast("string").alias("text"))
     texts = None
     for block in model.blocks():
-        part = rows.mapInPandas(_likelihoods(block), f"{ROW} long, grams long, fit array<double>")
+        part = rows.mapInPandas(lean("language", _likelihoods(block)), f"{ROW} long, grams long, fit array<double>")
         texts = part if texts is None else texts.join(part.select(ROW, F.col("fit").alias("more")), ROW).select(ROW, "grams", F.concat("fit", "more").alias("fit"))
     alone = F.when(F.col("grams") > 0, F.array_position("fit", F.array_max("fit")).cast("int") - 1)
     known = work.write(facts.join(texts, ROW).withColumn("alone", alone))

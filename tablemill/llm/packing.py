@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablemill.llm.store import ROW, Workspace, numbered
+from tablemill.llm.store import ROW, Workspace, give_back, kept, numbered
 
 CAPACITY = 2048
 STEPS = 400
@@ -135,9 +135,8 @@ class Encoder:
         return out
 
 
-@functools.cache
 def encoder(path: str, ranks: str | None) -> Encoder:
-    return Encoder(path, ranks)
+    return kept("packing", Encoder, path, ranks)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -165,6 +164,7 @@ def _pieces(path: str, ranks: str | None, capacity: int, with_ids: bool):
                         for column, value in zip(columns, made, strict=True):
                             column.append(value)
                 yield pd.DataFrame(dict(zip(names, columns, strict=True)))
+        give_back()
 
     return run
 
