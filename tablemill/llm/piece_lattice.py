@@ -10,13 +10,16 @@ So pieces are scored by log probabilities over the rows given: every text is enc
 and a grouped aggregate counts the pieces. The own encoding is returned beside the n best.
 
 No piece reaches over the beginning of a word, and none holds a letter beside a full stop or a line break, so a
-text's lattice is a chain of the lattices of such units. A task searches each different unit once while it
-remembers it; the chain's n best follow from a second
-best-first search over how far each word departs from its best.
+text's lattice is a chain of the lattices of such units. A task searches the units of a different word once while
+it remembers the word, and the new ones of many texts together: from the words' ends backwards every place keeps
+its n best ways on, which gives what the search above gives one unit at a time. That search stays for long units
+and for scores whose sums are not exact. The chain's n best follow from a second best-first search over how far
+each unit departs from its best.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import heapq
 import itertools
@@ -27,14 +30,20 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 SPACE = "▁"
 N_BEST = 4
 CACHE = 150_000  # words of a generation; two are remembered
 HELD = 1 << 20  # ids that a task holds before it gives rows away
+AHEAD = 1 << 20  # characters of texts whose new words are searched together
+ABREAST = 20_000  # units that are searched at once
+LONG = 64  # characters of a unit beyond which it is searched for itself
+NONE = 1 << 62  # a way that is not there; those that are stay below
 GRAIN = 2.0**20  # log probabilities are multiples of its inverse, so that sums are exact and ties are ties
 
 Path = tuple[float, tuple[int, ...]]
@@ -69,7 +78,6 @@ class Pieces:
         self.texts = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes = {int(t[3:5], 16): i for i, t in enumerate(self.texts) if model.is_byte(i)}
         self.names = {i: b for b, i in self.bytes.items()}
-        self.spelt = np.isin(np.arange(len(self.texts)), list(self.names))
         plain = [i for i in range(len(self.texts)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {self.texts[i]: i for i in plain}
         self.unknown = model.unk_id()
@@ -77,12 +85,47 @@ class Pieces:
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
             raise ValueError("a piece reaches over the beginning of a word")
         self.unit = units(self.ids)
+        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.words = {}
+        self.plain = by_words(path)
+        self.raw = [bytes([self.names[i]]) if i in self.names else t.encode() for i, t in enumerate(self.texts)]
+        self.lengths = np.array([1 if i in self.names or i == self.unknown else len(t) for i, t in enumerate(self.texts)])
+        exact = np.asarray(self.scores, dtype=np.float64) * GRAIN
+        # sums of such scores are exact in integers, as they are in floating point
+        whole = np.isfinite(exact).all() and (exact == np.rint(exact)).all() and np.abs(exact).max(initial=0) < 1 << 62
+        self.costs = -exact.astype(np.int64) if whole else None
+        self.trie = Trie(self.ids) if whole else None
 
     def own(self, text: str) -> np.ndarray:
         """The model's own ids of a whole text."""
         return np.array(self.model.encode(text, num_threads=1), dtype="<i4")
 
+    def own_of_words(self, words: list[str]) -> list[bytes]:
+        """The model's own ids of words of normalised texts; only where ``plain`` is a model."""
+        return [np.array(ids, dtype="<i4").tobytes() for ids in self.plain.encode(words, num_threads=1)]
+
+    def own_counts(self, texts) -> np.ndarray:
+        """How often the model's own encodings of texts have each id."""
+        seen = np.zeros(len(self.texts), dtype=np.int64)
+        if self.plain is None:
+            for text in texts:
+                seen += np.bincount(self.own(text or ""), minlength=len(seen))
+            return seen
+        words: collections.Counter = collections.Counter()
+
+        def settle() -> None:
+            ids = self.plain.encode(list(words), num_threads=1)
+            times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(i) for i in ids])
+            np.add.at(seen, _flat(ids), times)
+            words.clear()
+
+        for text in texts:
+            words.update(self.word.findall(normalised(text or "")))
+            if len(words) >= CACHE:
+                settle()
+        settle()
+        return seen
+
     def edges(self, word: str) -> tuple[list[list], list[float]]:
         """For each place the pieces that end there, as (score, start, ids), and the best score from the start to it."""
         ends, forward = [[]], [0.0]
@@ -141,21 +184,103 @@ class Pieces:
             found.append((behind, tuple(whole)))
         return found
 
-    def segments(self, text: str, n: int) -> list[tuple[float, np.ndarray]]:
-        """The ``n`` best segmentations of a whole text with their scores."""
+    def abreast(self, words: list[str], n: int) -> list[tuple]:
+        """As :func:`_unit` of each word's :meth:`search`, for many different words of at most ``LONG`` characters.
+
+        A way from a place to the word's end is one integer: its cost, the piece it begins with, and the rank of
+        what follows among the ways from there. So the smaller of two is the better, ties to smaller ids.
+        """
+        ranks = 1 << (n - 1).bit_length()
+        shift = (len(self.texts) * ranks).bit_length()
+        if self.costs is None or int(np.abs(self.costs).max()) * 4 * (LONG + 1) >= NONE >> shift:
+            return [_unit(self.search(w, n)) for w in words]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum(sizes + 1) - sizes - 1  # a word has a place before each character, and its end
+        chars = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        ahead = np.repeat(starts + sizes, sizes + 1) - np.arange(len(chars))  # characters to the word's end
+        at, length, piece = self.trie.walk(chars, ahead)
+        cost = self.costs[piece]
+        # a character that is no piece is spelt in bytes
+        spelt = np.ones(len(chars), dtype=bool)
+        spelt[at[length == 1]] = False
+        spelt = np.flatnonzero(spelt & (ahead > 0))
+        kinds, kind = np.unique(chars[spelt], return_inverse=True)
+        spellings = [[self.bytes.get(b, self.unknown) for b in chr(c).encode(errors="replace")] for c in kinds]
+        at, length = np.concatenate([at, spelt]), np.concatenate([length, np.ones(len(spelt), dtype=length.dtype)])
+        piece = np.concatenate([piece, np.array([s[0] for s in spellings], dtype=np.int64)[kind]])
+        cost = np.concatenate([cost, np.array([self.costs[s].sum() for s in spellings], dtype=np.int64)[kind]])
+
+        ways = np.full((ranks, len(chars)), NONE, dtype=np.int64)
+        ways[0, ahead == 0] = 0
+        step = ahead[at] * (self.longest + 1) + length
+        order = np.argsort(step, kind="stable")
+        at, to, edge = at[order], (at + length)[order], ((cost << shift) + piece * ranks)[order]
+        low = (1 << shift) - 1
+        rank = np.arange(ranks)[:, None]
+        bounds = np.flatnonzero(np.diff(step[order], prepend=-1, append=-1))
+        for i, j in itertools.pairwise(bounds.tolist()):
+            more = (ways[:, to[i:j]] & ~low) + edge[i:j] + rank
+            ways[:, at[i:j]] = _merged(ways[:, at[i:j]], more)
+
+        # all ways are followed at once, a piece of each at a time
+        way, unit = np.nonzero(ways[:n, starts].T < NONE)[::-1]
+        total = -(ways[way, starts[unit]] >> shift) / GRAIN
+        place, path, parts = starts[unit], np.arange(len(unit)), []
+        while len(path):
+            here = ways[way, place] & low
+            parts.append((path, here // ranks, place))
+            way, place = here % ranks, place + self.lengths[here // ranks]
+            left = ahead[place] > 0
+            path, way, place = path[left], way[left], place[left]
+        path, ids, place = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.argsort(path, kind="stable")
+        path, ids, place = path[order], ids[order], place[order]
+        # the first byte stands for a character's bytes so far
+        several = np.ones(len(ids), dtype=np.int64)
+        mine = np.flatnonzero(np.isin(place, spelt))
+        mine_kind = kind[np.searchsorted(spelt, place[mine])]
+        several[mine] = np.array([len(s) for s in spellings], dtype=np.int64)[mine_kind]
+        spread = np.repeat(ids, several).astype("<i4")
+        first = np.cumsum(several) - several
+        for k, spelling in enumerate(spellings):
+            for b, i in enumerate(spelling):
+                spread[first[mine[mine_kind == k]] + b] = i
+        sizes = np.bincount(path, weights=several, minlength=len(unit)).astype(np.int64)
+        return _units(np.bincount(unit, minlength=len(words)), total, sizes, spread)
+
+    def made(self, words: list[str], n: int) -> list[tuple]:
+        """For each word its own ids and its units."""
+        cut = [self.unit.findall(w) for w in words]
+        different = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
+        found = {u: _unit(self.search(u, n)) for u in different if len(u) > LONG}
+        short = sorted((u for u in different if u not in found), key=len)
+        for i in range(0, len(short), ABREAST):
+            some = short[i : i + ABREAST]
+            found.update(zip(some, self.abreast(some, n), strict=True))
+        own = self.own_of_words(words) if self.plain is not None else [b""] * len(words)
+        return [(o, tuple([found[u] for u in us])) for o, us in zip(own, cut, strict=True)]
+
+    def known(self, texts: list[str], n: int) -> list[list[tuple]]:
+        """For each text its words as :meth:`made`; those not remembered are made together."""
         if n not in self.words:
-            self.words[n] = Remembered(lambda words: [_word(self.search(w, n)) for w in words])
-        words = self.words[n].all(self.unit.findall(normalised(text)))
+            self.words[n] = Remembered(lambda words: self.made(words, n))
+        lists = [self.word.findall(normalised(t)) for t in texts]
+        found = iter(self.words[n].all(list(itertools.chain.from_iterable(lists))))
+        return [list(itertools.islice(found, len(words))) for words in lists]
+
+    def segments(self, text: str, n: int, known: list[tuple] | None = None) -> list[tuple[float, np.ndarray]]:
+        """The ``n`` best segmentations of a whole text with their scores."""
+        words = list(itertools.chain.from_iterable(map(_UNITS, self.known([text], n)[0] if known is None else known)))
         best = sum(map(_SCORE, words))
-        first = _flat(list(map(_BEST, words)))
+        first = np.frombuffer(b"".join(map(_BEST, words)), dtype="<i4")
         out = [(best, first)]
         # a departure costs; the n cheapest words to depart in are all that n results can need
         gaps = np.fromiter(map(_GAP, words), dtype=np.float64, count=len(words))
         open_ = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else _least(gaps, n - 1)
         open_ = [int(i) for i in open_ if gaps[i] < np.inf]
         if open_:
-            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, map(_BEST, words)), dtype=np.int64, count=len(words)))))
-            lists = [words[i][3] for i in open_]
+            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, map(_BEST, words)), dtype=np.int64, count=len(words)) // 4)))
+            lists = [_paths(words[i]) for i in open_]
             heap = [(0.0, (0,) * len(lists))]
             seen = {heap[0][1]}
             while heap and len(out) <= n:
@@ -164,7 +289,7 @@ class Pieces:
                     parts, at = [], 0
                     for i, paths, rank in sorted(zip(open_, lists, ranks, strict=True), key=operator.itemgetter(0)):
                         if rank:
-                            parts += [first[at : starts[i]], np.array(paths[rank][1], dtype="<i4")]
+                            parts += [first[at : starts[i]], paths[rank][1]]
                             at = starts[i + 1]
                     out.append((best - cost, np.concatenate([*parts, first[at:]])))
                 for k, paths in enumerate(lists):
@@ -181,9 +306,7 @@ class Pieces:
 
     def written(self, ids: np.ndarray) -> str:
         """As ``decode``, for an array of ids."""
-        if self.spelt[ids].any():
-            return self.decode(ids.tolist())
-        text = "".join(map(self.texts.__getitem__, ids.tolist())).replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
     def decode(self, ids) -> str:
@@ -213,12 +336,101 @@ def units(pieces_) -> re.Pattern:
     return re.compile(f"{SPACE}*(?:{inside})*[^{SPACE}]|{SPACE}+")
 
 
-def _word(paths: list[Path]) -> tuple:
-    """What a chain needs of a word: cost of the first departure, score, best ids, all paths."""
-    return (paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf, paths[0][0], paths[0][1], paths if len(paths) > 1 else None)
+def by_words(path: str) -> sentencepiece.SentencePieceProcessor | None:
+    """The model without the space it puts before a text, if it leaves texts as they are and encodes by merges.
+
+    Merges happen inside of pieces, so its encoding of a normalised text is that of its words, one after another.
+    """
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    kind, norm = model.trainer_spec, model.normalizer_spec
+    same = not (norm.precompiled_charsmap or norm.normalization_rule_tsv or norm.remove_extra_whitespaces)
+    same = same and norm.add_dummy_prefix and norm.escape_whitespaces and not kind.treat_whitespace_as_suffix
+    if not (same and kind.model_type == kind.BPE and kind.byte_fallback and all(p.type != p.USER_DEFINED for p in model.pieces)):
+        return None
+    norm.add_dummy_prefix = False
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+class Trie:
+    """All pieces by their characters, for looking up many places of a text at once."""
+
+    def __init__(self, ids: dict[str, int]):
+        alphabet = sorted({ord(c) for text in ids for c in text})
+        self.kinds = np.zeros(0x110000, dtype=np.uint16 if len(alphabet) < 1 << 16 else np.uint32)
+        self.kinds[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.width = len(alphabet) + 1
+        nodes = {"": 0}
+        for text in ids:
+            for end in range(1, len(text) + 1):
+                nodes.setdefault(text[:end], len(nodes))
+        self.pieces = np.array([ids.get(text, -1) for text in nodes])
+        steps = sorted((nodes[t[:-1]] * self.width + int(self.kinds[ord(t[-1])]), node) for t, node in nodes.items() if t)
+        self.steps, self.after = (np.array(x, dtype=np.int64) for x in zip(*steps, strict=True))
+
+    def walk(self, chars: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, length and id of every piece that stands in ``chars`` and does not pass the ``ahead`` characters left."""
+        kinds = self.kinds[chars].astype(np.int64)
+        at = np.flatnonzero(ahead > 0)
+        node, length, out = np.zeros(len(at), dtype=np.int64), 0, []
+        while len(at):
+            key = node * self.width + kinds[at + length]
+            place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            there = self.steps[place] == key
+            at, node, length = at[there], self.after[place[there]], length + 1
+            whole = self.pieces[node] >= 0
+            out.append((at[whole], np.full(int(whole.sum()), length), self.pieces[node[whole]]))
+            more = ahead[at] > length
+            at, node = at[more], node[more]
+        at, length, piece = (np.concatenate(x) for x in zip(*out, strict=True))
+        return at, length, piece
+
+
+def _merged(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least of two columns of rising numbers, as many as one has, rising; a power of two."""
+    least = np.minimum(one, other[::-1])
+    apart = len(least) // 2
+    while apart:
+        pairs = least.reshape(-1, 2, apart, least.shape[-1])
+        least = np.stack([pairs.min(axis=1), pairs.max(axis=1)], axis=1).reshape(least.shape)
+        apart //= 2
+    return least
+
+
+def _units(ways: np.ndarray, scores: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> list[tuple]:
+    """What a chain needs of each unit: cost of the first departure, score, best ids, and all else, see :func:`_paths`.
+
+    Units have that many ``ways``, best first; ``scores`` and ``sizes`` are of the ways, ``ids`` of all on end.
+    """
+    out = []
+    data, costs, lengths = ids.astype("<i4").tobytes(), scores.astype("<f8").tobytes(), sizes.astype("<i4").tobytes()
+    ends, scores, at, start = (np.cumsum(sizes) * 4).tolist(), scores.tolist(), 0, 0
+    for m in ways.tolist():
+        end, last = ends[at], ends[at + m - 1]
+        rest = costs[8 * at : 8 * (at + m)] + lengths[4 * at : 4 * (at + m)] + data[end:last] if m > 1 else None
+        out.append((scores[at] - scores[at + 1] if m > 1 else np.inf, scores[at], data[start:end], rest, m))
+        at, start = at + m, last
+    return out
+
+
+def _unit(paths: list[Path]) -> tuple:
+    """As :func:`_units`, for one unit's paths."""
+    scores, ids = zip(*paths, strict=True)
+    sizes = np.array([len(i) for i in ids])
+    return _units(np.array([len(paths)]), np.array(scores, dtype=np.float64), sizes, _flat(ids))[0]
+
+
+def _paths(unit: tuple) -> list[tuple[float, np.ndarray]]:
+    """All ways of a unit that has several."""
+    _, _, best, rest, m = unit
+    ids = np.concatenate([np.frombuffer(best, dtype="<i4"), np.frombuffer(rest, dtype="<i4", offset=12 * m)])
+    ends = np.cumsum(np.frombuffer(rest, dtype="<i4", offset=8 * m, count=m))
+    return list(zip(np.frombuffer(rest, dtype="<f8", count=m).tolist(), np.split(ids, ends[:-1]), strict=True))
 
 
 _GAP, _SCORE, _BEST = (operator.itemgetter(i) for i in range(3))
+_OWN, _UNITS = (operator.itemgetter(i) for i in range(2))
 
 
 def _flat(lists: list) -> np.ndarray:
@@ -245,11 +457,7 @@ def pieces(path: str, scores: bytes | None = None) -> Pieces:
 
 def _counted(path: str):
     def run(batches):
-        model = pieces(path)
-        seen = np.zeros(len(model.texts), dtype=np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                seen += np.bincount(model.own(text or ""), minlength=len(seen))
+        seen = pieces(path).own_counts(text for batch in batches for text in batch["text"])
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"piece": at.astype("int32"), "n": seen[at]})
 
@@ -269,15 +477,28 @@ def log_probabilities(rows: DataFrame, model: str | None = None) -> np.ndarray:
     return np.rint(np.log(seen / seen.sum()) * GRAIN) / GRAIN
 
 
+def _ahead(model: Pieces, texts, n: int):
+    """Texts, none for null, with their words as ``known``, some texts at a time."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text or "")
+        held += len(some[-1])
+        if held >= AHEAD:
+            yield from zip(some, model.known(some, n), strict=True)
+            some, held = [], 0
+    yield from zip(some, model.known(some, n), strict=True)
+
+
 def _encoded(path: str, n: int, scores: bytes | None = None):
     def run(batches):
         model = pieces(path, scores)
         for batch in batches:
             rest, out, first, held = batch.drop(columns=["text"]), [], 0, 0
-            for at, text in enumerate(batch["text"], 1):
-                found, own = model.segments(text or "", n), model.own(text or "")
+            for at, (text, known) in enumerate(_ahead(model, batch["text"], n), 1):
+                found = model.segments(text, n, known)
+                own = np.frombuffer(b"".join(map(_OWN, known)), dtype="<i4") if model.plain is not None else model.own(text)
                 ids = [i for _, i in found]
-                out.append((ids, [float(s) for s, _ in found], zlib.crc32(ids[0].tobytes()), model.written(ids[0]) == (text or ""), own))
+                out.append((ids, [float(s) for s, _ in found], zlib.crc32(ids[0].tobytes()), model.written(ids[0]) == text, own))
                 held += sum(map(len, ids)) + len(own)
                 if held >= HELD or at == len(batch):
                     done = rest.iloc[first:at]
@@ -288,6 +509,32 @@ def _encoded(path: str, n: int, scores: bytes | None = None):
     return run
 
 
+def _nested(lists: list) -> pa.ListArray:
+    """Lists as one Arrow array, arrays of numbers on end."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    inner = [x for some in lists for x in some] if lists and isinstance(lists[0], list) else None
+    values = _nested(inner) if inner and isinstance(inner[0], np.ndarray) else pa.array(inner) if inner else pa.array(np.concatenate(lists))
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype("int32"), values)
+
+
+def _in_arrow(path: str, n: int, scores: bytes):
+    """As :func:`_encoded`, for Arrow batches; the other columns pass as they are."""
+
+    def run(batches):
+        for batch in batches:
+            same = [c for c in batch.schema.names if c != "text"]
+            first = 0
+            for part in _encoded(path, n, scores)([pd.DataFrame({"text": batch.column("text").to_pylist()})]):
+                made = {c: _nested(list(part[c])) for c in ("_op_ids", "_op_scores", "_op_own")}
+                made |= {"_op_crc": pa.array(part["_op_crc"], pa.int64()), "_op_same": pa.array(part["_op_same"], pa.bool_())}
+                old = {c: batch.column(c).slice(first, len(part)) for c in same}
+                out = old | {c: made[c] for c in ("_op_ids", "_op_scores", "_op_crc", "_op_same", "_op_own")}
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+                first += len(part)
+
+    return run
+
+
 def encode(rows: DataFrame, n: int = N_BEST, model: str | None = None, scores: np.ndarray | None = None) -> DataFrame:
     """Adds n_best (ids of up to ``n`` segmentations, best first), scores, ids_crc32, round_trip and own_ids.
 
@@ -309,7 +556,7 @@ def encode(rows: DataFrame, n: int = N_BEST, model: str | None = None, scores: n
     same = [c for c in rows.columns if c not in made and c != "text"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in same)
     out = f"{kinds}{', ' if kinds else ''}_op_ids array<array<int>>, _op_scores array<double>, _op_crc long, _op_same boolean, _op_own array<int>"
-    found = rows.selectExpr(*[f"`{c}`" for c in same], "cast(text as string) as text").mapInPandas(_encoded(path, n, given), out)
+    found = rows.selectExpr(*[f"`{c}`" for c in same], "cast(text as string) as text").mapInArrow(_in_arrow(path, n, given), out)
     return found.withColumnsRenamed({v: k for k, v in made.items()})
 
 

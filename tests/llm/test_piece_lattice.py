@@ -143,3 +143,35 @@ def test_long_texts_leave_in_pieces(monkeypatch):
     given = list(piece_lattice._encoded(PATH, 4)([pd.DataFrame({"doc_id": range(5), "text": texts})]))
     assert len(given) > 2 and [i for part in given for i in part["doc_id"]] == list(range(5))
     assert [tuple(p[0]) for part in given for p in part["_op_ids"]] == [MODEL.n_best(t or "", 4)[0][1] for t in texts]
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 6])
+def test_units_abreast_as_one_by_one(n):
+    draw = np.random.default_rng(7)
+    scores = (np.rint(draw.uniform(-12, -3, len(MODEL.texts)) * 2) / 2).tolist()  # with many ties
+    words = ["aaaaaaaa", "a", "é漢🙂", "▁the", "\n", "thethe", "▁▁", "x\0y", "ab" * 32, "漢a漢"]
+    own = piece_lattice.Pieces(PATH, scores)
+    wanted = [own.search(w, n) for w in words]
+    own.search = None
+    found = own.abreast(words, n)
+    for w, (_, score, best, _, m), unit in zip(wanted, found, found, strict=True):
+        paths = piece_lattice._paths(unit) if m > 1 else [(score, np.frombuffer(best, dtype="<i4"))]
+        assert [(s, tuple(ids.tolist())) for s, ids in paths] == w
+
+
+def test_no_short_unit_is_searched_for_itself(monkeypatch):
+    scores = np.rint(np.log(np.full(len(MODEL.texts), 1 / 32000)) * 2**20) / 2**20
+    texts = ["the cat, the dog", "a" * 70, None, "é.\nThe"]
+    asked = []
+    plain = piece_lattice.Pieces.search
+    monkeypatch.setattr(piece_lattice.Pieces, "search", lambda self, word, n: asked.append(word) or plain(self, word, n))
+    for part in piece_lattice._encoded(PATH, 4, scores.tobytes())([pd.DataFrame({"doc_id": range(4), "text": texts})]):
+        assert part["_op_same"].all()
+    assert asked == ["▁" + "a" * 70]
+
+
+@pytest.mark.parametrize("text", TEXTS + ["x\n\ny. Z,w", "trailing  ", "\u2581a\u2581 b"])
+def test_own_ids_by_words(text):
+    words = MODEL.word.findall(piece_lattice.normalised(text))
+    assert b"".join(MODEL.own_of_words(words)) == MODEL.own(text).tobytes()
+    assert (MODEL.own_counts([text, None, text]) == 2 * np.bincount(MODEL.own(text), minlength=32000)).all()
