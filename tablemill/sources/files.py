@@ -75,7 +75,12 @@ def typed(texts: DataFrame, schema: T.StructType) -> DataFrame:
     lost = F.filter(F.array(*kept, beyond), lambda v: v["lost"] & v["text"].isNotNull())
     pairs = F.map_from_entries(F.transform(lost, lambda v: F.struct(v["column"], v["text"])))
     columns = [cast(f).alias(f.name) for f in schema.fields]
-    return texts.select(*columns, F.when(F.size(lost) > 0, pairs).alias(MISFITS))
+    # the pairs are only put together for rows that have one: most have none, and a lambda is run row by row
+    odd = F.col("__beyond").isNotNull()
+    for f in schema.fields:
+        if f.dataType != T.StringType():
+            odd = odd | (F.col(f"`{f.name}`").isNotNull() & cast(f).isNull())
+    return texts.select(*columns, F.when(odd, pairs).alias(MISFITS))
 
 
 def read_csv_kept(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:

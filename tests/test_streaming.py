@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tablemill.operators.features import engineer_features
 from tablemill.plans import jobs
-from tablemill.sources.files import LINE, MISFITS, infer_csv_schema, read_csv, read_csv_kept, settled_schema, stream_parquet
+from tablemill.sources.files import LINE, MISFITS, infer_csv_schema, read_csv, read_csv_kept, settled_schema, stream_parquet, typed
 from tablemill.sources.lake import Lake
 from tablemill.streaming.ingest import append_to, bronze, clean_stream, dedup_stream, drain, silver, upsert_stream
 from tablemill.streaming.windows import daily_windows
@@ -187,3 +187,18 @@ def test_exact_copies_are_spread_by_their_place(spark, tmp_path, watermark):
     assert once.columns == df.columns
     drain(append_to(once, str(tmp_path / "out"), str(tmp_path / "c")))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_misfits_are_gathered_only_for_rows_that_have_one(spark):
+    schema = spark.createDataFrame([], "id int, s string").schema
+    texts = spark.createDataFrame(
+        [("1", "a", None, None), ("x", None, None, None), (None, "b", None, None), ("2", "c", "d", "2,c,d"), ("y", "c", "d", None)],
+        "id string, s string, __beyond string, __line string",
+    )
+    out = typed(texts, schema)
+    found = [(r["id"], r["s"], r[MISFITS]) for r in out.collect()]
+    odd = [(None, None, {"id": "x"}), (2, "c", {LINE: "2,c,d"}), (None, "c", {"id": "y", LINE: "d"})]
+    assert found == [(1, "a", None), odd[0], (None, "b", None), *odd[1:]]
+    # whether a row has one is told without a lambda, which is run row by row
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan[plan.index("CASE WHEN") : plan.index(" THEN ")]
