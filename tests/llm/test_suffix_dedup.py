@@ -1,10 +1,13 @@
 import hashlib
 import random
+import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from tablemill.llm.suffix_dedup import equal_neighbours, remove_repeats
+from tablemill.session import scratch_home
 
 SCHEMA = "doc_id long, text string, kept string, n_spans string"
 
@@ -57,6 +60,16 @@ def test_as_by_hand(spark, tmp_path, length, spread, crowd):
             assert r["text"] == texts[i]
 
 
+def test_only_the_lists_of_spans_stay(spark, tmp_path):
+    spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(corpus(1))], SCHEMA).write.parquet(str(tmp_path / "d"))
+    home = Path(re.sub("^file:/+", "/", scratch_home(spark)))
+    before = set(home.glob("*/*"))
+    out = remove_repeats(spark.read.parquet(str(tmp_path / "d")), 100, 40, 3)
+    left = set(home.glob("*/*")) - before
+    assert [spark.read.parquet(str(f)).columns for f in left] == [["_op_row", "spans"]]
+    assert out.where("n_removed > 0").count() > 10
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "d"))
     assert remove_repeats(spark.read.parquet(str(tmp_path / "d"))).count() == 0
