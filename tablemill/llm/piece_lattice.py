@@ -12,9 +12,10 @@ and a grouped aggregate counts the pieces. The own encoding is returned beside t
 No piece reaches over the beginning of a word, and none holds a letter beside a full stop or a line break, so a
 text's lattice is a chain of the lattices of such units. A task searches the units of a different word once while
 it remembers the word, and the new ones of many texts together: from the words' ends backwards every place keeps
-its n best ways on, which gives what the search above gives one unit at a time. That search stays for long units
+its best ways on, which gives what the search above gives one unit at a time. That search stays for long units
 and for scores whose sums are not exact. The chain's n best follow from a second best-first search over how far
-each unit departs from its best.
+each unit departs from its best. n - 1 units at most can depart, those whose second best way costs least: only of
+them are all n ways made. Results lie on end in flat arrays, from which the words of many texts are gathered together.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from sentencepiece import sentencepiece_model_pb2
 SPACE = "▁"
 N_BEST = 4
 CACHE = 150_000  # words of a generation; two are remembered
+NEAR, COMMON = 4, 128  # lengths below, and first characters, for which a trie has a table
 HELD = 1 << 20  # ids that a task holds before it gives rows away
 AHEAD = 1 << 20  # characters of texts whose new words are searched together
 ABREAST = 20_000  # units that are searched at once
@@ -69,6 +71,52 @@ class Remembered:
         return [new[w] for w in words]
 
 
+class Words:
+    """Results of words by number, on end. Of many, those that were asked for most are remembered."""
+
+    def __init__(self, make):
+        self.make = make
+        self.begin([], [], np.empty(0, dtype=np.int64), None)
+
+    def begin(self, words: list[str], cut: list, hits: np.ndarray, runs: list | None) -> None:
+        self.number, self.cut, self.hits, self.runs = collections.defaultdict(None, zip(words, itertools.count())), cut, hits, runs
+        self.number.default_factory = self.number.__len__
+
+    def all(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, whose results are made where they are not remembered."""
+        if len(self.cut) >= 2 * CACHE:
+            self.forget()
+        old = len(self.cut)
+        found = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        fresh = list(itertools.islice(self.number, old, None))
+        if fresh or self.runs is None:
+            try:
+                cut, *runs = self.make(fresh)
+            except BaseException:
+                for w in fresh:
+                    del self.number[w]
+                raise
+            self.cut += cut
+            self.runs = runs if self.runs is None else [tuple(map(np.concatenate, zip(a, b, strict=True))) for a, b in zip(self.runs, runs, strict=True)]
+            self.hits = np.concatenate([self.hits, np.zeros(len(fresh), dtype=np.int64)])
+        self.hits += np.bincount(found, minlength=len(self.hits))
+        return found
+
+    def forget(self) -> None:
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[:CACHE])
+        words = list(self.number)
+        places = keep.tolist()
+        runs = [(values[_gathered(sizes, keep)], sizes[keep]) for values, sizes in self.runs]
+        self.begin([words[i] for i in places], [self.cut[i] for i in places], self.hits[keep] // 2, runs)
+
+    def of(self, part: int, found: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """For each text the results of its words; ``ends`` count words, from 0."""
+        values, sizes = self.runs[part]
+        values = values[_gathered(sizes, found)]
+        bounds = np.concatenate(([0], np.cumsum(sizes[found])))[ends].tolist()
+        return [values[i:j] for i, j in itertools.pairwise(bounds)]
+
+
 class Pieces:
     """The pieces of a model, and the search for segmentations by their scores: the model's if none are given."""
 
@@ -102,7 +150,17 @@ class Pieces:
 
     def own_of_words(self, words: list[str]) -> list[bytes]:
         """The model's own ids of words of normalised texts; only where ``plain`` is a model."""
-        return [np.array(ids, dtype="<i4").tobytes() for ids in self.plain.encode(words, num_threads=1)]
+        return _slices(*self.own_on_end(words))
+
+    def own_on_end(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`own_of_words`, on end, and how many each word has."""
+        ids = self.plain.encode(words, num_threads=1)
+        return _flat(ids), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+
+    def bare(self, text: str) -> list[str]:
+        """The words of a text, each without the space that every word of a normalised text begins with."""
+        whole = normalised(text)
+        return [w[1:] for w in self.word.findall(whole)] if SPACE * 2 in whole else whole.split(SPACE)[1:]
 
     def own_counts(self, texts) -> np.ndarray:
         """How often the model's own encodings of texts have each id."""
@@ -114,13 +172,13 @@ class Pieces:
         words: collections.Counter = collections.Counter()
 
         def settle() -> None:
-            ids = self.plain.encode(list(words), num_threads=1)
+            ids = self.plain.encode([SPACE + w for w in words], num_threads=1)
             times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(i) for i in ids])
             np.add.at(seen, _flat(ids), times)
             words.clear()
 
         for text in texts:
-            words.update(self.word.findall(normalised(text or "")))
+            words.update(self.bare(text or ""))
             if len(words) >= CACHE:
                 settle()
         settle()
@@ -190,10 +248,20 @@ class Pieces:
         A way from a place to the word's end is one integer: its cost, the piece it begins with, and the rank of
         what follows among the ways from there. So the smaller of two is the better, ties to smaller ids.
         """
+        if not self.together(n):
+            return [_unit(self.search(w, n)) for w in words]
+        each, _, total, sizes, ids = self.ways(words, n, n)
+        return _units(each, total, sizes, ids)
+
+    def together(self, n: int) -> bool:
+        """Whether :meth:`ways` can hold the costs of ``n`` ways."""
+        shift = (len(self.texts) << (n - 1).bit_length()).bit_length()
+        return self.costs is not None and int(np.abs(self.costs).max()) * 4 * (LONG + 1) < NONE >> shift
+
+    def ways(self, words: list[str], n: int, written: int) -> tuple[np.ndarray, ...]:
+        """The ``n`` best ways of words: how many each has, and of all the word and the score; sizes and ids of the first ``written``."""
         ranks = 1 << (n - 1).bit_length()
         shift = (len(self.texts) * ranks).bit_length()
-        if self.costs is None or int(np.abs(self.costs).max()) * 4 * (LONG + 1) >= NONE >> shift:
-            return [_unit(self.search(w, n)) for w in words]
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         starts = np.cumsum(sizes + 1) - sizes - 1  # a word has a place before each character, and its end
         chars = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -225,6 +293,8 @@ class Pieces:
         # all ways are followed at once, a piece of each at a time
         way, unit = np.nonzero(ways[:n, starts].T < NONE)[::-1]
         total = -(ways[way, starts[unit]] >> shift) / GRAIN
+        each = np.bincount(unit, minlength=len(words))
+        scored, unit, way = unit, unit[way < written], way[way < written]
         place, path, parts = starts[unit], np.arange(len(unit)), []
         while len(path):
             here = ways[way, place] & low
@@ -246,63 +316,83 @@ class Pieces:
             for b, i in enumerate(spelling):
                 spread[first[mine[mine_kind == k]] + b] = i
         sizes = np.bincount(path, weights=several, minlength=len(unit)).astype(np.int64)
-        return _units(np.bincount(unit, minlength=len(words)), total, sizes, spread)
-
-    def made(self, words: list[str], n: int) -> list[tuple]:
-        """For each word its own ids and its units."""
-        cut = [self.unit.findall(w) for w in words]
-        different = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
-        found = {u: _unit(self.search(u, n)) for u in different if len(u) > LONG}
-        short = sorted((u for u in different if u not in found), key=len)
+        return each, scored, total, sizes, spread
+
+    def made(self, words: list[str], n: int) -> tuple[list, tuple, tuple, tuple]:
+        """The units of words, without their first space; and on end, with their numbers: own ids, best ids and units' facts."""
+        words = [SPACE + w for w in words]
+        # a word of letters alone is one unit
+        cut = [(w,) if w[1:].isalpha() else tuple(self.unit.findall(w)) for w in words]
+        different = dict.fromkeys(itertools.chain.from_iterable(cut))
+        alone = [u for u in different if len(u) > LONG] if self.together(n) else list(different)
+        found = [_unit(self.paths_of(u, n)) for u in alone]
+        facts, ids = [np.array([(gap, score, len(best) // 4) for gap, score, best, _, _ in found], dtype=FACTS)], [b"".join(map(_BEST, found))]
+        short = sorted(different.keys() - set(alone), key=len)
         for i in range(0, len(short), ABREAST):
             some = short[i : i + ABREAST]
-            found.update(zip(some, self.abreast(some, n), strict=True))
-        own = self.own_of_words(words) if self.plain is not None else [b""] * len(words)
-        return [(o, tuple([found[u] for u in us])) for o, us in zip(own, cut, strict=True)]
+            # what the second best way costs tells where to depart; all ways are made for the few units that do
+            each, unit, scores, sizes, best = self.ways(some, min(n, 2), 1)
+            first = np.cumsum(each) - each
+            fact = np.zeros(len(some), dtype=FACTS)
+            fact["gap"], fact["score"], fact["size"] = np.inf, scores[first], sizes
+            two = np.flatnonzero(each > 1)
+            fact["gap"][two] = scores[first[two]] - scores[first[two] + 1]
+            facts.append(fact)
+            ids.append(best.tobytes())
+        place = dict(zip(itertools.chain(alone, short), itertools.count()))
+        many = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        unit = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.int64, count=int(many.sum()))
+        facts, ids = np.concatenate(facts), np.frombuffer(b"".join(ids), dtype="<i4")
+        sizes = np.add.reduceat(facts["size"][unit], np.cumsum(many) - many)
+        own = self.own_on_end(words) if self.plain is not None else (np.empty(0, dtype="<i4"), np.zeros(len(words), dtype=np.int64))
+        return cut, own, (ids[_gathered(facts["size"], unit)], sizes), (facts[unit], many)
+
+    def paths_of(self, unit: str, n: int) -> list[Path]:
+        """As :meth:`search`, remembered for :meth:`departures`."""
+        found = self.search(unit, n)
+        self.kept(n)[1].new[unit] = _arrays(found)
+        return found
+
+    def departures(self, units_: list[str], n: int) -> list[list[tuple[float, np.ndarray]]]:
+        """All ways of units that have several."""
+        short = [u for u in units_ if len(u) <= LONG] if self.together(n) else []
+        found = dict(zip(short, map(_paths, self.abreast(short, n) if short else []), strict=True))
+        return [found[u] if u in found else _arrays(self.search(u, n)) for u in units_]
 
-    def known(self, texts: list[str], n: int) -> list[list[tuple]]:
-        """For each text its words as :meth:`made`; those not remembered are made together."""
+    def kept(self, n: int) -> tuple[Words, Remembered]:
+        """What is remembered of words, and of units that texts depart in."""
         if n not in self.words:
-            self.words[n] = Remembered(lambda words: self.made(words, n))
-        lists = [self.word.findall(normalised(t)) for t in texts]
-        found = iter(self.words[n].all(list(itertools.chain.from_iterable(lists))))
-        return [list(itertools.islice(found, len(words))) for words in lists]
-
-    def segments(self, text: str, n: int, known: list[tuple] | None = None) -> list[tuple[float, np.ndarray]]:
-        """The ``n`` best segmentations of a whole text with their scores."""
-        words = list(itertools.chain.from_iterable(map(_UNITS, self.known([text], n)[0] if known is None else known)))
-        best = sum(map(_SCORE, words))
-        first = np.frombuffer(b"".join(map(_BEST, words)), dtype="<i4")
-        out = [(best, first)]
-        # a departure costs; the n cheapest words to depart in are all that n results can need
-        gaps = np.fromiter(map(_GAP, words), dtype=np.float64, count=len(words))
-        open_ = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else _least(gaps, n - 1)
-        open_ = [int(i) for i in open_ if gaps[i] < np.inf]
-        if open_:
-            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, map(_BEST, words)), dtype=np.int64, count=len(words)) // 4)))
-            lists = [_paths(words[i]) for i in open_]
-            heap = [(0.0, (0,) * len(lists))]
-            seen = {heap[0][1]}
-            while heap and len(out) <= n:
-                cost, ranks = heapq.heappop(heap)
-                if any(ranks):
-                    parts, at = [], 0
-                    for i, paths, rank in sorted(zip(open_, lists, ranks, strict=True), key=operator.itemgetter(0)):
-                        if rank:
-                            parts += [first[at : starts[i]], paths[rank][1]]
-                            at = starts[i + 1]
-                    out.append((best - cost, np.concatenate([*parts, first[at:]])))
-                for k, paths in enumerate(lists):
-                    if ranks[k] + 1 < len(paths):
-                        after = (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :])
-                        if after not in seen:
-                            seen.add(after)
-                            heapq.heappush(heap, (cost + paths[ranks[k]][0] - paths[ranks[k] + 1][0], after))
-        return out[:n]
+            self.words[n] = Words(lambda words: self.made(words, n)), Remembered(lambda units_: self.departures(units_, n))
+        return self.words[n]
+
+    def segments(self, texts: list[str], n: int) -> list[tuple[list[tuple[float, np.ndarray]], np.ndarray]]:
+        """The ``n`` best segmentations of whole texts with their scores, and the texts' own ids."""
+        words, ways = self.kept(n)
+        lists = [self.bare(t) for t in texts]
+        ends = np.cumsum([0, *map(len, lists)])
+        word = words.all(list(itertools.chain.from_iterable(lists)))
+        own, first = (words.of(part, word, ends) for part in (0, 1))
+        facts, many = words.runs[2]
+        facts, cut = facts[_gathered(many, word)], np.concatenate(([0], np.cumsum(many[word])))
+        bounds = cut[ends].tolist()
+        opens = []
+        for i, j in itertools.pairwise(bounds):
+            # a departure costs; the n cheapest words to depart in are all that n results can need
+            gaps = facts["gap"][i:j]
+            least = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else _least(gaps, n - 1)
+            opens.append([k for k in least.tolist() if gaps[k] < np.inf])
+        asked = np.array([i + k for i, some in zip(bounds, opens) for k in some], dtype=np.int64)
+        mine = np.searchsorted(cut, asked, side="right") - 1
+        found = iter(ways.all([words.cut[w][k] for w, k in zip(word[mine].tolist(), (asked - cut[mine]).tolist(), strict=True)]))
+        scores, sizes, out = facts["score"].tolist(), facts["size"], []
+        for t, (i, j) in enumerate(itertools.pairwise(bounds)):
+            paths = list(itertools.islice(found, len(opens[t])))
+            out.append((_chained(first[t], sum(scores[i:j]), sizes[i:j], opens[t], paths, n), own[t] if self.plain is not None else self.own(texts[t])))
+        return out
 
     def n_best(self, text: str, n: int = N_BEST) -> list[Path]:
         """The ``n`` best segmentations of a whole text."""
-        return [(score, tuple(ids.tolist())) for score, ids in self.segments(text, n)]
+        return [(score, tuple(ids.tolist())) for score, ids in self.segments([text], n)[0][0]]
 
     def written(self, ids: np.ndarray) -> str:
         """As ``decode``, for an array of ids."""
@@ -357,17 +447,32 @@ class Trie:
     """All pieces by their characters, for looking up many places of a text at once."""
 
     def __init__(self, ids: dict[str, int]):
-        alphabet = sorted({ord(c) for text in ids for c in text})
+        alphabet = sorted({ord(c) for text in ids for c in text}, key=lambda c: (c != ord(SPACE), c))
         self.kinds = np.zeros(0x110000, dtype=np.uint16 if len(alphabet) < 1 << 16 else np.uint32)
         self.kinds[alphabet] = np.arange(1, len(alphabet) + 1)
         self.width = len(alphabet) + 1
-        nodes = {"": 0}
-        for text in ids:
-            for end in range(1, len(text) + 1):
-                nodes.setdefault(text[:end], len(nodes))
+        nodes = {text: i for i, text in enumerate(sorted({text[:end] for text in ids for end in range(len(text) + 1)}, key=len))}
         self.pieces = np.array([ids.get(text, -1) for text in nodes])
         steps = sorted((nodes[t[:-1]] * self.width + int(self.kinds[ord(t[-1])]), node) for t, node in nodes.items() if t)
         self.steps, self.after = (np.array(x, dtype=np.int64) for x in zip(*steps, strict=True))
+        # the steps from nodes near the root by the first characters, in a table
+        near = sum(len(t) < NEAR for t in nodes)
+        self.table = np.full((near, COMMON), -1, dtype=np.int32)
+        node, kind = self.steps // self.width, self.steps % self.width
+        some = (node < near) & (kind < COMMON)
+        self.table[node[some], kind[some]] = self.after[some]
+
+    def next(self, node: np.ndarray, kind: np.ndarray, length: int) -> np.ndarray:
+        """The nodes after nodes of a length, or -1."""
+        if length >= NEAR:
+            key = node * self.width + kind
+            place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            return np.where(self.steps[place] == key, self.after[place], -1)
+        found = self.table[node, np.minimum(kind, COMMON - 1)].astype(np.int64)
+        rare = np.flatnonzero(kind >= COMMON)
+        if len(rare):
+            found[rare] = self.next(node[rare], kind[rare], NEAR)
+        return found
 
     def walk(self, chars: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place, length and id of every piece that stands in ``chars`` and does not pass the ``ahead`` characters left."""
@@ -375,10 +480,9 @@ class Trie:
         at = np.flatnonzero(ahead > 0)
         node, length, out = np.zeros(len(at), dtype=np.int64), 0, []
         while len(at):
-            key = node * self.width + kinds[at + length]
-            place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
-            there = self.steps[place] == key
-            at, node, length = at[there], self.after[place[there]], length + 1
+            node = self.next(node, kinds[at + length], length)
+            there = node >= 0
+            at, node, length = at[there], node[there], length + 1
             whole = self.pieces[node] >= 0
             out.append((at[whole], np.full(int(whole.sum()), length), self.pieces[node[whole]]))
             more = ahead[at] > length
@@ -393,7 +497,8 @@ def _merged(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     apart = len(least) // 2
     while apart:
         pairs = least.reshape(-1, 2, apart, least.shape[-1])
-        least = np.stack([pairs.min(axis=1), pairs.max(axis=1)], axis=1).reshape(least.shape)
+        low, high = pairs[:, 0], pairs[:, 1]
+        least = np.stack([np.minimum(low, high), np.maximum(low, high)], axis=1).reshape(least.shape)
         apart //= 2
     return least
 
@@ -429,8 +534,50 @@ def _paths(unit: tuple) -> list[tuple[float, np.ndarray]]:
     return list(zip(np.frombuffer(rest, dtype="<f8", count=m).tolist(), np.split(ids, ends[:-1]), strict=True))
 
 
-_GAP, _SCORE, _BEST = (operator.itemgetter(i) for i in range(3))
-_OWN, _UNITS = (operator.itemgetter(i) for i in range(2))
+_BEST = operator.itemgetter(2)
+FACTS = np.dtype([("gap", "<f8"), ("score", "<f8"), ("size", "<i8")])  # of a unit; the size is that of its best way
+
+
+def _arrays(paths: list[Path]) -> list[tuple[float, np.ndarray]]:
+    return [(score, np.array(ids, dtype="<i4")) for score, ids in paths]
+
+
+def _slices(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bytes of runs of values that have these sizes."""
+    data, ends = values.tobytes(), (np.cumsum(sizes) * values.itemsize).tolist()
+    return [data[i:j] for i, j in itertools.pairwise([0, *ends])]
+
+
+def _gathered(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the elements of the runs ``at``, one run after the other; runs of these sizes lie on end."""
+    mine = sizes[at]
+    skip = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(mine) - mine)
+    return np.arange(int(mine.sum())) + np.repeat(skip, mine)
+
+
+def _chained(first: np.ndarray, best: float, sizes: np.ndarray, open_: list[int], lists: list, n: int) -> list[tuple[float, np.ndarray]]:
+    """The ``n`` best ways of a chain of units, of which the best is ``first``, by departures in ``open_`` units."""
+    out = [(best, first)]
+    if open_:
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        heap = [(0.0, (0,) * len(lists))]
+        seen = {heap[0][1]}
+        while heap and len(out) <= n:
+            cost, ranks = heapq.heappop(heap)
+            if any(ranks):
+                parts, at = [], 0
+                for i, paths, rank in sorted(zip(open_, lists, ranks, strict=True), key=operator.itemgetter(0)):
+                    if rank:
+                        parts += [first[at : starts[i]], paths[rank][1]]
+                        at = starts[i + 1]
+                out.append((best - cost, np.concatenate([*parts, first[at:]])))
+            for k, paths in enumerate(lists):
+                if ranks[k] + 1 < len(paths):
+                    after = (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :])
+                    if after not in seen:
+                        seen.add(after)
+                        heapq.heappush(heap, (cost + paths[ranks[k]][0] - paths[ranks[k] + 1][0], after))
+    return out[:n]
 
 
 def _flat(lists: list) -> np.ndarray:
@@ -478,15 +625,15 @@ def log_probabilities(rows: DataFrame, model: str | None = None) -> np.ndarray:
 
 
 def _ahead(model: Pieces, texts, n: int):
-    """Texts, none for null, with their words as ``known``, some texts at a time."""
+    """Texts, none for null, with what ``segments`` gives of each, some texts at a time."""
     some, held = [], 0
     for text in texts:
         some.append(text or "")
         held += len(some[-1])
         if held >= AHEAD:
-            yield from zip(some, model.known(some, n), strict=True)
+            yield from zip(some, model.segments(some, n), strict=True)
             some, held = [], 0
-    yield from zip(some, model.known(some, n), strict=True)
+    yield from zip(some, model.segments(some, n), strict=True)
 
 
 def _encoded(path: str, n: int, scores: bytes | None = None):
@@ -494,9 +641,7 @@ def _encoded(path: str, n: int, scores: bytes | None = None):
         model = pieces(path, scores)
         for batch in batches:
             rest, out, first, held = batch.drop(columns=["text"]), [], 0, 0
-            for at, (text, known) in enumerate(_ahead(model, batch["text"], n), 1):
-                found = model.segments(text, n, known)
-                own = np.frombuffer(b"".join(map(_OWN, known)), dtype="<i4") if model.plain is not None else model.own(text)
+            for at, (text, (found, own)) in enumerate(_ahead(model, batch["text"], n), 1):
                 ids = [i for _, i in found]
                 out.append((ids, [float(s) for s, _ in found], zlib.crc32(ids[0].tobytes()), model.written(ids[0]) == text, own))
                 held += sum(map(len, ids)) + len(own)

@@ -175,3 +175,56 @@ def test_own_ids_by_words(text):
     words = MODEL.word.findall(piece_lattice.normalised(text))
     assert b"".join(MODEL.own_of_words(words)) == MODEL.own(text).tobytes()
     assert (MODEL.own_counts([text, None, text]) == 2 * np.bincount(MODEL.own(text), minlength=32000)).all()
+
+
+def test_all_ways_only_of_units_to_depart_in(monkeypatch):
+    scores = np.rint(np.log(np.full(len(MODEL.texts), 1 / 32000)) * 2**20) / 2**20
+    texts = ["the cat sat on that very mat, and the dog did not see any of it", None, "", "one two three four five six"]
+    own = piece_lattice.Pieces(PATH, scores.tolist())
+    wanted = [own.n_best(t or "", 4) for t in texts]
+    asked = []
+    plain = piece_lattice.Pieces.abreast
+    monkeypatch.setattr(piece_lattice.Pieces, "abreast", lambda self, words, n: asked.extend(words) or plain(self, words, n))
+    part = pd.concat(piece_lattice._encoded(PATH, 4, (scores - 1).tobytes())([pd.DataFrame({"text": texts})]))
+    assert len(asked) <= 3 * 2 and [len(p) for p in part["_op_ids"]] == [4, 1, 1, 4] == [len(w) for w in wanted]
+
+
+def test_words_asked_for_most_are_remembered(monkeypatch):
+    monkeypatch.setattr(piece_lattice, "CACHE", 3)
+    asked = []
+
+    def make(words):
+        asked.extend(words)
+        values, sizes = np.frombuffer("".join(words).encode(), dtype=np.uint8), np.array([len(w) for w in words], dtype=np.int64)
+        return [w.upper() for w in words], (values, sizes)
+
+    kept = piece_lattice.Words(make)
+    for words in (["ab", "c", "ab", "def"], ["g", "ab", "def", "h"], ["c", "ab", "i", "j"], ["ab", "def", "c", "k"], [], ["i"]):
+        found = kept.all(words)
+        assert [kept.cut[i] for i in found] == [w.upper() for w in words]
+        assert b"".join(r.tobytes() for r in kept.of(0, found, np.arange(len(found) + 1))).decode() == "".join(words)
+        assert len(kept.cut) == len(kept.hits) == len(kept.number)
+    assert asked == ["ab", "c", "def", "g", "h", "i", "j", "k", "i"]
+
+
+def test_words_that_could_not_be_made_are_made_again():
+    def make(words):
+        if "bad" in words:
+            raise ValueError("bad")
+        return list(words), (np.zeros(len(words)), np.ones(len(words), dtype=np.int64))
+
+    kept = piece_lattice.Words(make)
+    kept.all(["a"])
+    with pytest.raises(ValueError):
+        kept.all(["b", "bad"])
+    assert kept.all(["b", "a", "c"]).tolist() == [1, 0, 2] and kept.cut == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("text", TEXTS + ["trailing  ", "a ", " a", "a  b", "\u2581a\u2581 b", "\u2581\u2581"])
+def test_bare_words(text):
+    assert ["\u2581" + w for w in MODEL.bare(text)] == MODEL.word.findall(piece_lattice.normalised(text))
+
+
+def test_texts_without_words():
+    own = piece_lattice.Pieces(PATH, [-1.0] * len(MODEL.texts))
+    assert own.segments([], 4) == [] and own.n_best("", 4) == [(0, ())]
