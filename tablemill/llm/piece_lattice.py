@@ -10,12 +10,13 @@ So pieces are scored by log probabilities over the rows given: every text is enc
 and a grouped aggregate counts the pieces. The own encoding is returned beside the n best.
 
 No piece reaches over the beginning of a word, and none holds a letter beside a full stop or a line break, so a
-text's lattice is a chain of the lattices of such units. A task searches the units of a different word once while
-it remembers the word, and the new ones of many texts together: from the words' ends backwards every place keeps
-its best ways on, which gives what the search above gives one unit at a time. That search stays for long units
-and for scores whose sums are not exact. The chain's n best follow from a second best-first search over how far
-each unit departs from its best. n - 1 units at most can depart, those whose second best way costs least: only of
-them are all n ways made. Results lie on end in flat arrays, from which the words of many texts are gathered together.
+text's lattice is a chain of the lattices of such units. A task looks up the different words of many texts, has the
+units of each by number, and searches a unit once while it remembers a word with it, the new ones of many texts
+together: from the units' ends backwards every place keeps its best ways on, which gives what the search above gives
+one unit at a time. That search stays for long units and for scores whose sums are not exact. The chain's n best
+follow from a second best-first search over how far each unit departs from its best. n - 1 units at most can depart,
+those whose second best way costs least: only of them are all n ways made. Results lie on end in flat arrays, from
+which the units of many texts are gathered together.
 """
 
 from __future__ import annotations
@@ -32,17 +33,21 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from tablemill.llm.store import give_back, lean
+
 SPACE = "▁"
 N_BEST = 4
-CACHE = 150_000  # words of a generation; two are remembered
+CACHE = 100_000  # words of a generation; two are remembered
 NEAR, COMMON = 4, 128  # lengths below, and first characters, for which a trie has a table
 HELD = 1 << 20  # ids that a task holds before it gives rows away
 AHEAD = 1 << 20  # characters of texts whose new words are searched together
+COUNTED = 1 << 23  # characters of texts whose words are counted together
 ABREAST = 20_000  # units that are searched at once
 LONG = 64  # characters of a unit beyond which it is searched for itself
 NONE = 1 << 62  # a way that is not there; those that are stay below
@@ -50,6 +55,8 @@ GRAIN = 2.0**20  # log probabilities are multiples of its inverse, so that sums
 
 Path = tuple[float, tuple[int, ...]]
 
+_lean = functools.partial(lean, "pieces")
+
 
 class Remembered:
     """Results by word, in two generations: what is asked for again outlives what is not."""
@@ -82,9 +89,9 @@ class Words:
         self.number, self.cut, self.hits, self.runs = collections.defaultdict(None, zip(words, itertools.count())), cut, hits, runs
         self.number.default_factory = self.number.__len__
 
-    def all(self, words: list[str]) -> np.ndarray:
-        """The numbers of words, whose results are made where they are not remembered."""
-        if len(self.cut) >= 2 * CACHE:
+    def all(self, words: list[str], times: np.ndarray | None = None) -> np.ndarray:
+        """The numbers of words asked for some ``times``, whose results are made where they are not remembered."""
+        if self.full():
             self.forget()
         old = len(self.cut)
         found = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
@@ -99,11 +106,16 @@ class Words:
             self.cut += cut
             self.runs = runs if self.runs is None else [tuple(map(np.concatenate, zip(a, b, strict=True))) for a, b in zip(self.runs, runs, strict=True)]
             self.hits = np.concatenate([self.hits, np.zeros(len(fresh), dtype=np.int64)])
-        self.hits += np.bincount(found, minlength=len(self.hits))
+        self.hits += np.bincount(found, times, minlength=len(self.hits)).astype(np.int64)
         return found
 
+    def full(self) -> bool:
+        return len(self.cut) >= 2 * CACHE
+
     def forget(self) -> None:
-        keep = np.sort(np.argsort(-self.hits, kind="stable")[:CACHE])
+        self.keep(np.sort(np.argsort(-self.hits, kind="stable")[:CACHE]))
+
+    def keep(self, keep: np.ndarray) -> None:
         words = list(self.number)
         places = keep.tolist()
         runs = [(values[_gathered(sizes, keep)], sizes[keep]) for values, sizes in self.runs]
@@ -117,6 +129,31 @@ class Words:
         return [values[i:j] for i, j in itertools.pairwise(bounds)]
 
 
+class Units(Words):
+    """Results of units, which stay as long as a word that has them."""
+
+    def full(self) -> bool:
+        return False
+
+
+class Chains(Words):
+    """Words as the numbers of their units."""
+
+    def __init__(self, make, units_: Units):
+        self.units = units_
+        super().__init__(make)
+
+    def full(self) -> bool:
+        return super().full() or len(self.units.cut) >= 4 * CACHE
+
+    def forget(self) -> None:
+        super().forget()
+        [(numbers, many)] = self.runs
+        used, numbers = np.unique(numbers, return_inverse=True)
+        self.units.keep(used)
+        self.runs = [(numbers, many)]
+
+
 class Pieces:
     """The pieces of a model, and the search for segmentations by their scores: the model's if none are given."""
 
@@ -132,11 +169,12 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
             raise ValueError("a piece reaches over the beginning of a word")
+        self.signs = frozenset(apart(self.ids))
         self.unit = units(self.ids)
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.words = {}
         self.plain = by_words(path)
-        self.raw = [bytes([self.names[i]]) if i in self.names else t.encode() for i, t in enumerate(self.texts)]
+        self.raw = pa.array([bytes([self.names[i]]) if i in self.names else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)], pa.binary())
         self.lengths = np.array([1 if i in self.names or i == self.unknown else len(t) for i, t in enumerate(self.texts)])
         exact = np.asarray(self.scores, dtype=np.float64) * GRAIN
         # sums of such scores are exact in integers, as they are in floating point
@@ -169,21 +207,36 @@ class Pieces:
             for text in texts:
                 seen += np.bincount(self.own(text or ""), minlength=len(seen))
             return seen
-        words: collections.Counter = collections.Counter()
-
-        def settle() -> None:
-            ids = self.plain.encode([SPACE + w for w in words], num_threads=1)
-            times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(i) for i in ids])
-            np.add.at(seen, _flat(ids), times)
-            words.clear()
-
-        for text in texts:
-            words.update(self.bare(text or ""))
-            if len(words) >= CACHE:
-                settle()
-        settle()
+        for some in _some((text or "" for text in texts), COUNTED):
+            words, times = self.different(some)[:2]
+            ids, sizes = self.own_on_end([SPACE + w for w in words])
+            seen += np.bincount(ids, np.repeat(times, sizes), minlength=len(seen)).astype(np.int64)
         return seen
 
+    def different(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The words of texts, bare; how often each occurs; and all texts' words in order by number, with how many each has.
+
+        A word of a text that cannot just be split at spaces may be listed several times.
+        """
+        odd = [not t or t[0] == " " or "  " in t or SPACE in t for t in texts]
+        try:
+            lists = pc.split_pattern(pa.array(itertools.compress(texts, map(operator.not_, odd)), pa.string()), " ")
+        except UnicodeEncodeError:  # half of a surrogate pair
+            odd = [True] * len(texts)
+            lists = pa.array([], pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        number, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rest = [self.bare(t) for t in itertools.compress(texts, odd)]
+        more = list(itertools.chain.from_iterable(rest))
+        times = np.concatenate([np.bincount(number, minlength=len(words)), np.ones(len(more), dtype=np.int64)])
+        number = np.concatenate([number, np.arange(len(words), len(words) + len(more))])
+        sizes = np.concatenate([lists.value_lengths().to_numpy(), np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))])
+        if rest:
+            # texts in their order again
+            place = np.argsort(np.argsort(odd, kind="stable"))
+            number, sizes = number[_gathered(sizes, place)], sizes[place]
+        return words + more, times, number, sizes
+
     def edges(self, word: str) -> tuple[list[list], list[float]]:
         """For each place the pieces that end there, as (score, start, ids), and the best score from the start to it."""
         ends, forward = [[]], [0.0]
@@ -281,7 +334,7 @@ class Pieces:
         ways = np.full((ranks, len(chars)), NONE, dtype=np.int64)
         ways[0, ahead == 0] = 0
         step = ahead[at] * (self.longest + 1) + length
-        order = np.argsort(step, kind="stable")
+        order = _order(step)
         at, to, edge = at[order], (at + length)[order], ((cost << shift) + piece * ranks)[order]
         low = (1 << shift) - 1
         rank = np.arange(ranks)[:, None]
@@ -303,7 +356,7 @@ class Pieces:
             left = ahead[place] > 0
             path, way, place = path[left], way[left], place[left]
         path, ids, place = (np.concatenate(p) for p in zip(*parts, strict=True))
-        order = np.argsort(path, kind="stable")
+        order = _order(path)
         path, ids, place = path[order], ids[order], place[order]
         # the first byte stands for a character's bytes so far
         several = np.ones(len(ids), dtype=np.int64)
@@ -318,18 +371,33 @@ class Pieces:
         sizes = np.bincount(path, weights=several, minlength=len(unit)).astype(np.int64)
         return each, scored, total, sizes, spread
 
-    def made(self, words: list[str], n: int) -> tuple[list, tuple, tuple, tuple]:
-        """The units of words, without their first space; and on end, with their numbers: own ids, best ids and units' facts."""
-        words = [SPACE + w for w in words]
-        # a word of letters alone is one unit
-        cut = [(w,) if w[1:].isalpha() else tuple(self.unit.findall(w)) for w in words]
-        different = dict.fromkeys(itertools.chain.from_iterable(cut))
-        alone = [u for u in different if len(u) > LONG] if self.together(n) else list(different)
-        found = [_unit(self.paths_of(u, n)) for u in alone]
+    def chains(self, words: list[str], units_: Units) -> tuple[list, tuple]:
+        """The numbers of the units of words without their first space."""
+        signs, findall = self.signs, self.unit.findall
+        cut, many = [], []
+        for w in words:
+            # a word of letters alone is one unit, a sign behind it another
+            if w.isalpha():
+                cut.append(SPACE + w)
+                many.append(1)
+            elif w[-1:] in signs and w[:-1].isalpha():
+                cut += SPACE + w[:-1], w[-1]
+                many.append(2)
+            else:
+                some = findall(SPACE + w)
+                cut += some
+                many.append(len(some))
+        return words, (units_.all(cut), np.array(many, dtype=np.int64))
+
+    def made(self, units_: list[str], n: int) -> tuple[list, tuple, tuple, tuple]:
+        """Of different units, on end, with their numbers: own ids, best ids and facts."""
+        length = np.fromiter(map(len, units_), dtype=np.int64, count=len(units_))
+        alone = np.flatnonzero(length > LONG) if self.together(n) else np.arange(len(units_))
+        found = [_unit(self.paths_of(units_[i], n)) for i in alone.tolist()]
         facts, ids = [np.array([(gap, score, len(best) // 4) for gap, score, best, _, _ in found], dtype=FACTS)], [b"".join(map(_BEST, found))]
-        short = sorted(different.keys() - set(alone), key=len)
+        short = np.argsort(length, kind="stable")[: len(units_) - len(alone)]
         for i in range(0, len(short), ABREAST):
-            some = short[i : i + ABREAST]
+            some = [units_[k] for k in short[i : i + ABREAST].tolist()]
             # what the second best way costs tells where to depart; all ways are made for the few units that do
             each, unit, scores, sizes, best = self.ways(some, min(n, 2), 1)
             first = np.cumsum(each) - each
@@ -339,18 +407,17 @@ class Pieces:
             fact["gap"][two] = scores[first[two]] - scores[first[two] + 1]
             facts.append(fact)
             ids.append(best.tobytes())
-        place = dict(zip(itertools.chain(alone, short), itertools.count()))
-        many = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        unit = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.int64, count=int(many.sum()))
+        place = np.argsort(np.concatenate([alone, short]))
         facts, ids = np.concatenate(facts), np.frombuffer(b"".join(ids), dtype="<i4")
-        sizes = np.add.reduceat(facts["size"][unit], np.cumsum(many) - many)
-        own = self.own_on_end(words) if self.plain is not None else (np.empty(0, dtype="<i4"), np.zeros(len(words), dtype=np.int64))
-        return cut, own, (ids[_gathered(facts["size"], unit)], sizes), (facts[unit], many)
+        ids, facts = ids[_gathered(facts["size"], place)], facts[place]
+        # no merge makes what is no piece, so units have their own ids as words do
+        own = self.own_on_end(units_) if self.plain is not None else (np.empty(0, dtype="<i4"), np.zeros(len(units_), dtype=np.int64))
+        return units_, own, (ids, facts["size"]), (facts, np.ones(len(units_), dtype=np.int64))
 
     def paths_of(self, unit: str, n: int) -> list[Path]:
         """As :meth:`search`, remembered for :meth:`departures`."""
         found = self.search(unit, n)
-        self.kept(n)[1].new[unit] = _arrays(found)
+        self.kept(n)[2].new[unit] = _arrays(found)
         return found
 
     def departures(self, units_: list[str], n: int) -> list[list[tuple[float, np.ndarray]]]:
@@ -359,22 +426,24 @@ class Pieces:
         found = dict(zip(short, map(_paths, self.abreast(short, n) if short else []), strict=True))
         return [found[u] if u in found else _arrays(self.search(u, n)) for u in units_]
 
-    def kept(self, n: int) -> tuple[Words, Remembered]:
-        """What is remembered of words, and of units that texts depart in."""
+    def kept(self, n: int) -> tuple[Chains, Units, Remembered]:
+        """What is remembered of words, of their units, and of units that texts depart in."""
         if n not in self.words:
-            self.words[n] = Words(lambda words: self.made(words, n)), Remembered(lambda units_: self.departures(units_, n))
+            units_ = Units(lambda fresh: self.made(fresh, n))
+            words = Chains(lambda fresh: self.chains(fresh, units_), units_)
+            self.words[n] = words, units_, Remembered(lambda asked: self.departures(asked, n))
         return self.words[n]
 
     def segments(self, texts: list[str], n: int) -> list[tuple[list[tuple[float, np.ndarray]], np.ndarray]]:
         """The ``n`` best segmentations of whole texts with their scores, and the texts' own ids."""
-        words, ways = self.kept(n)
-        lists = [self.bare(t) for t in texts]
-        ends = np.cumsum([0, *map(len, lists)])
-        word = words.all(list(itertools.chain.from_iterable(lists)))
-        own, first = (words.of(part, word, ends) for part in (0, 1))
-        facts, many = words.runs[2]
-        facts, cut = facts[_gathered(many, word)], np.concatenate(([0], np.cumsum(many[word])))
-        bounds = cut[ends].tolist()
+        words, units_, ways = self.kept(n)
+        different, times, word, sizes = self.different(texts)
+        word = words.all(different, times)[word]
+        numbers, many = words.runs[0]
+        unit = numbers[_gathered(many, word)]
+        ends = np.concatenate(([0], np.cumsum(many[word])))[np.concatenate(([0], np.cumsum(sizes)))]
+        own, first = (units_.of(part, unit, ends) for part in (0, 1))
+        facts, bounds = units_.runs[2][0][unit], ends.tolist()
         opens = []
         for i, j in itertools.pairwise(bounds):
             # a departure costs; the n cheapest words to depart in are all that n results can need
@@ -382,8 +451,7 @@ class Pieces:
             least = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else _least(gaps, n - 1)
             opens.append([k for k in least.tolist() if gaps[k] < np.inf])
         asked = np.array([i + k for i, some in zip(bounds, opens) for k in some], dtype=np.int64)
-        mine = np.searchsorted(cut, asked, side="right") - 1
-        found = iter(ways.all([words.cut[w][k] for w, k in zip(word[mine].tolist(), (asked - cut[mine]).tolist(), strict=True)]))
+        found = iter(ways.all([units_.cut[u] for u in unit[asked].tolist()]))
         scores, sizes, out = facts["score"].tolist(), facts["size"], []
         for t, (i, j) in enumerate(itertools.pairwise(bounds)):
             paths = list(itertools.islice(found, len(opens[t])))
@@ -396,7 +464,11 @@ class Pieces:
 
     def written(self, ids: np.ndarray) -> str:
         """As ``decode``, for an array of ids."""
-        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode(errors="replace").replace(SPACE, " ")
+        raw = self.raw.take(pa.array(ids))
+        _, ends, data = raw.buffers()
+        text = data.to_pybytes()[: np.frombuffer(ends, dtype=np.int32)[len(raw)]] if len(raw) else b""
+        # a space may be spelt in bytes as well
+        text = text.replace(SPACE.encode(), b" ").decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
     def decode(self, ids) -> str:
@@ -415,14 +487,19 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def apart(pieces_) -> str:
+    """Signs that share no piece with a letter side by side."""
+    near = {c for piece in pieces_ for a, b in zip(piece, piece[1:]) for c, other in ((a, b), (b, a)) if other.isalpha()}
+    return "".join(c for c in ".,;:!?\n\t()[]{}\"|" if c not in near)
+
+
 def units(pieces_) -> re.Pattern:
     """What cuts a text into words, and a word between a letter and a sign that share no piece side by side."""
-    near = {c for piece in pieces_ for a, b in zip(piece, piece[1:]) for c, other in ((a, b), (b, a)) if other.isalpha()}
-    apart = "".join(re.escape(c) for c in ".,;:!?\n\t()[]{}\"|" if c not in near)
-    if not apart:
+    signs = re.escape(apart(pieces_))
+    if not signs:
         return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
     letter = r"[^\W\d_]"
-    inside = f"{letter}(?![{apart}])|[{apart}](?!{letter})|(?!{letter})[^{SPACE}{apart}]"
+    inside = f"{letter}(?![{signs}])|[{signs}](?!{letter})|(?!{letter})[^{SPACE}{signs}]"
     return re.compile(f"{SPACE}*(?:{inside})*[^{SPACE}]|{SPACE}+")
 
 
@@ -437,7 +514,7 @@ def by_words(path: str) -> sentencepiece.SentencePieceProcessor | None:
     kind, norm = model.trainer_spec, model.normalizer_spec
     same = not (norm.precompiled_charsmap or norm.normalization_rule_tsv or norm.remove_extra_whitespaces)
     same = same and norm.add_dummy_prefix and norm.escape_whitespaces and not kind.treat_whitespace_as_suffix
-    if not (same and kind.model_type == kind.BPE and kind.byte_fallback and all(p.type != p.USER_DEFINED for p in model.pieces)):
+    if not (same and kind.model_type == kind.BPE and kind.byte_fallback and all(p.type not in (p.USER_DEFINED, p.UNUSED) for p in model.pieces)):
         return None
     norm.add_dummy_prefix = False
     return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
@@ -530,8 +607,9 @@ def _paths(unit: tuple) -> list[tuple[float, np.ndarray]]:
     """All ways of a unit that has several."""
     _, _, best, rest, m = unit
     ids = np.concatenate([np.frombuffer(best, dtype="<i4"), np.frombuffer(rest, dtype="<i4", offset=12 * m)])
-    ends = np.cumsum(np.frombuffer(rest, dtype="<i4", offset=8 * m, count=m))
-    return list(zip(np.frombuffer(rest, dtype="<f8", count=m).tolist(), np.split(ids, ends[:-1]), strict=True))
+    ends = [0, *itertools.accumulate(np.frombuffer(rest, dtype="<i4", offset=8 * m, count=m).tolist())]
+    parts = [ids[i:j] for i, j in itertools.pairwise(ends)]
+    return list(zip(np.frombuffer(rest, dtype="<f8", count=m).tolist(), parts, strict=True))
 
 
 _BEST = operator.itemgetter(2)
@@ -584,6 +662,11 @@ def _flat(lists: list) -> np.ndarray:
     return np.fromiter(itertools.chain.from_iterable(lists), dtype="<i4")
 
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0; where all are small, numpy sorts them by digits."""
+    return np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
+
+
 def _least(values: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` least values, ties to smaller places."""
     if k < 1:
@@ -597,7 +680,7 @@ def normalised(text: str) -> str:
     return (" " + text).replace(" ", SPACE) if text else ""
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)  # a worker that begins to count lets go of the words of an earlier run
 def pieces(path: str, scores: bytes | None = None) -> Pieces:
     return Pieces(path, None if scores is None else np.frombuffer(scores).tolist())
 
@@ -618,22 +701,28 @@ def log_probabilities(rows: DataFrame, model: str | None = None) -> np.ndarray:
     what the driver gets is one number for each piece of the vocabulary.
     """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
-    found = rows.selectExpr("cast(text as string) as text").mapInPandas(_counted(path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.selectExpr("cast(text as string) as text").mapInPandas(_lean(_counted(path)), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
     seen = np.ones(len(pieces(path).texts))
     seen[found["piece"].to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=np.float64)
     return np.rint(np.log(seen / seen.sum()) * GRAIN) / GRAIN
 
 
-def _ahead(model: Pieces, texts, n: int):
-    """Texts, none for null, with what ``segments`` gives of each, some texts at a time."""
+def _some(texts, characters: int):
+    """Lists of texts that together have so many characters; the last has fewer."""
     some, held = [], 0
     for text in texts:
-        some.append(text or "")
-        held += len(some[-1])
-        if held >= AHEAD:
-            yield from zip(some, model.segments(some, n), strict=True)
+        some.append(text)
+        held += len(text)
+        if held >= characters:
+            yield some
             some, held = [], 0
-    yield from zip(some, model.segments(some, n), strict=True)
+    yield some
+
+
+def _ahead(model: Pieces, texts, n: int):
+    """Texts, none for null, with what ``segments`` gives of each, some texts at a time."""
+    for some in _some((text or "" for text in texts), AHEAD):
+        yield from zip(some, model.segments(some, n), strict=True)
 
 
 def _encoded(path: str, n: int, scores: bytes | None = None):
@@ -676,6 +765,7 @@ def _in_arrow(path: str, n: int, scores: bytes):
                 out = old | {c: made[c] for c in ("_op_ids", "_op_scores", "_op_crc", "_op_same", "_op_own")}
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
                 first += len(part)
+            give_back()  # the searches' arrays; a task's batches would add up free memory
 
     return run
 
@@ -701,7 +791,7 @@ def encode(rows: DataFrame, n: int = N_BEST, model: str | None = None, scores: n
     same = [c for c in rows.columns if c not in made and c != "text"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in same)
     out = f"{kinds}{', ' if kinds else ''}_op_ids array<array<int>>, _op_scores array<double>, _op_crc long, _op_same boolean, _op_own array<int>"
-    found = rows.selectExpr(*[f"`{c}`" for c in same], "cast(text as string) as text").mapInArrow(_in_arrow(path, n, given), out)
+    found = rows.selectExpr(*[f"`{c}`" for c in same], "cast(text as string) as text").mapInArrow(_lean(_in_arrow(path, n, given)), out)
     return found.withColumnsRenamed({v: k for k, v in made.items()})
 
 

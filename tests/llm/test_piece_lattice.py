@@ -228,3 +228,45 @@ def test_bare_words(text):
 def test_texts_without_words():
     own = piece_lattice.Pieces(PATH, [-1.0] * len(MODEL.texts))
     assert own.segments([], 4) == [] and own.n_best("", 4) == [(0, ())]
+
+
+def test_a_unit_of_several_words_is_searched_once(monkeypatch):
+    scores = np.rint(np.log(np.full(len(MODEL.texts), 1 / 32000)) * 2**20) / 2**20
+    own = piece_lattice.Pieces(PATH, scores.tolist())
+    asked = []
+    plain = piece_lattice.Pieces.ways
+    monkeypatch.setattr(piece_lattice.Pieces, "ways", lambda self, words, n, written: asked.extend(words if written == 1 else ()) or plain(self, words, n, written))
+    for texts in (["the cat, the dog"], ["cat. dog, (the", "dog cat"], ["the; dog.\nthe"]):
+        own.segments(texts, 4)
+    assert len(asked) == len(set(asked)) and {"▁cat", "▁dog", "▁the", "the", "."} <= set(asked)
+
+
+@pytest.mark.parametrize("cache", [1, 3, 1000])
+def test_chains_and_units_are_forgotten_together(monkeypatch, cache):
+    scores = np.rint(np.log(np.full(len(MODEL.texts), 1 / 32000)) * 2**20) / 2**20
+    texts = ["the cat, the dog", "", "a.b).c 1.2,x ...\n\n,é.", "  two  spaces ", "dog cat " + "x" * 70, "漢字 and 🙂🙂", "the. cat\n", "▁a▁ b"] * 2
+    own = piece_lattice.Pieces(PATH, scores.tolist())
+    wanted = [own.segments([t], 4)[0] for t in texts]
+    monkeypatch.setattr(piece_lattice, "CACHE", cache)
+    other = piece_lattice.Pieces(PATH, scores.tolist())
+    for i in range(0, len(texts), 3):
+        for text, (best, own_ids), (paths, ids) in zip(texts[i : i + 3], wanted[i : i + 3], other.segments(texts[i : i + 3], 4), strict=True):
+            assert own_ids.tolist() == ids.tolist() == MODEL.own(text).tolist()
+            assert [(s, p.tolist()) for s, p in best] == [(s, p.tolist()) for s, p in paths] == [(s, list(p)) for s, p in own.n_best(text)]
+    words, units, _ = other.kept(4)
+    assert len(units.cut) == len(units.number) == len(units.hits) == len(units.runs[2][0])
+    assert [units.cut[u] for u in words.runs[0][0]] == [u for w in words.cut for u in MODEL.unit.findall("▁" + w)]
+
+
+def test_written_as_decoded():
+    draw = np.random.default_rng(3)
+    space = [MODEL.bytes[b] for b in "▁".encode()]
+    for ids in [[], space, [MODEL.bytes[0xE2], *space], [*space[:2], 400], [MODEL.bytes[0xF0], *space, 500], *draw.integers(3, 600, (20, 30)).tolist()]:
+        assert MODEL.written(np.array(ids, dtype="<i4")) == MODEL.decode(ids)
+
+
+def test_different_words_of_texts_in_order():
+    texts = ["a b a", "", " a", "b  c", "c", "x▁y a", "a "]
+    words, times, number, sizes = MODEL.different(texts)
+    assert [words[i] for i in number] == [w for t in texts for w in MODEL.bare(t)] and sizes.tolist() == [len(MODEL.bare(t)) for t in texts]
+    assert times.tolist() == np.bincount(number, minlength=len(words)).tolist()
